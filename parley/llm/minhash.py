@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
 def _sets(bitmap: np.ndarray, bits: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.compute.is_valid(batch.column(0)))
+            batch = batch.filter(pc.is_valid(batch.column(0)))
             slot = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
             asked = (bitmap[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1
             batch = batch.filter(pa.array(asked.astype(bool)))
