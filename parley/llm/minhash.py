@@ -20,6 +20,8 @@ BANDS, ROWS = 20, 5
 CHUNK = 1 << 19
 #: Bits of the filter that tells which texts are read again; a fixed bound (16 MB).
 FILTER_BITS = 1 << 27
+#: Open pairs for each row of the buckets up to which they are compared without further pivots.
+FEW = 16
 _U, _V = np.uint64, np.uint32
 _STEP = _V(0x9E3779B1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -161,27 +163,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) that connect all similar classes met in a band; each has been verified on full sets.
 
-    In every bucket one pivot is compared with all others. Members that it is
-    not connected with then get a pivot of their own, and are compared with those
-    connected members that the triangle inequality of the Jaccard distance
-    doesn't rule out. So no bucket's pairs are all made, and no link between
-    components is lost.
+    In every bucket one pivot, drawn by hash, is compared with all others. What
+    this leaves open are pairs of a bucket in different components; the triangle
+    inequality of the Jaccard distance (to the pivot) rules most of them out. If
+    few can be left, they are compared at last. Else the members that a pivot is
+    not connected with get a pivot of their own, and so on. So a bucket's pairs
+    are not all made, and no link between components is lost.
     """
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     multi = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = stage(rows.join(multi, "key").select("key", "doc_id"), "minhash-buckets")
-    ids = members.select("doc_id").distinct()
-    if members.isEmpty():
+    total = members.count()
+    if not total:
         return None
-    sets = stage(_texts_again(docs, ids), "minhash-sets").dropDuplicates(["doc_id"])
-    limit = 1 - percent / 100
-    links, cross, known = None, None, None
+    sets = stage(_texts_again(docs, members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "minhash-sets")
+    limit = 1 - percent / 100 + 1e-9
+    close = lambda x, y: (x - y <= limit) & (y - x <= limit)
+    cross, known = None, None
     while True:
         lead = F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("p")))
-        pivots = members.groupBy("key").agg(lead.alias("l"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("l.p").alias("p"))
-        spokes = stage(members.join(pivots, "key").select("key", "p", "doc_id"), "minhash-spokes")
-        ordered = [F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")]
-        pairs = spokes.filter("p <> doc_id").select(*ordered)
+        pivots = members.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.p").alias("p"))
+        spokes = stage(members.join(pivots, "key").select("key", "p", "doc_id", F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")), "minhash-spokes")
+        pairs = spokes.filter("a <> b").select("a", "b")
         pairs = (pairs if cross is None else pairs.unionByName(cross)).distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -189,25 +192,26 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
         known = fresh if known is None else known.unionByName(fresh)
         links = known.filter("linked").select("a", "b")
         component = connected_components(links)
-        # who is still apart from the pivot of a bucket
         own = component.select(F.col("node").alias("doc_id"), F.col("component").alias("mine"))
-        lead_of = component.select(F.col("node").alias("p"), F.col("component").alias("theirs"))
-        placed = spokes.withColumns({"a": ordered[0], "b": ordered[1]}).join(known.select("a", "b", "far"), ["a", "b"], "left").join(own, "doc_id", "left").join(lead_of, "p", "left")
-        apart = ~(F.coalesce("mine", "doc_id") == F.coalesce("theirs", "p"))
-        placed = stage(placed.select("key", "doc_id", F.when(F.col("doc_id") == F.col("p"), 0.0).otherwise(F.col("far")).alias("far"), apart.alias("apart")), "minhash-placed")
-        discard(spokes)
-        out = placed.filter("apart")
-        near = placed.filter("not apart").select("key", F.col("doc_id").alias("x"), F.col("far").alias("fx"))
-        members = out.select("key", "doc_id")
-        if out.isEmpty():
-            return links
-        # a member farther than twice the limit from the pivot can't be linked to one that the pivot is linked to, and so on
-        cross = (
-            out.join(near, "key").filter((F.col("far") - F.col("fx") <= limit + 1e-9) & (F.col("fx") - F.col("far") <= limit + 1e-9) & (F.col("fx") > 0))
-            .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
-        )
-        if members.groupBy("key").count().filter("count > 1").isEmpty() and cross.isEmpty():
+        hub = component.select(F.col("node").alias("p"), F.col("component").alias("theirs"))
+        placed = spokes.join(known.select("a", "b", "far"), ["a", "b"], "left").join(own, "doc_id", "left").join(hub, "p", "left")
+        far = F.when(F.col("doc_id") == F.col("p"), 0.0).otherwise(F.col("far"))
+        placed = stage(placed.select("key", "doc_id", far.alias("far"), F.coalesce("mine", "doc_id").alias("mine"), F.coalesce("theirs", "p").alias("theirs")), "minhash-placed")
+        sizes = placed.groupBy("key", "mine").agg(F.count("*").alias("k")).groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
+        sizes = stage(sizes.filter("open > 0"), "minhash-open")
+        open_ = sizes.agg(F.sum("open")).first()[0] or 0
+        if not open_:
             return links
+        placed = placed.join(sizes.select("key"), "key").filter("far > 0 OR mine <> theirs")
+        x = placed.select("key", F.col("doc_id").alias("x"), F.col("far").alias("fx"), F.col("mine").alias("mx"), "theirs")
+        y = placed.select("key", F.col("doc_id").alias("y"), F.col("far").alias("fy"), F.col("mine").alias("my"))
+        both = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+        if open_ <= FEW * total:
+            last = x.join(y, "key").filter((F.col("mx") < F.col("my")) & close(F.col("fx"), F.col("fy"))).select(*both).distinct()
+            last = last.join(known.select("a", "b"), ["a", "b"], "left_anti")
+            return stage(links.unionByName(_verified(last, sets, percent).filter("linked").select("a", "b")), "minhash-links")
+        members = placed.filter("mine <> theirs").select("key", "doc_id")
+        cross = x.filter("mx = theirs").join(y, "key").filter((F.col("mx") != F.col("my")) & close(F.col("fx"), F.col("fy"))).select(*both)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
