@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, minhash, mixing, quality, sharding, toxicity, vectors
+from . import gif, langid, licenses, minhash, mixing, quality, sharding, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.document_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_shards, op4_vector_dedup, op6_minhash_dedup, op7_quality, op8_language, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_shards, op4_vector_dedup, op6_minhash_dedup, op7_quality, op8_language, op9_gif_media, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
