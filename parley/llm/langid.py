@@ -177,11 +177,13 @@ def _scorer(model):
     return _scorer.scorer
 
 
-def _predict(shared, langs: list[str]):
+def _predict(shared, langs: list[str], carried: int):
+    """Column 0 has the texts, the next ``carried`` ones are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(0)
             for c in chunks(texts):
                 starts, ends, first = c.words(LETTERS)
                 n = np.diff(first)
@@ -198,27 +200,29 @@ def _predict(shared, langs: list[str]):
                 best = z.argmax(axis=1)
                 score = np.where(letter, z[np.arange(len(z)), best] / z.sum(axis=1), 0.0)
                 names = np.where(letter, np.array(langs, dtype=object)[best], UNKNOWN)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k).slice(c.first, c.n) for k in range(1, carried + 1)), pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names[1 : carried + 1], "lang_pred", "score"]
+                )
 
     return run
 
 
-def identify(docs: DataFrame, training: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, lang_pred and score (posterior share, 0 to 1) of every row of ``docs`` (doc_id, text).
+def identify(docs: DataFrame, training: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id and ``carry``, lang_pred and score (posterior share, 0 to 1) of every row of ``docs``.
 
     ``training``: doc_id, text, lang. A null text, or one without a letter, is
     ``und`` with score 0; so is every text if nothing could be learned. Ties go
     to the language first by code point. The whole text counts. Words are runs of
     letters, lower-cased (A-Z).
     """
-    spark = docs.sparkSession
     v = pieces(vocabulary)
     langs, p = train(training, v, sample)
+    kept = list(dict.fromkeys([id_col, *carry]))
     if not langs:
-        return docs.select(F.col("doc_id"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = spark.sparkContext.broadcast((hash(p.tobytes()), v, p))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_predict(shared, langs), f"doc_id {kind}, lang_pred string, score double")
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast((hash(p.tobytes()), v, p))
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(_predict(shared, langs, len(kept)), f"{kinds}lang_pred string, score double")
 
 
 def held_out(doc_id="doc_id"):

@@ -170,7 +170,7 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
     not connected with get a pivot of their own, and so on. So a bucket's pairs
     are not all made, and no link between components is lost.
     """
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    rows = reps.filter("doc_id IS NOT NULL").select("doc_id", F.explode("bands").alias("key"))
     multi = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     members = stage(rows.join(multi, "key").select("key", "doc_id"), "minhash-buckets")
     total = members.count()

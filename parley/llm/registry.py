@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, langid, licenses, minhash, mixing, quality, sharding, toxicity, vectors
+from . import gif, langid, licenses, minhash, mixing, pieces, quality, sharding, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_shards, op4_vector_dedup, op6_minhash_dedup, op7_quality, op8_language, op9_gif_media, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_shards, op4_vector_dedup, op5_sentencepiece, op6_minhash_dedup, op7_quality, op8_language, op9_gif_media, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -168,11 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     return words, w, theta
 
 
-def _score(shared):
+def _score(shared, carried: int):
+    """Column 0 has the texts, the next ``carried`` ones are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, w, theta = shared.value
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(0)):
                 h, first = _hashed(c)
                 at = _hits(h, words)
                 here = np.flatnonzero(at >= 0)
@@ -182,23 +184,24 @@ def _score(shared):
                 above = _sigmoid(eta[:, None] - theta[None, :])
                 most = np.concatenate([np.ones((c.n, 1)), above], axis=1) - np.concatenate([above, np.zeros((c.n, 1))], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.first, c.n), pa.array(above.sum(axis=1)), pa.array(most.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)],
-                    names=["doc_id", "severity", "grade", "p_toxic", "toxic"],
+                    [*(batch.column(k).slice(c.first, c.n) for k in range(1, carried + 1)), pa.array(above.sum(axis=1)), pa.array(most.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)],
+                    names=[*batch.schema.names[1 : carried + 1], "severity", "grade", "p_toxic", "toxic"],
                 )
 
     return run
 
 
-def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> DataFrame:
-    """Severity of every document: doc_id, severity (expected grade, 0 to 3), grade (most probable), p_toxic, toxic (p_toxic >= 0.5).
+def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Severity of every document: the id and ``carry``, severity (expected grade, 0 to 3), grade (most probable), p_toxic, toxic (p_toxic >= 0.5).
 
     Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII, of
     the whole text; a null or empty text has none and gets the severity of a
     document without features. Without labels of both kinds all severities are 0.
     """
-    model = train(docs.select("doc_id", "text"), labels, sample, features)
+    model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, sample, features)
+    kept = list(dict.fromkeys([id_col, *carry]))
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"), F.lit(False).alias("toxic"))
+        return docs.select(*kept, F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"), F.lit(False).alias("toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_score(shared), f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(_score(shared, len(kept)), f"{kinds}severity double, grade int, p_toxic double, toxic boolean")
