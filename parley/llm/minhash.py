@@ -21,7 +21,7 @@ CHUNK = 1 << 19
 #: Bits of the filter that tells which texts are read again; a fixed bound (16 MB).
 FILTER_BITS = 1 << 27
 #: Open pairs for each row of the buckets up to which they are compared without further pivots.
-FEW = 16
+FEW = 4
 _U, _V = np.uint64, np.uint32
 _STEP = _V(0x9E3779B1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -160,23 +160,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, key) of keys that several documents have."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key").select("key", "doc_id")
+
+
+def _linkable(sets: DataFrame, percent: int) -> DataFrame:
+    """Ids of sets that can have a link at all: enough of their shingles occur in another set.
+
+    A set's similarity to any other is at most the share of its shingles that some
+    other one holds. Altered copies of one text, or documents around one passage,
+    are far more often told apart by their own shingles than by comparison.
+    """
+    own = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).filter("c = 1")
+    alone = own.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    size = F.size("shingles")
+    return sets.join(alone, "doc_id", "left").filter((size - F.coalesce("alone", F.lit(0))) * 100 >= size * percent).select("doc_id")
+
+
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) that connect all similar classes met in a band; each has been verified on full sets.
 
-    In every bucket one pivot, drawn by hash, is compared with all others. What
-    this leaves open are pairs of a bucket in different components; the triangle
+    Sets that can't have a link go first. In every bucket one pivot, drawn by
+    hash, is compared with all others. What this leaves open are pairs of a bucket in different components; the triangle
     inequality of the Jaccard distance (to the pivot) rules most of them out. If
     few can be left, they are compared at last. Else the members that a pivot is
     not connected with get a pivot of their own, and so on. So a bucket's pairs
     are not all made, and no link between components is lost.
     """
-    rows = reps.filter("doc_id IS NOT NULL").select("doc_id", F.explode("bands").alias("key"))
-    multi = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    members = stage(rows.join(multi, "key").select("key", "doc_id"), "minhash-buckets")
+    members = stage(_shared(reps.filter("doc_id IS NOT NULL").select("doc_id", F.explode("bands").alias("key"))), "minhash-buckets")
+    if members.isEmpty():
+        return None
+    sets = stage(_texts_again(docs, members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "minhash-sets")
+    members = stage(_shared(members.join(_linkable(sets, percent), "doc_id").select("doc_id", "key")), "minhash-linkable")
     total = members.count()
     if not total:
         return None
-    sets = stage(_texts_again(docs, members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "minhash-sets")
     limit = 1 - percent / 100 + 1e-9
     close = lambda x, y: (x - y <= limit) & (y - x <= limit)
     cross, known = None, None
