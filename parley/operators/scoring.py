@@ -51,11 +51,11 @@ def inverse_frequency(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def recall(pairs: DataFrame, idf: DataFrame, default: float, key: list[str], question: str = "question", answer: str = "answer") -> DataFrame:
+def recall(pairs: DataFrame, idf: DataFrame, default: Column, key: list[str], question: str = "question", answer: str = "answer") -> DataFrame:
     """Share of a question's distinct terms, weighted by rarity, that its answer takes up; null for a question without terms."""
     asked = pairs.select(*key, F.explode(F.array_distinct(T.content_terms(F.col(question)))).alias("term"), T.content_terms(F.col(answer)).alias("_said"))
     asked = asked.select(*key, "term", F.array_contains("_said", F.col("term")).alias("hit"))
-    weight = F.coalesce("idf", F.lit(default))
+    weight = F.coalesce("idf", default)
     return asked.join(idf, "term", "left").groupBy(*key).agg((F.sum(F.when(F.col("hit"), weight).otherwise(0.0)) / F.sum(weight)).alias("recall"))
 
 
