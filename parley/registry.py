@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.plans import analytics, corpus, fixtures, sessions
+
+_PLANS = (sessions, corpus, analytics, fixtures)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for plan in _PLANS for f in plan.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for plan in _PLANS for k, v in plan.ORACLE.items()}

@@ -24,7 +24,7 @@ def state_name(kind: Column) -> Column:
 def current_state(events: DataFrame, session: str, kind: str, ts: str) -> DataFrame:
     """The state of each session: that of the furthest event, the first of equals (an ended session stays as it ended)."""
     known = events.filter(F.col(kind).isin(list(STATES)))
-    order = F.struct(state_rank(F.col(kind)), -F.unix_micros(ts))
+    order = F.struct(state_rank(F.col(kind)), -F.unix_micros(F.col(ts).cast("timestamp")))
     return known.groupBy(session).agg(F.max_by(state_name(F.col(kind)), order).alias("state"), F.count("*").alias("events"))
 
 
