@@ -22,6 +22,8 @@ CHUNK = 1 << 19
 FILTER_BITS = 1 << 27
 #: Open pairs for each row of the buckets up to which they are compared without further pivots.
 FEW = 4
+#: Members of a bucket up to which all its open pairs may be compared, and documents of a shingle up to which it is rare.
+SMALL, RARE = 16, 8
 _U, _V = np.uint64, np.uint32
 _STEP = _V(0x9E3779B1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -178,15 +180,48 @@ def _linkable(sets: DataFrame, percent: int) -> DataFrame:
     return sets.join(alone, "doc_id", "left").filter((size - F.coalesce("alone", F.lit(0))) * 100 >= size * percent).select("doc_id")
 
 
+def _by_rare(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components that share a rare shingle, and the members that can have a link without one.
+
+    Only buckets of more than ``SMALL`` members are looked at; a shingle is rare
+    if at most ``RARE`` of their documents hold it, so it gives few pairs. Two sets
+    without a rare shingle in common share at most what either has besides its
+    rare ones; a link needs percent / (100 + percent) of both sizes. Altered
+    copies of one text that are too far from its other copies leave here.
+    """
+    members = placed.join(placed.groupBy("key").agg(F.count("*").alias("m")), "key")
+    large = members.filter(F.col("m") > SMALL).select("doc_id", "mine").distinct()
+    held = sets.join(large, "doc_id").select("doc_id", "mine", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rare = held.groupBy("s").agg(F.count("*").alias("c"), (F.min("mine") < F.max("mine")).alias("across")).filter(F.col("c") <= RARE)
+    rows = stage(held.join(rare, "s").select("s", "doc_id", "mine", "across"), "minhash-rare")
+    x = rows.filter("across").select("s", F.col("doc_id").alias("a"), F.col("mine").alias("ma"))
+    y = rows.filter("across").select("s", F.col("doc_id").alias("b"), F.col("mine").alias("mb"))
+    pairs = x.join(y, "s").filter("a < b AND ma <> mb").select("a", "b").distinct()
+    size = sets.select("doc_id", F.size("shingles").alias("n")).join(large.select("doc_id"), "doc_id")
+    size = size.join(rows.groupBy("doc_id").agg(F.count("*").alias("rare")), "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("rest"))
+    sized = members.join(size, "doc_id", "left")
+    sized = sized.join(sized.groupBy("key").agg(F.min("n").alias("least")), "key")
+    able = (F.col("m") <= SMALL) | (F.col("rest") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
+    return pairs, sized.filter(able).select(placed.columns)
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """key and the number of pairs in different components of the buckets that have such pairs."""
+    sizes = placed.groupBy("key", "mine").agg(F.count("*").alias("k")).groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
+    return stage(sizes.filter("open > 0"), "minhash-open")
+
+
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) that connect all similar classes met in a band; each has been verified on full sets.
 
     Sets that can't have a link go first. In every bucket one pivot, drawn by
     hash, is compared with all others. What this leaves open are pairs of a bucket in different components; the triangle
-    inequality of the Jaccard distance (to the pivot) rules most of them out. If
-    few can be left, they are compared at last. Else the members that a pivot is
-    not connected with get a pivot of their own, and so on. So a bucket's pairs
-    are not all made, and no link between components is lost.
+    inequality of the Jaccard distance (to the pivot) rules most of them out.
+    Once, pairs that share a rare shingle are compared and members that need one
+    leave. If few pairs can be left, they are compared at last. Else the members
+    that a pivot is not connected with get a pivot of their own, and so on, with
+    twice as many pairs allowed to the last step each time. So a bucket's pairs are
+    not all made, and no link between components is lost.
     """
     members = stage(_shared(reps.filter("doc_id IS NOT NULL").select("doc_id", F.explode("bands").alias("key"))), "minhash-buckets")
     if members.isEmpty():
@@ -198,7 +233,8 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
         return None
     limit = 1 - percent / 100 + 1e-9
     close = lambda x, y: (x - y <= limit) & (y - x <= limit)
-    cross, known = None, None
+    cross, known, few = None, None, FEW * total
+    first = True
     while True:
         lead = F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("p")))
         pivots = members.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.p").alias("p"))
@@ -216,8 +252,14 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
         placed = spokes.join(known.select("a", "b", "far"), ["a", "b"], "left").join(own, "doc_id", "left").join(hub, "p", "left")
         far = F.when(F.col("doc_id") == F.col("p"), 0.0).otherwise(F.col("far"))
         placed = stage(placed.select("key", "doc_id", far.alias("far"), F.coalesce("mine", "doc_id").alias("mine"), F.coalesce("theirs", "p").alias("theirs")), "minhash-placed")
-        sizes = placed.groupBy("key", "mine").agg(F.count("*").alias("k")).groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
-        sizes = stage(sizes.filter("open > 0"), "minhash-open")
+        sizes = _open(placed)
+        if first and not sizes.isEmpty():
+            shared, placed = _by_rare(placed.join(sizes.select("key"), "key"), sets, percent)
+            shared = shared.join(known.select("a", "b"), ["a", "b"], "left_anti")
+            known = known.unionByName(stage(_verified(shared, sets, percent), "minhash-pairs"))
+            links = known.filter("linked").select("a", "b")
+            placed = stage(placed, "minhash-able")
+            sizes = _open(placed)
         open_ = sizes.agg(F.sum("open")).first()[0] or 0
         if not open_:
             return links
@@ -225,12 +267,13 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
         x = placed.select("key", F.col("doc_id").alias("x"), F.col("far").alias("fx"), F.col("mine").alias("mx"), "theirs")
         y = placed.select("key", F.col("doc_id").alias("y"), F.col("far").alias("fy"), F.col("mine").alias("my"))
         both = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-        if open_ <= FEW * total:
+        if open_ <= few:
             last = x.join(y, "key").filter((F.col("mx") < F.col("my")) & close(F.col("fx"), F.col("fy"))).select(*both).distinct()
             last = last.join(known.select("a", "b"), ["a", "b"], "left_anti")
             return stage(links.unionByName(_verified(last, sets, percent).filter("linked").select("a", "b")), "minhash-links")
         members = placed.filter("mine <> theirs").select("key", "doc_id")
         cross = x.filter("mx = theirs").join(y, "key").filter((F.col("mx") != F.col("my")) & close(F.col("fx"), F.col("fy"))).select(*both)
+        first, few = False, max(2 * few, 1)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,14 +44,17 @@ def test_components(spark):
     assert got == want
 
 
-def test_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("groups,small,few", [(12, 16, 4), (2, 4, 0), (2, 16, 4)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, groups, small, few):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "FEW", few)
     rng = random.Random(4)
-    base = [[f"w{rng.randrange(4000)}" for _ in range(80)] for _ in range(12)]
+    base = [[f"w{rng.randrange(4000)}" for _ in range(80)] for _ in range(groups)]
     texts = []
     for i in range(160):
-        words = list(base[i % 12])
+        words = list(base[i % groups])
         for _ in range(rng.randrange(5)):
-            words[rng.randrange(80)] = f"z{rng.randrange(9000)}"
+            words[rng.randrange(80)] = f"z{rng.randrange(9000 if groups > 2 else 40)}"
         texts.append((i, " ".join(words)))
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(76)} for i, t in texts}
