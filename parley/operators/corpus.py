@@ -125,12 +125,12 @@ def shifted_pairs(df: DataFrame, order: str, shift: int = 37) -> DataFrame:
     return ranked.join(other, F.pmod(F.col("place") + shift, n) == F.col("_p")).select(F.col(order).alias("positive"), "negative")
 
 
-def global_rank(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """Adds place (from 0) in the order of a numeric column: ranks within ranges of it, plus what lies in the ranges before."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max((high - low) / buckets, 1e-12) if low is not None else 1
-    held = df.withColumn("_b", F.floor((F.col(order) - F.lit(low)) / width) if low is not None else F.lit(0))
+def global_rank(df: DataFrame, order: str, ties: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
+    """Adds place (from 0) in the order of a numeric column, then ``ties``: ranks within quantiles of it, plus what lies in the quantiles before."""
+    bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    at = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col(order)))
+    held = df.withColumn("_b", at)
     sizes = held.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_b"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order, *ties)) - 1
     return held.withColumn("_r", rank).join(before, "_b").withColumn("place", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")

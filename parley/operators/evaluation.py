@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators.corpus import global_rank
 
 
 def tokens_13a(text: Column) -> Column:
@@ -147,7 +148,8 @@ def minmax_rank(df: DataFrame, key: str, weights: dict[str, float], lower_is_bet
         return F.when(hi - lo < 1e-6, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), up)))
 
     score = F.round(sum((scaled(m) * w for m, w in weights.items()), F.lit(0.0)), 4)
-    return rows.select(key, score.alias("final_score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final_score"), key)))
+    ranked = global_rank(rows.select(key, score.alias("final_score"), (-score).alias("_o")), "_o", (key,))
+    return ranked.select(key, "final_score", (F.col("place") + 1).alias("rank"))
 
 
 def gate(runs: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def grouped_eval(spark, sf_dir):
 
 
 def minmax_rank(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 40").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
     return E.minmax_rank(s, "s_suppkey", {"balance": 0.7, "nation": 0.3}, {"nation"})
 
 
@@ -300,7 +300,7 @@ d AS (SELECT (fpr - lag(fpr, 1, 0) OVER w) * (tpr + lag(tpr, 1, 0) OVER w) / 2 A
 SELECT round(sum(roc), 6) AS roc_auc, round(sum(pr), 6) AS pr_auc FROM d""",
     "grouped_eval": """SELECT lang, source, count(*) AS n, round(avg(quality), 6) AS quality, round(sum(n_chars) / count(*), 6) AS mean_chars, round(exp(sum(toxic) / nullif(sum(quality), 0)), 6) AS ratio
 FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))""",
-    "minmax_rank": """WITH s AS (SELECT s_suppkey, s_acctbal AS b, s_nationkey::DOUBLE AS n FROM supplier WHERE s_suppkey < 40), e AS (SELECT min(b) AS b0, max(b) AS b1, min(n) AS n0, max(n) AS n1 FROM s),
+    "minmax_rank": """WITH s AS (SELECT s_suppkey, s_acctbal AS b, s_nationkey::DOUBLE AS n FROM supplier), e AS (SELECT min(b) AS b0, max(b) AS b1, min(n) AS n0, max(n) AS n1 FROM s),
 f AS (SELECT s_suppkey, round(0.7::DOUBLE * ((b - b0) / (b1 - b0 + 1e-8)) + 0.3::DOUBLE * ((n1 - n) / (n1 - n0 + 1e-8)), 4) AS final_score FROM s, e)
 SELECT s_suppkey, final_score, (row_number() OVER (ORDER BY final_score DESC, s_suppkey))::INT AS rank FROM f""",
     "bleu_corpus": f"""WITH {_REPLIES}, {_matches(_tok13('text'), _tok13('nx'), 4)}, o AS (SELECT n, sum(matched) AS m, sum(total) AS t, sum(wanted) AS w FROM mt GROUP BY n)
