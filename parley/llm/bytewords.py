@@ -6,7 +6,9 @@ and end positions in it. No Python object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +16,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at once; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 256
 
@@ -140,3 +142,19 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     c = np.zeros(len(values) + 1, dtype=np.float64)
     np.cumsum(values, out=c[1:])
     return c[offsets[1:]] - c[offsets[:-1]]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches; when a task ends, its worker gives freed memory back, as it stays for later tasks."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return out

@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import chunks, hash_words
+from .bytewords import chunks, hash_words, tidy
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Pieces of more bytes aren't used.
@@ -222,7 +222,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str = VOCABULARY,
         return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((hash(p.tobytes()), v, p))
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(_predict(shared, langs, len(kept)), f"{kinds}lang_pred string, score double")
+    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(tidy(_predict(shared, langs, len(kept))), f"{kinds}lang_pred string, score double")
 
 
 def held_out(doc_id="doc_id"):

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import NOT_SPACE, Chunk, chunks, hash_words, mix64
+from .bytewords import NOT_SPACE, Chunk, chunks, hash_words, mix64, tidy
 from .components import connected_components
 from .staging import discard, stage
 
@@ -145,7 +145,7 @@ def _texts_again(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap = np.zeros(bits // 32, dtype="<u4")
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy().astype("<u4")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
-    return docs.mapInArrow(lambda batches: _sets(shared.value, bits)(batches), "doc_id long, shingles array<long>")
+    return docs.mapInArrow(lambda batches: tidy(_sets(shared.value, bits))(batches), "doc_id long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = stage(source.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, bands array<long>"), "minhash-sketch")
+    sketch = stage(source.mapInArrow(tidy(_sketch), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "minhash-sketch")
     classes = stage(sketch.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes")
     links = _links(source, classes, percent)
     top = classes.select("k1", "k2", "n", "doc_id")

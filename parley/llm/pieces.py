@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .bytewords import Chunk, chunks, gather, hash_words
+from .bytewords import Chunk, chunks, gather, hash_words, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -200,7 +200,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, scores: str = "rank") -> D
     pieces, runs of spaces stay. A null or empty text has no ids (crc 0).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encode(model, scores), f"doc_id {kind}, n_tokens long, ids array<int>, text_crc32 long, decoded_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encode(model, scores)), f"doc_id {kind}, n_tokens long, ids array<int>, text_crc32 long, decoded_crc32 long")
 
 
 def decode_texts(encoded: DataFrame, model: str = MODEL) -> DataFrame:

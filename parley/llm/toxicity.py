@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import ALNUM, Chunk, chunks, hash_words, mix64
+from .bytewords import ALNUM, Chunk, chunks, hash_words, mix64, tidy
 from .staging import stage
 
 #: Labelled documents (in expectation) on which the model is fitted, and words it may use.
@@ -51,7 +51,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _select(sample: DataFrame, n_toxic: int, n_clean: int, features: int) -> np.ndarray:
     """Hashes of the words most associated with the label, sorted; at most ``features``."""
-    df = sample.select("text", "toxic").mapInArrow(_vocabulary, "word long, toxic int").groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n"))
+    df = sample.select("text", "toxic").mapInArrow(tidy(_vocabulary), "word long, toxic int").groupBy("word").agg(F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n"))
     df = df.filter(F.col("n") >= LEAST_DOCS)
     share, rest = n_toxic / (n_toxic + n_clean), n_clean / (n_toxic + n_clean)
     log = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     if not n_toxic or n_toxic == n_all:
         return None
     words = _select(rows, n_toxic, n_all - n_toxic, features)
-    got = rows.mapInArrow(_rows(words), "toxic int, cols array<int>, vals array<double>").toArrow()
+    got = rows.mapInArrow(tidy(_rows(words)), "toxic int, cols array<int>, vals array<double>").toArrow()
     toxic = got.column("toxic").to_numpy().astype(np.int64)
     cols, vals = (np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in got.column(k).chunks)]) for k in ("cols", "vals"))
     cols = cols.astype(np.int64)
@@ -204,4 +204,4 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fea
         return docs.select(*kept, F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"), F.lit(False).alias("toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
-    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(_score(shared, len(kept)), f"{kinds}severity double, grade int, p_toxic double, toxic boolean")
+    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(tidy(_score(shared, len(kept))), f"{kinds}severity double, grade int, p_toxic double, toxic boolean")
