@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import lexicons as L
 from parley.functions import text as T
 from parley.operators import corpus as C
+from parley.operators import spans as S
 from parley.plans import sql as Q
 from parley.plans.tables import table
 
@@ -92,10 +93,8 @@ def split_leakage(spark, sf_dir):
 
 def contamination(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    first = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = first.groupBy("line").agg(F.min("doc_id").alias("doc_id"))
-    rows = C.similar_pairs(bench, lines, "item_id", "line", "text", "line", 0.6).join(lines.withColumnRenamed("line", "b"), "b")
-    return rows.groupBy(F.col("a").alias("item_id"), "doc_id").agg(F.max("shared").alias("shared"), F.round(F.max("similarity"), 6).alias("similarity"))
+    rows = S.spans_like(bench, docs, "item_id", "doc_id", "text", "text", 0.6)
+    return rows.withColumn("similarity", F.round("similarity", 6))
 
 
 def split_overlap(spark, sf_dir):
