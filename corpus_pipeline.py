@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from parley.llm.staging import stage
 
 #: A document whose language is less sure than this goes.
 LEAST_LANGUAGE = 0.5
+#: Documents that share this much of their shingles, in percent, are near duplicates here; op6 has a threshold of its own.
+NEAR_PERCENT = 80
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -38,9 +42,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _named(found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)), names)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = 85) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id. Rows without an id stay."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=percent)
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
@@ -64,7 +68,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("language", drop_unknown_language),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", partial(drop_near_duplicates, percent=NEAR_PERCENT)),
     ("mixing", mix),
     ("sentencepiece", encode),
 ]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +61,16 @@ def shingles(chunk: Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     return s[new], kept[offsets]
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of BANDS * ROWS minima for each non-empty document.
+def bands_for(percent: int) -> int:
+    """Bands at which a pair just at ``percent`` is missed no more often than one at 0.85 in ``BANDS`` of them."""
+    if percent >= 100:
+        return 1
+    met = max(percent, 1) / 100
+    return max(math.ceil(BANDS * math.log1p(-(0.85**ROWS)) / math.log1p(-(met**ROWS)) - 1e-9), 1)
+
+
+def signatures(sets: np.ndarray, offsets: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A row of bands * ROWS minima for each non-empty document.
 
     Circulant: one permutation (the shingle's hash, 32 bits) places a shingle on
     the circle, a second one (an integer bijection), shifted by k steps, gives
@@ -69,9 +78,9 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     x = (sets >> _U(32)).astype(_V)
     begins = offsets[:-1][np.diff(offsets) > 0]
-    out = np.empty((len(begins), BANDS * ROWS), dtype=_V)
+    out = np.empty((len(begins), bands * ROWS), dtype=_V)
     y, t = np.empty_like(x), np.empty_like(x)
-    for k in range(BANDS * ROWS):
+    for k in range(bands * ROWS):
         np.add(x, _V((k * int(_STEP)) & 0xFFFFFFFF), out=y)
         for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, None)):
             np.right_shift(y, _V(shift), out=t)
@@ -83,30 +92,33 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    s = signature.reshape(-1, BANDS, ROWS).astype(_U)
-    key = np.arange(1, BANDS + 1, dtype=_U)[None, :] * _U(0x2545F4914F6CDD1D)
+def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    s = signature.reshape(-1, bands, ROWS).astype(_U)
+    key = np.arange(1, bands + 1, dtype=_U)[None, :] * _U(0x2545F4914F6CDD1D)
     for j in range(ROWS):
         key = mix64(key ^ (s[:, :, j] + _ODD[j]))
     return key.view(np.int64)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for c in chunks(batch.column(1), CHUNK):
-            sets, offsets = shingles(c)
-            n = np.diff(offsets)
-            keys = []
-            for odd in (_ODD[0], _ODD[1]):
-                total = np.zeros(len(sets) + 1, dtype=_U)
-                np.cumsum(mix64(sets ^ odd), out=total[1:])
-                keys.append(pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)))
-            bands = band_keys(signatures(sets, offsets)).ravel()
-            where = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(c.first, c.n), pa.array(n.astype(np.int64)), *keys, pa.ListArray.from_arrays(where, pa.array(bands))],
-                names=["doc_id", "n", "k1", "k2", "bands"],
-            )
+def _sketch(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch.column(1), CHUNK):
+                sets, offsets = shingles(c)
+                n = np.diff(offsets)
+                keys = []
+                for odd in (_ODD[0], _ODD[1]):
+                    total = np.zeros(len(sets) + 1, dtype=_U)
+                    np.cumsum(mix64(sets ^ odd), out=total[1:])
+                    keys.append(pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)))
+                bands = band_keys(signatures(sets, offsets, count), count).ravel()
+                where = np.concatenate([[0], np.cumsum(np.where(n > 0, count, 0))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(c.first, c.n), pa.array(n.astype(np.int64)), *keys, pa.ListArray.from_arrays(where, pa.array(bands))],
+                    names=["doc_id", "n", "k1", "k2", "bands"],
+                )
+
+    return read
 
 
 def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -289,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = stage(source.mapInArrow(tidy(_sketch), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "minhash-sketch")
+    sketch = stage(source.mapInArrow(tidy(_sketch(bands_for(percent))), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "minhash-sketch")
     classes = stage(sketch.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes")
     links = _links(source, classes, percent)
     top = classes.select("k1", "k2", "n", "doc_id")
