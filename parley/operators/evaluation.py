@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from parley.functions import text as T
 from parley.operators.corpus import global_rank
@@ -64,16 +66,27 @@ def rouge_n(pairs: DataFrame, key: str, prediction: Column, reference: Column) -
     return pairs.select(key).join(scores, key, "left").select(key, F.coalesce("rouge1", F.lit(0.0)).alias("rouge1"), F.coalesce("rouge2", F.lit(0.0)).alias("rouge2"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one row of the table for each token of ``a``."""
-    start = F.transform(b, lambda _: F.lit(0))
+def _lcs(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of the table as the bits of one integer."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        met = row & at.get(y, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
+
 
-    def row(before: Column, x: Column) -> Column:
-        rows = F.zip_with(F.zip_with(b, before, lambda y, up: F.struct(y.alias("y"), up.alias("up"))), F.slice(F.concat(F.array(F.lit(0)), before), F.lit(1), F.size(before)), lambda p, d: F.struct(p["y"].alias("y"), p["up"].alias("up"), d.alias("d")))
-        best = F.transform(rows, lambda r: F.when(r["y"] == x, r["d"] + 1).otherwise(r["up"]))
-        return F.aggregate(best, F.array().cast("array<int>"), lambda acc, v: F.concat(acc, F.array(F.greatest(v, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))))
+@F.arrow_udf(IntegerType())
+def _lcs_lengths(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([_lcs(x.as_py() or [], y.as_py() or []) for x, y in zip(a, b, strict=True)], pa.int32())
 
-    return F.coalesce(F.array_max(F.aggregate(a, start, row)), F.lit(0))
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of tokens; 0 if one is null."""
+    return _lcs_lengths(a, b)
 
 
 def rouge_l(prediction: Column, reference: Column) -> Column:

@@ -125,8 +125,7 @@ def sentence_bleu(spark, sf_dir):
 
 
 def rouge_l(spark, sf_dir):
-    short = _replies(spark, sf_dir).select("id", F.split("text", "\n")[0].alias("a"), F.split("next", "\n")[0].alias("b"))
-    return short.select("id", F.round(E.rouge_l(F.col("a"), F.col("b")), 6).alias("rouge_l"))
+    return _replies(spark, sf_dir).select("id", F.round(E.rouge_l(F.col("text"), F.col("next")), 6).alias("rouge_l"))
 
 
 def run_diff(spark, sf_dir):
@@ -137,8 +136,7 @@ def run_diff(spark, sf_dir):
 
 
 def character_errors(spark, sf_dir):
-    short = _replies(spark, sf_dir).select(F.split("text", "\n")[0].alias("a"), F.split("next", "\n")[0].alias("b"))
-    return _r(E.error_rates(short, F.col("a"), F.col("b")), "cer")
+    return _r(E.error_rates(_replies(spark, sf_dir), F.col("text"), F.col("next")), "cer")
 
 
 def interval_merge(spark, sf_dir):

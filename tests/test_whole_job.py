@@ -7,7 +7,7 @@ import corpus_pipeline
 from parley.functions import lexicons as L
 from parley.llm import minhash
 from parley.operators import spans
-from parley.plans import corpus
+from parley.plans import analytics, corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,37 @@ def test_near_duplicate_stage_against_all_pairs_at_80(spark):
     got = {r["doc_id"] for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()}
     assert got == set(group.values())
     assert minhash.bands_for(85) == minhash.BANDS and (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) < 8.1e-6
+
+
+def test_rouge_l_and_character_errors_of_whole_turns(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").filter("role = 'assistant'").orderBy("conv_id", "turn").collect()
+    pairs = {f"{x['conv_id']}-{x['turn']}": (x["text"], y["text"]) for x, y in zip(turns, turns[1:], strict=False) if x["conv_id"] == y["conv_id"]}
+    assert any("\n" in a for a, _ in pairs.values())
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    want = {}
+    for k, (a, b) in pairs.items():
+        x, y = (re.findall("[a-z0-9]+", t.lower()) for t in (a, b))
+        n = common(x, y)
+        want[k] = round(2 * n / (len(x) + len(y)), 6) if n else 0.0
+    got = {r["id"]: r["rouge_l"] for r in analytics.rouge_l(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    cer = sum(edits(a, b) for a, b in pairs.values()) / sum(len(b) for _, b in pairs.values())
+    assert abs(analytics.character_errors(spark, SF).first()["cer"] - cer) < 2e-6
