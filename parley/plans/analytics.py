@@ -22,8 +22,8 @@ def _r(df, *columns):
 
 def tfidf_topk(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    weights = R.tfidf(docs, "doc_id", "text", pairs=False)
-    queries = R.query_weights(bench, "item_id", "text", docs, "doc_id", "text", pairs=False)
+    weights = R.tfidf(docs, "doc_id", "text")
+    queries = R.query_weights(bench, "item_id", "text", docs, "doc_id", "text")
     top = R.top_by_terms(queries, weights, 5)
     return top.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "place")
 

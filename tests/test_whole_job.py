@@ -1,7 +1,9 @@
 """Queries that once did part of the job, against plain versions of the whole."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 from parley.functions import lexicons as L
@@ -102,3 +104,30 @@ def test_rouge_l_and_character_errors_of_whole_turns(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     cer = sum(edits(a, b) for a, b in pairs.values()) / sum(len(b) for _, b in pairs.values())
     assert abs(analytics.character_errors(spark, SF).first()["cer"] - cer) < 2e-6
+
+
+def test_tfidf_has_word_pairs(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def terms(text):
+        one = [w for w in re.findall(r"\w{2,}", (text or "").lower()) if w not in L.SCORE_STOP]
+        return Counter(one + [f"{a} {b}" for a, b in zip(one, one[1:], strict=False)])
+
+    counts = {d: terms(t) for d, t in docs}
+    df = Counter(t for c in counts.values() for t in c)
+    idf = {t: math.log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items()}
+
+    def weights(c):
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    vectors = {d: weights(c) for d, c in counts.items()}
+    got = {(r["item_id"], r["place"]): r["score"] for r in analytics.tfidf_topk(spark, SF).collect()}
+    want = {}
+    for i, text in items:
+        q = weights(terms(text))
+        best = sorted((s for s in (sum(x * v.get(t, 0.0) for t, x in q.items()) for v in vectors.values()) if s > 0), reverse=True)[:5]
+        want |= {(i, k + 1): s for k, s in enumerate(best)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
