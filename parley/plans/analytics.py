@@ -30,7 +30,7 @@ def tfidf_topk(spark, sf_dir):
 
 def embedding_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return R.top_by_vector(v.filter("vec_id % 100 = 0"), v, 5, "vec_id", "embedding", "label").select("query", "id", "similarity", "place")
+    return R.top_by_vector(v.filter("vec_id % 100 = 0"), v, 5, "vec_id", "embedding").select("query", "id", "similarity", "place")
 
 
 def history_left_join(spark, sf_dir):

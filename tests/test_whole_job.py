@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from parley.functions import lexicons as L
 from parley.llm import minhash
-from parley.operators import spans
+from parley.operators import retrieval, spans
 from parley.plans import analytics, corpus
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +133,30 @@ def test_tfidf_has_word_pairs(spark):
         best = sorted((s for s in (sum(x * v.get(t, 0.0) for t, x in q.items()) for v in vectors.values()) if s > 0), reverse=True)[:5]
         want |= {(i, k + 1): s for k, s in enumerate(best)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_embedding_search_meets_all_vectors(spark, monkeypatch):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    v = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = {r["vec_id"]: r["label"] for r in rows}
+    want = []
+    for at in np.flatnonzero(ids % 100 == 0):
+        near = np.round(v @ v[at], 6)
+        order = [i for i in np.lexsort((ids, -near)) if i != at][:5]
+        want += [(int(ids[at]), k + 1, int(ids[i]), float(near[i])) for k, i in enumerate(order)]
+    for block in (retrieval.BLOCK, 60):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        got = sorted((r["query"], r["place"], r["id"], r["similarity"]) for r in analytics.embedding_topk(spark, SF).collect())
+        assert got == sorted(want)
+    assert any(label[q] != label[d] for q, _, d, _ in want)
+
+
+def test_embedding_search_within_a_group(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 1), (3, [0.0, 1.0], 0), (4, [0.0, 0.0], None), (5, None, 1)], "id long, v array<float>, g int")
+    near = lambda group: sorted((r["query"], r["place"], r["id"]) for r in retrieval.top_by_vector(df.filter("id IN (1, 4)"), df, 2, "id", "v", group).collect())
+    assert near(None) == [(1, 1, 2), (1, 2, 3), (4, 1, 1), (4, 2, 2)]
+    assert near("g") == [(1, 1, 3)]
+    alone = retrieval.top_by_vector(df.filter("id = 5"), df, 1, "id", "v").collect()
+    assert [(r["query"], r["id"], r["similarity"]) for r in alone] == [(5, 1, 0.0)]
