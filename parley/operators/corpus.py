@@ -100,9 +100,9 @@ def leaked(splits: DataFrame, id_col: str, text_col: str, threshold: float = 0.9
 
 
 def merge_new(existing: DataFrame, new: DataFrame, key: Column, order: Column) -> DataFrame:
-    """Existing rows, and those new ones whose key neither they nor an earlier new row has."""
+    """Existing rows, and those new ones whose key neither they nor an earlier new row has. A null key is like no other: its rows all stay."""
     fresh = new.withColumn("_key", key).join(existing.select(key.alias("_key")).distinct(), "_key", "left_anti")
-    first = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(order))).filter("_r = 1").drop("_r", "_key")
+    first = fresh.withColumn("_r", F.row_number().over(Window.partitionBy("_key", F.when(F.col("_key").isNull(), order)).orderBy(order))).filter("_r = 1 OR _key IS NULL").drop("_r", "_key")
     return existing.unionByName(first)
 
 

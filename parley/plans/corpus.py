@@ -108,7 +108,7 @@ def split_overlap(spark, sf_dir):
 def merged_corpus(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     key = F.lower(T.strip(F.regexp_replace("text", r"\s+", " ")))
-    old, new = docs.filter(F.col("lang") == "en"), docs.filter(F.col("lang") != "en")
+    old, new = docs.filter(F.col("lang") == "en"), docs.filter(~F.col("lang").eqNullSafe("en"))
     return C.merge_new(old, new, key, F.col("doc_id")).select("doc_id", "lang")
 
 

@@ -160,3 +160,10 @@ def test_embedding_search_within_a_group(spark):
     assert near("g") == [(1, 1, 3)]
     alone = retrieval.top_by_vector(df.filter("id = 5"), df, 1, "id", "v").collect()
     assert [(r["query"], r["id"], r["similarity"]) for r in alone] == [(5, 1, 0.0)]
+
+
+def test_merged_corpus_keeps_null_languages_and_texts(spark, tmp_path):
+    rows = [(1, "a  b", "en"), (2, "A b", None), (3, "c", None), (4, "C", "fr"), (5, None, "fr"), (6, None, None), (7, None, "en"), (8, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"], r["lang"]) for r in corpus.merged_corpus(spark, str(tmp_path)).collect())
+    assert got == [(1, "en"), (3, None), (5, "fr"), (6, None), (7, "en"), (8, "fr")]
