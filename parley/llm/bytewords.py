@@ -144,6 +144,18 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return c[offsets[1:]] - c[offsets[:-1]]
 
 
+_model: tuple[object, object] = (None, None)
+
+
+def worker_model(key: object, make: Callable[[], object]) -> object:
+    """The model of this key in a Python worker. A worker serves many stages and keeps one model: that of another operator goes first."""
+    global _model
+    if _model[0] != key:
+        _model = (None, None)
+        _model = (key, make())
+    return _model[1]
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function of batches; when a task ends, its worker gives freed memory back, as it stays for later tasks."""
 

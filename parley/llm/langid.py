@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,33 +11,33 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import chunks, hash_words, tidy
+from .bytewords import chunks, hash_words, tidy, worker_model
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Pieces of more bytes aren't used.
-LONGEST = 8
 #: Documents of each language (in expectation) from which piece probabilities are learned.
 SAMPLE = 400
 EM_ROUNDS = 3
 #: Added to the expected count of each piece.
 SMOOTHING = 0.02
+#: A longer word is learned in runs of so many bytes (scores take it whole).
+RUN = 48
 #: Words whose scores a worker keeps.
 KEPT_WORDS = 400_000
 UNKNOWN = "und"
+#: Bases of the keys of pieces of up to 8 bytes (a key is the piece itself) and of longer ones (hits are compared).
+_SHORT, _LONG = np.uint64(256), np.uint64(0x9E3779B97F4A7C15)
 
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def pieces(path: str = VOCABULARY) -> list[bytes]:
-    """The vocabulary's pieces of up to ``LONGEST`` bytes (a word's start is a space) and all single bytes."""
+    """All pieces of the vocabulary (a word's start is a space) and all single bytes."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {bytes([b]) for b in range(256)}
     for i in range(model.vocab_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if len(piece) <= LONGEST:
-                found.add(piece)
+            found.add(model.id_to_piece(i).replace("▁", " ").encode())
     return sorted(found)
 
 
@@ -44,23 +45,37 @@ class Segments:
     """Finds the pieces that end at each place of many words at once."""
 
     def __init__(self, vocabulary: list[bytes]):
-        self.size = len(vocabulary)
-        self.tables = []
-        for n in range(1, LONGEST + 1):
-            rows = sorted((int.from_bytes(p, "little"), i) for i, p in enumerate(vocabulary) if len(p) == n)
-            self.tables.append((np.array([k for k, _ in rows], dtype=np.uint64), np.array([i for _, i in rows], dtype=np.int64)))
+        self.size, self.longest = len(vocabulary), max(map(len, vocabulary))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(map(len, vocabulary))):
+            ids = np.array([i for i, p in enumerate(vocabulary) if len(p) == n], dtype=np.int64)
+            text = np.frombuffer(b"".join(vocabulary[i] for i in ids), dtype=np.uint8).reshape(len(ids), n)
+            key = np.zeros(len(ids), dtype=np.uint64)
+            for k in range(n - 1, -1, -1):
+                key = key * (_SHORT if n <= 8 else _LONG) + text[:, k]
+            if len(np.unique(key)) < len(key):
+                raise ValueError(f"pieces of {n} bytes share a key")
+            order = np.argsort(key, kind="stable")
+            self.tables[n] = key[order], ids[order], text[order]
 
     def ending(self, words: np.ndarray, t: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(start, rows of ``words``, ids) for each length of piece that ends before position ``t``."""
-        key = np.zeros(len(words), dtype=np.uint64)
-        for n in range(1, min(LONGEST, t) + 1):
-            key = (key << np.uint64(8)) | words[:, t - n].astype(np.uint64)
-            keys, ids = self.tables[n - 1]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == key)
-                if len(hit):
-                    yield t - n, hit, ids[at[hit]]
+        short, long = np.zeros(len(words), dtype=np.uint64), np.zeros(len(words), dtype=np.uint64)
+        for n in range(1, min(self.longest, t) + 1):
+            if n <= 8:
+                short = short * _SHORT + words[:, t - n]
+            if t > 8:
+                long = long * _LONG + words[:, t - n]
+            if n not in self.tables:
+                continue
+            keys, ids, text = self.tables[n]
+            key = short if n <= 8 else long
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == key)
+            if n > 8:
+                hit = hit[(words[hit, t - n : t] == text[at[hit]]).all(axis=1)]
+            if len(hit):
+                yield t - n, hit, ids[at[hit]]
 
     def forward(self, words: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Log of the summed probability of all segmentations, for each word and column of ``p``."""
@@ -71,11 +86,11 @@ class Segments:
             for s, rows, ids in self.ending(words, t):
                 now[rows] += a[s][rows] * p[ids]
             a.append(now)
-            if t > LONGEST:
-                a[t - LONGEST - 1] = None
+            if t > self.longest:
+                a[t - self.longest - 1] = None
             if t % 16 == 0:
                 scale += np.log(now)
-                for k in range(max(0, t - LONGEST), t + 1):
+                for k in range(max(0, t - self.longest), t + 1):
                     a[k] = a[k] / now
         return np.log(a[-1]) + scale
 
@@ -117,6 +132,7 @@ def train(docs: DataFrame, vocabulary: list[bytes], sample: int = SAMPLE) -> tup
     """Languages, and piece probabilities with a column for each, by expectation maximisation.
 
     ``docs``: doc_id, text, lang. Each language gives about ``sample`` whole documents, chosen by a hash of the id.
+    Words are those that scores have: runs of letters, lower-cased (A-Z).
     """
     known = docs.filter(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -125,13 +141,18 @@ def train(docs: DataFrame, vocabulary: list[bytes], sample: int = SAMPLE) -> tup
         return [], np.zeros((len(vocabulary), 0))
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(sample / n)) for k, n in sizes.items()))
     taken = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000)
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([a-z\x{80}-\x{10FFFF}]+)"), F.lit(1))
-    rows = taken.select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).filter(F.octet_length("w") <= 48).toPandas()
-    words = sorted(set(rows["w"]))
-    place, column = {w: i for i, w in enumerate(words)}, {k: i for i, k in enumerate(langs)}
-    counts = np.zeros((len(words), len(langs)))
-    counts[rows["w"].map(place).to_numpy(int), rows["lang"].map(column).to_numpy(int)] = rows["n"].to_numpy()
-    seg, held = Segments(vocabulary), list(_by_length([w.encode() for w in words]))
+    low = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.regexp_extract_all(low, F.lit(r"([a-z\x{80}-\x{10FFFF}]+)"), F.lit(1))
+    rows = taken.select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")).toPandas()
+    column = {k: i for i, k in enumerate(langs)}
+    found: dict[bytes, np.ndarray] = {}
+    for lang, w, n in zip(rows["lang"], rows["w"], rows["n"]):
+        raw = w.encode()
+        for lo in range(0, len(raw), RUN):
+            found.setdefault(raw[lo : lo + RUN], np.zeros(len(langs)))[column[lang]] += n
+    words = sorted(found)
+    counts = np.array([found[w] for w in words]).reshape(len(words), len(langs))
+    seg, held = Segments(vocabulary), list(_by_length(words))
     p = np.full((len(vocabulary), len(langs)), 1 / len(vocabulary))
     for _ in range(EM_ROUNDS):
         got = sum((seg.expected(m, counts[i], p) for i, m in held), np.zeros_like(p)) + SMOOTHING
@@ -169,12 +190,10 @@ class Scorer:
         return out[back]
 
 
-def _scorer(model):
+def _scorer(model) -> Scorer:
     """One scorer for each Python worker and model."""
     key, vocabulary, p = model
-    if getattr(_scorer, "key", None) != key:
-        _scorer.key, _scorer.scorer = key, Scorer(vocabulary, p)
-    return _scorer.scorer
+    return worker_model(("langid", key), lambda: Scorer(vocabulary, p))
 
 
 def _predict(shared, langs: list[str], carried: int):
@@ -229,8 +248,8 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def document_languages(docs: DataFrame) -> DataFrame:
+def document_languages(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Languages of all documents, learned from those that aren't held out: doc_id, held_out, lang_pred, score."""
     rows = docs.select("doc_id", "text", "lang")
-    out = identify(rows, rows.filter(~F.coalesce(held_out(), F.lit(True))))
+    out = identify(rows, rows.filter(~F.coalesce(held_out(), F.lit(True))), vocabulary)
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .bytewords import Chunk, chunks, gather, hash_words, tidy
+from .bytewords import Chunk, chunks, gather, hash_words, tidy, worker_model
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -22,8 +21,10 @@ UNKNOWN_PENALTY = 10.0
 #: Scores by rank are multiples of 1 / GRID, so that sums are exact and equal ones tie.
 GRID = 64
 #: Words whose ids a worker keeps; longer words are not kept.
-KEPT_WORDS, KEPT_BYTES = 300_000, 64
-CHUNK = 4 << 20
+KEPT_WORDS, KEPT_BYTES = 200_000, 64
+CHUNK = 1 << 20
+#: Rows of a batch that are marked at once.
+ROWS = 512
 
 
 class Vocabulary:
@@ -163,19 +164,22 @@ class Encoder:
         return ids, offsets[first]
 
 
-@functools.cache
 def _encoder(path: str, scores: str) -> tuple[Encoder, np.ndarray, np.ndarray]:
     """An encoder for each Python worker, and the bytes of all pieces."""
-    v = Vocabulary(path, scores)
-    sizes = np.zeros(v.size + 1, dtype=np.int64)
-    np.cumsum([len(t) for t in v.text], out=sizes[1:])
-    return Encoder(v), np.frombuffer(b"".join(v.text), dtype=np.uint8), sizes
+
+    def make() -> tuple[Encoder, np.ndarray, np.ndarray]:
+        v = Vocabulary(path, scores)
+        sizes = np.zeros(v.size + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in v.text], out=sizes[1:])
+        return Encoder(v), np.frombuffer(b"".join(v.text), dtype=np.uint8), sizes
+
+    return worker_model(("pieces", path, scores), make)
 
 
 def _encode(path: str, scores: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, letters, sizes = _encoder(path, scores)
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             column = batch.column(1).cast(pa.large_string())
             some = pc.fill_null(pc.not_equal(pc.binary_length(column), 0), False)
             marked = pc.if_else(some, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(column, ""), pa.scalar("", pa.large_string())), pa.scalar("", pa.large_string()))
