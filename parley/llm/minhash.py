@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +20,10 @@ BANDS, ROWS = 20, 5
 CHUNK = 1 << 19
 #: Bits of the filter that tells which texts are read again; a fixed bound (16 MB).
 FILTER_BITS = 1 << 27
-#: Open pairs for each row of the buckets up to which they are compared without further pivots.
-FEW = 4
-#: Members of a bucket up to which all its open pairs may be compared, and documents of a shingle up to which it is rare.
-SMALL, RARE = 16, 8
+#: Open pairs for each row of the buckets up to which it is looked which of them their distances leave possible.
+FEW = 16
+#: Members of a bucket up to which all its open pairs may be compared.
+SMALL = 16
 _U, _V = np.uint64, np.uint32
 _STEP = _V(0x9E3779B1)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -100,192 +99,210 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _set_keys(sets: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit sums of hashes of each set; with its size they name it."""
+    keys = []
+    for odd in (_ODD[0], _ODD[1]):
+        total = np.zeros(len(sets) + 1, dtype=_U)
+        np.cumsum(mix64(sets ^ odd), out=total[1:])
+        keys.append(pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)))
+    return keys
+
+
 def _sketch(count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch.column(1), CHUNK):
                 sets, offsets = shingles(c)
                 n = np.diff(offsets)
-                keys = []
-                for odd in (_ODD[0], _ODD[1]):
-                    total = np.zeros(len(sets) + 1, dtype=_U)
-                    np.cumsum(mix64(sets ^ odd), out=total[1:])
-                    keys.append(pa.array((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64)))
                 bands = band_keys(signatures(sets, offsets, count), count).ravel()
                 where = np.concatenate([[0], np.cumsum(np.where(n > 0, count, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.first, c.n), pa.array(n.astype(np.int64)), *keys, pa.ListArray.from_arrays(where, pa.array(bands))],
+                    [batch.column(0).slice(c.first, c.n), pa.array(n.astype(np.int64)), *_set_keys(sets, offsets), pa.ListArray.from_arrays(where, pa.array(bands))],
                     names=["doc_id", "n", "k1", "k2", "bands"],
                 )
 
     return read
 
 
-def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+def _slot(ids: pa.Array, bits: int) -> np.ndarray:
+    """The bit of each id in the filter; rows without an id share one."""
+    ids = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
     return mix64(ids.astype(np.int64).view(_U).copy()) & _U(bits - 1)
 
 
 def _sets(bitmap: np.ndarray, bits: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column(0)))
-            slot = _slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            slot = _slot(batch.column(0), bits)
             asked = (bitmap[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1
             batch = batch.filter(pa.array(asked.astype(bool)))
             for c in chunks(batch.column(1), CHUNK):
                 sets, offsets = shingles(c)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.n), pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
+                held = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(sets.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets).astype(np.int64)), *_set_keys(sets, offsets), held], names=["n", "k1", "k2", "shingles"])
 
     return read
 
 
-def _texts_again(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and shingle set of the documents in ``ids`` (and of a few more); their texts aren't shuffled.
+def _texts_again(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, n and shingle set of ``classes`` (node, doc_id, n, k1, k2); texts aren't shuffled.
 
-    The ids go out as a bitmap of their hashes, of bounded size; where it fills up, more sets are written, none is missed.
+    The ids go out as a bitmap of their hashes, of bounded size; where it fills up,
+    more texts are read again, none is missed. A set is known by its own keys, so
+    other texts under the same id don't take its place.
     """
-    n = ids.count()
+    n = classes.count()
     bits = 1 << 16
     while bits < min(16 * n, FILTER_BITS):
         bits *= 2
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column(0).to_numpy(), bits)).view(np.int64))], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column(0), bits)).view(np.int64))], names=["slot"])
 
-    words = ids.mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("b")).toArrow()
+    words = classes.select("doc_id").mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("b")).toArrow()
     bitmap = np.zeros(bits // 32, dtype="<u4")
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy().astype("<u4")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
-    return docs.mapInArrow(lambda batches: tidy(_sets(shared.value, bits))(batches), "doc_id long, shingles array<long>")
+    sets = docs.mapInArrow(lambda batches: tidy(_sets(shared.value, bits))(batches), "n long, k1 long, k2 long, shingles array<long>")
+    return sets.join(classes.select("node", "n", "k1", "k2"), ["n", "k1", "k2"]).dropDuplicates(["n", "k1", "k2"]).select("node", "n", "shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, far (Jaccard distance), linked (decided in whole numbers)."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-
-    return both.select("a", "b", inter.alias("inter"), F.size("sa").alias("na"), F.size("sb").alias("nb")).select(
-        "a", "b",
-        (1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("far"),
-        (F.col("inter").cast("long") * 100 >= (F.col("na") + F.col("nb") - F.col("inter")).cast("long") * percent).alias("linked"),
-    )
+    """a, b, apart (elements that only one of the sets has), linked; all in whole numbers, on full sets."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("inter"))
+    union = F.col("na") + F.col("nb") - F.col("inter")
+    return both.select("a", "b", (union - F.col("inter")).alias("apart"), (F.col("inter") * 100 >= union * percent).alias("linked"))
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, key) of keys that several documents have."""
-    return rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key").select("key", "doc_id")
+    """Rows of the keys that several sets have."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key")
 
 
-def _linkable(sets: DataFrame, percent: int) -> DataFrame:
-    """Ids of sets that can have a link at all: enough of their shingles occur in another set.
+def _weighed(sets: DataFrame, percent: int) -> DataFrame:
+    """node, n and lone (shingles that no other set has) of the sets that can have a link at all.
 
     A set's similarity to any other is at most the share of its shingles that some
     other one holds. Altered copies of one text, or documents around one passage,
     are far more often told apart by their own shingles than by comparison.
     """
-    own = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).filter("c = 1")
-    alone = own.groupBy("doc_id").agg(F.count("*").alias("alone"))
-    size = F.size("shingles")
-    return sets.join(alone, "doc_id", "left").filter((size - F.coalesce("alone", F.lit(0))) * 100 >= size * percent).select("doc_id")
-
-
-def _by_rare(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different components that share a rare shingle, and the members that can have a link without one.
-
-    Only buckets of more than ``SMALL`` members are looked at; a shingle is rare
-    if at most ``RARE`` of their documents hold it, so it gives few pairs. Two sets
-    without a rare shingle in common share at most what either has besides its
-    rare ones; a link needs percent / (100 + percent) of both sizes. Altered
-    copies of one text that are too far from its other copies leave here.
+    own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    lone = own.groupBy("node").agg(F.count("*").alias("lone"))
+    weighed = sets.select("node", "n").join(lone, "node", "left").select("node", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+    return weighed.filter((F.col("n") - F.col("lone")) * 100 >= F.col("n") * percent)
+
+
+def _alone(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """p, node and alone: elements in which the set differs from its pivot, but no other set of that pivot does."""
+    held = placed.filter("node <> p").select("p", "node").distinct()
+    differ = held.join(sets.select("node", F.col("shingles").alias("sx")), "node").join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("sp")), "p")
+    differ = differ.select("p", "node", F.explode(F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))).alias("e"))
+    alone = differ.groupBy("p", "e").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return held.join(alone.groupBy("p", "node").agg(F.count("*").alias("alone")), ["p", "node"], "left").select("p", "node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _able(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows of large buckets that can have a link between two components of their bucket.
+
+    Two sets at ``apart`` s and t from their pivot have s + t - 2i elements that
+    only one has, i being the differing elements they share. They are linked if
+    that is at most (100 - percent) / (100 + percent) of both sizes together. At
+    least one of them is in another component than the pivot, so not linked with
+    it, which bounds its t from below. Altered copies of one text share few
+    alterations, so nearly all of them leave here, in time in proportion to them.
     """
-    members = placed.join(placed.groupBy("key").agg(F.count("*").alias("m")), "key")
-    large = members.filter(F.col("m") > SMALL).select("doc_id", "mine").distinct()
-    held = sets.join(large, "doc_id").select("doc_id", "mine", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    rare = held.groupBy("s").agg(F.count("*").alias("c"), (F.min("mine") < F.max("mine")).alias("across")).filter(F.col("c") <= RARE)
-    rows = stage(held.join(rare, "s").select("s", "doc_id", "mine", "across"), "minhash-rare")
-    x = rows.filter("across").select("s", F.col("doc_id").alias("a"), F.col("mine").alias("ma"))
-    y = rows.filter("across").select("s", F.col("doc_id").alias("b"), F.col("mine").alias("mb"))
-    pairs = x.join(y, "s").filter("a < b AND ma <> mb").select("a", "b").distinct()
-    size = sets.select("doc_id", F.size("shingles").alias("n")).join(large.select("doc_id"), "doc_id")
-    size = size.join(rows.groupBy("doc_id").agg(F.count("*").alias("rare")), "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("rest"))
-    sized = members.join(size, "doc_id", "left")
-    sized = sized.join(sized.groupBy("key").agg(F.min("n").alias("least")), "key")
-    able = (F.col("m") <= SMALL) | (F.col("rest") * (100 + percent) >= (F.col("n") + F.col("least")) * percent)
-    return pairs, sized.filter(able).select(placed.columns)
+    least, most = F.lit(100 + percent), F.lit(100 - percent)
+    rows = placed.filter("node <> p").join(_alone(placed, sets), ["p", "node"]).withColumn("common", F.col("apart") - F.col("alone"))
+    rows = rows.withColumn("far", least * (F.col("apart") - 2 * F.col("common")) < most * (F.col("n") - F.col("np")))
+    hub = rows.filter("far AND mine = theirs").groupBy("key").agg(F.max("n").alias("hub"))
+    near = least * (F.col("apart") - F.col("common")) <= most * (F.col("hub") + F.col("n"))
+    return rows.join(hub, "key", "left").filter(F.col("far") | ((F.col("mine") != F.col("theirs")) & F.coalesce(near, F.lit(False)))).select("key", "p", "np", "node", "n", "apart", "common", "mine", "theirs")
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """key and the number of pairs in different components of the buckets that have such pairs."""
-    sizes = placed.groupBy("key", "mine").agg(F.count("*").alias("k")).groupBy("key").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("open"))
-    return stage(sizes.filter("open > 0"), "minhash-open")
-
-
-def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) that connect all similar classes met in a band; each has been verified on full sets.
-
-    Sets that can't have a link go first. In every bucket one pivot, drawn by
-    hash, is compared with all others. What this leaves open are pairs of a bucket in different components; the triangle
-    inequality of the Jaccard distance (to the pivot) rules most of them out.
-    Once, pairs that share a rare shingle are compared and members that need one
-    leave. If few pairs can be left, they are compared at last. Else the members
-    that a pivot is not connected with get a pivot of their own, and so on, with
-    twice as many pairs allowed to the last step each time. So a bucket's pairs are
-    not all made, and no link between components is lost.
+    """key, members and the number of pairs in different components of the buckets that have such pairs."""
+    sizes = placed.groupBy("key", "mine").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).cast("long").alias("open"))
+    return sizes.filter("open > 0")
+
+
+def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b: nodes) that connect all similar classes met in a band; each has been verified on full sets.
+
+    Sets that can't have a link go first. In every bucket the member with the
+    fewest elements of its own is the pivot and is compared with all others, so
+    the buckets of one family mostly have the same. What this leaves open are
+    pairs of a bucket in different components. Small buckets are finished: their
+    open pairs are compared, unless their distances to the pivot rule a link out.
+    Members of large buckets that can have no such link leave. If few pairs are
+    left that a link is possible for, no more than there are rows in the buckets,
+    these are compared. Else the rest gets a new pivot, and so on, with twice as
+    many pairs allowed each time.
+    So a bucket's pairs are not all made, and no link between components is lost.
     """
-    members = stage(_shared(reps.filter("doc_id IS NOT NULL").select("doc_id", F.explode("bands").alias("key"))), "minhash-buckets")
+    spent = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        spent.append(stage(df, label))
+        return spent[-1]
+
+    def finish(links: DataFrame | None) -> DataFrame | None:
+        out = None if links is None else stage(links, "minhash-links")
+        for df in spent:
+            discard(df)
+        return out
+
+    members = keep(_shared(classes.select("node", F.explode("bands").alias("key"))).select("key", "node"), "minhash-buckets")
     if members.isEmpty():
-        return None
-    sets = stage(_texts_again(docs, members.select("doc_id").distinct()).dropDuplicates(["doc_id"]), "minhash-sets")
-    members = stage(_shared(members.join(_linkable(sets, percent), "doc_id").select("doc_id", "key")), "minhash-linkable")
+        return finish(None)
+    met = classes.join(members.select("node").distinct(), "node").select("doc_id", "node", "n", "k1", "k2")
+    sets = keep(_texts_again(docs, met), "minhash-sets")
+    members = keep(_shared(members.join(_weighed(sets, percent), "node")).select("key", "node", "n", F.col("lone").alias("own")), "minhash-members")
     total = members.count()
     if not total:
-        return None
-    limit = 1 - percent / 100 + 1e-9
-    close = lambda x, y: (x - y <= limit) & (y - x <= limit)
-    cross, known, few = None, None, FEW * total
-    first = True
+        return finish(None)
+    known, few = None, max(total, 1)
     while True:
-        lead = F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), F.col("doc_id").alias("p")))
-        pivots = members.groupBy("key").agg(lead.alias("l")).select("key", F.col("l.p").alias("p"))
-        spokes = stage(members.join(pivots, "key").select("key", "p", "doc_id", F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")), "minhash-spokes")
-        pairs = spokes.filter("a <> b").select("a", "b")
-        pairs = (pairs if cross is None else pairs.unionByName(cross)).distinct()
+        lead = F.min(F.struct("own", F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("np")))
+        pivots = members.groupBy("key").agg(lead.alias("l")).select("key", "l.p", "l.np")
+        spokes = keep(members.join(pivots, "key").select("key", "p", "np", "node", "n", F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")), "minhash-spokes")
+        pairs = spokes.filter("a <> b").select("a", "b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = stage(_verified(pairs, sets, percent), "minhash-pairs")
+        fresh = keep(_verified(pairs, sets, percent), "minhash-pairs")
         known = fresh if known is None else known.unionByName(fresh)
-        links = known.filter("linked").select("a", "b")
-        component = connected_components(links)
-        own = component.select(F.col("node").alias("doc_id"), F.col("component").alias("mine"))
+        component = connected_components(known.filter("linked").select("a", "b"))
+        own = component.select("node", F.col("component").alias("mine"))
         hub = component.select(F.col("node").alias("p"), F.col("component").alias("theirs"))
-        placed = spokes.join(known.select("a", "b", "far"), ["a", "b"], "left").join(own, "doc_id", "left").join(hub, "p", "left")
-        far = F.when(F.col("doc_id") == F.col("p"), 0.0).otherwise(F.col("far"))
-        placed = stage(placed.select("key", "doc_id", far.alias("far"), F.coalesce("mine", "doc_id").alias("mine"), F.coalesce("theirs", "p").alias("theirs")), "minhash-placed")
-        sizes = _open(placed)
-        if first and not sizes.isEmpty():
-            shared, placed = _by_rare(placed.join(sizes.select("key"), "key"), sets, percent)
-            shared = shared.join(known.select("a", "b"), ["a", "b"], "left_anti")
-            known = known.unionByName(stage(_verified(shared, sets, percent), "minhash-pairs"))
-            links = known.filter("linked").select("a", "b")
-            placed = stage(placed, "minhash-able")
-            sizes = _open(placed)
-        open_ = sizes.agg(F.sum("open")).first()[0] or 0
-        if not open_:
-            return links
-        placed = placed.join(sizes.select("key"), "key").filter("far > 0 OR mine <> theirs")
-        x = placed.select("key", F.col("doc_id").alias("x"), F.col("far").alias("fx"), F.col("mine").alias("mx"), "theirs")
-        y = placed.select("key", F.col("doc_id").alias("y"), F.col("far").alias("fy"), F.col("mine").alias("my"))
-        both = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-        if open_ <= few:
-            last = x.join(y, "key").filter((F.col("mx") < F.col("my")) & close(F.col("fx"), F.col("fy"))).select(*both).distinct()
-            last = last.join(known.select("a", "b"), ["a", "b"], "left_anti")
-            return stage(links.unionByName(_verified(last, sets, percent).filter("linked").select("a", "b")), "minhash-links")
-        members = placed.filter("mine <> theirs").select("key", "doc_id")
-        cross = x.filter("mx = theirs").join(y, "key").filter((F.col("mx") != F.col("my")) & close(F.col("fx"), F.col("fy"))).select(*both)
-        first, few = False, max(2 * few, 1)
+        placed = spokes.join(known.select("a", "b", "apart"), ["a", "b"], "left").join(own, "node", "left").join(hub, "p", "left")
+        apart = F.when(F.col("node") == F.col("p"), F.lit(0).cast("long")).otherwise(F.col("apart"))
+        placed = keep(placed.select("key", "p", "np", "node", "n", apart.alias("apart"), F.coalesce("mine", "node").alias("mine"), F.coalesce("theirs", "p").alias("theirs")), "minhash-placed")
+        sizes = keep(_open(placed), "minhash-open")
+        small = placed.join(sizes.filter(F.col("m") <= SMALL).select("key"), "key").withColumn("common", F.col("apart"))
+        large = keep(_able(placed.join(sizes.filter(F.col("m") > SMALL).select("key"), "key"), sets, percent), "minhash-able")
+        sizes = keep(_open(large), "minhash-open")
+        done = (sizes.agg(F.sum("open")).first()[0] or 0) <= FEW * few
+        last = keep(_apart_pairs(small.select(large.columns).unionByName(large) if done else small, known, percent), "minhash-last")
+        if done and last.count() > few:
+            done, last = False, keep(_apart_pairs(small, known, percent), "minhash-last")
+        known = known.unionByName(keep(_verified(last, sets, percent), "minhash-pairs"))
+        if done:
+            return finish(known.filter("linked").select("a", "b"))
+        rest = large.join(sizes.select("key"), "key")
+        members = rest.select("key", "node", "n", (F.col("apart") - F.col("common")).alias("own"))
+        few = 2 * few
+
+
+def _apart_pairs(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket in different components, not in ``known``, that their differences from the pivot don't rule out."""
+    rows = placed.filter("node <> p")
+    x = rows.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("apart").alias("sx"), F.col("common").alias("cx"), F.col("mine").alias("mx"))
+    y = rows.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("apart").alias("sy"), F.col("common").alias("cy"), F.col("mine").alias("my"))
+    near = (100 + percent) * (F.col("sx") + F.col("sy") - 2 * F.least("cx", "cy")) <= (100 - percent) * (F.col("nx") + F.col("ny"))
+    return x.join(y, "key").filter((F.col("mx") < F.col("my")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,24 +312,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     linked if 100 * |intersection| >= percent * |union|. A document of fewer
     words has its whole sequence as its one shingle; a null, empty or blank text
     has none and is linked with nothing. Documents with equal sets (by count
-    and a 128-bit sum of hashes) form a class with one representative, so copies
-    are never compared. Rows with the same id give one row each.
+    and a 128-bit sum of hashes) form a class, so copies are never compared. Rows
+    with the same id give one row each, by their own texts. Rows without an id
+    are compared like others; component_id is null (and kept true) where no row
+    of the component has an id. An empty table gives no rows.
 
     Returns doc_id, n_shingles, component_id (smallest id reachable), kept.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stage(source.mapInArrow(tidy(_sketch(bands_for(percent))), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "minhash-sketch")
-    classes = stage(sketch.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "minhash-classes")
+    classes = sketch.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
     links = _links(source, classes, percent)
-    top = classes.select("k1", "k2", "n", "doc_id")
+    top = classes.select("n", "k1", "k2", "node", "doc_id")
     if links is not None:
-        found = connected_components(links).withColumnRenamed("node", "doc_id")
-        top = top.join(found, "doc_id", "left").select("k1", "k2", "n", F.coalesce("component", "doc_id").alias("component"))
+        top = top.join(connected_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = top.groupBy("component").agg(F.min("doc_id").alias("least"))
+        top = top.join(least, "component")
     else:
-        top = top.withColumnRenamed("doc_id", "component")
-    out = sketch.select("doc_id", "n", "k1", "k2").join(top, ["k1", "k2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        top = top.withColumn("least", F.col("doc_id"))
+    out = sketch.select("doc_id", "n", "k1", "k2").join(top.select("n", "k1", "k2", "least"), ["n", "k1", "k2"], "left")
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def oracle(percent: int = 85) -> str:

@@ -44,7 +44,7 @@ def test_components(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("groups,small,few", [(12, 16, 4), (2, 4, 0), (2, 16, 4)])
+@pytest.mark.parametrize("groups,small,few", [(12, 16, 16), (2, 4, 0), (2, 2, 1), (2, 16, 16)])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, groups, small, few):
     monkeypatch.setattr(minhash, "SMALL", small)
     monkeypatch.setattr(minhash, "FEW", few)
@@ -119,7 +119,7 @@ def test_forward_sums_all_segmentations():
     def total(word, k):
         a = [1.0] + [0.0] * len(word)
         for e in range(1, len(word) + 1):
-            a[e] = sum(a[s] * p[index[word[s:e]], k] for s in range(max(0, e - langid.LONGEST), e) if word[s:e] in index)
+            a[e] = sum(a[s] * p[index[word[s:e]], k] for s in range(max(0, e - seg.longest), e) if word[s:e] in index)
         return a[-1]
 
     for word in (b" the", b" interviewing", " größe".encode(), b" abcdefghijklmnopqrstuvwxyz"):
