@@ -21,7 +21,7 @@ MISS = 1e-8
 BLOCK = 128
 SEED = 20240229
 #: What a block is known by.
-COLUMNS = ("label", "t", "key", "bi", "bj")
+COLUMNS = ("label", "t", "key", "bi", "bj", "name")
 
 
 def plan_tables(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -44,8 +44,10 @@ def keys_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    """Rows scaled by powers of two, so that no square over- or underflows; cosines stay the same to the last bit."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    _, exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0, keepdims=True))
+    return np.ldexp(x, -exponent)
 
 
 def _by_dim(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
@@ -184,6 +186,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     Vectors that are null, zero, or hold a null or non-finite number, and those
     without a label, are linked with nothing; nor are vectors of different
     length. Equal vectors of a label are one class; its copies are never compared.
+    Rows with the same id are vectors of their own; rows without an id have a null
+    component where no vector of it has one. An empty table gives no rows.
     Candidates meet in a bucket of some table; unrelated vectors hardly do, as
     keys get longer with the logarithm of the table. Every pair in a bucket is
     verified in double precision, in blocks, each pair once; a bucket of any
@@ -198,9 +202,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
         F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), F.size(v), v).alias("h2"),
     )
     rows = stage(rows, "vec-rows")
-    classes = stage(
-        rows.filter("sound").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("v").alias("v")).withColumn("group", F.xxhash64("label")), "vec-classes"
-    )
+    classes = rows.filter("sound").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("v").alias("v"))
+    # a class is known by a number of its own, as ids may repeat; labels meet by hash and are told apart in each block
+    classes = stage(classes.withColumns({"rep": F.monotonically_increasing_id(), "group": F.xxhash64("label"), "name": F.col("label").cast("string")}), "vec-classes")
     bits, tables = plan_tables(classes.count(), threshold)
     keyed = classes.select("rep", "v").mapInArrow(_hash(bits, tables), "rep long, keys array<long>").join(classes.select("rep", "group"), "rep")
     keyed = stage(keyed.select("rep", F.col("group").alias("label"), F.posexplode("keys").alias("t", "key")), "vec-keys")
@@ -209,20 +213,22 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     met = met.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("label", "t", "key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "rep")
-    full = met.join(classes.select("rep", "size", "v"), "rep")
+    full = met.join(classes.select("rep", "size", "v", "name"), "rep")
     found = (
-        full.repartition("label", "t", "key", "bi", "bj").sortWithinPartitions("label", "t", "key", "bi", "bj", "rep")
-        .select("label", "t", "key", "bi", "bj", "side", "rep", "size", "v")
+        full.repartition("label", "t", "key", "bi", "bj").sortWithinPartitions("label", "t", "key", "bi", "bj", "name", "rep")
+        .select("label", "t", "key", "bi", "bj", "side", "rep", "size", "v", "name")
         .mapInArrow(_verify(bits, tables, threshold), "a long, b long, is_degree boolean, links long")
     )
     found = stage(found, "vec-links")
     degree = found.filter("is_degree").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(found.filter("not is_degree").select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.select(F.col("label").alias("l"), "h1", "h2", "rep", "size").join(degree, "rep", "left").join(component, "rep", "left")
+    placed = classes.select("rep", "least").join(component, "rep").select("rep", "component", "least")
+    low = placed.join(placed.groupBy("component").agg(F.min("least").alias("low")), "component").select("rep", "low")
+    known = classes.select(F.col("label").alias("l"), "h1", "h2", "rep", "size", "least").join(degree, "rep", "left").join(low, "rep", "left")
     out = rows.select("vec_id", F.when(F.col("sound"), F.col("label")).alias("l"), "h1", "h2").join(known, ["l", "h1", "h2"], "left")
-    component_id = F.coalesce("component", "rep", "vec_id")
+    component_id = F.coalesce("low", "least", "vec_id")
     return out.select(
-        "vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"), component_id.alias("component_id"), (F.col("vec_id") == component_id).alias("kept"),
+        "vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"), component_id.alias("component_id"), F.col("vec_id").eqNullSafe(component_id).alias("kept"),
     )
 
 
