@@ -16,8 +16,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 ROUNDS = 60
 TOLERANCE = 1e-7
-#: Rows of one stratum (source and size) that are ranked together.
+#: Rows of one stratum (source and size) that are ranked together; the root of their number if that is more.
 RANKED = 256
+#: Sizes whose strata are rounded together.
+SIZES = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -96,10 +98,10 @@ def balance(strata: DataFrame, goals: DataFrame) -> DataFrame:
     return spark.createDataFrame([(k, s["lam"], scale.get(k, 1.0), float(s["target"]), int(s["size"])) for k, s in state.items()], "source string, lam double, scale double, target double, source_size long")
 
 
-def _round(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole numbers of copies for each stratum of a source, largest sizes first; each takes over what the ones before left."""
+def _round(rows: pd.DataFrame) -> pd.DataFrame:
+    """Whole numbers of copies for strata of a source, largest sizes first; each takes over what the ones before left (the first of all, ``due``)."""
     rows = rows.sort_values("size", ascending=False)
-    copies, due = np.zeros(len(rows), dtype=np.int64), 0.0
+    copies, due = np.zeros(len(rows), dtype=np.int64), float(rows["due"].iloc[0])
     for i, (size, n, rate) in enumerate(zip(rows["size"], rows["n"], rows["rate"])):
         if size:
             due += n * rate * size
@@ -107,35 +109,51 @@ def _round(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             due -= copies[i] * size
         else:
             copies[i] = n
-    return rows.assign(copies=copies)[["source", "size", "n", "copies"]]
+    return rows.assign(copies=copies, due=due)[["source", "size", "n", "copies", "due"]]
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _whole(rated: DataFrame) -> DataFrame:
+    """Copies of each stratum: source, size, n, copies.
+
+    The strata of a source are dealt by ranges of ``SIZES`` sizes, rounded each in
+    one go; what the ranges of large sizes leave goes to that of the smallest, so
+    a source's words come near its target however its sizes lie.
+    """
+    kind = "source string, size long, n long, copies long, due double"
+    split = lambda rows: rows.withColumn("range", F.floor(F.col("size") / SIZES)).groupBy("source", "range").applyInPandas(_round, kind)
+    large = stage(split(rated.filter(F.col("size") >= SIZES).withColumn("due", F.lit(0.0))), "mix-large")
+    last = F.min_by("due", "size")
+    left = large.groupBy("source", F.floor(F.col("size") / SIZES).alias("r")).agg(last.alias("due")).groupBy(F.col("source").alias("_s")).agg(F.sum("due").alias("due"))
+    small = rated.filter(F.col("size") < SIZES).join(left, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("due", F.coalesce("due", F.lit(0.0))).drop("_s")
+    return large.unionByName(split(small)).drop("due")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", order_col: str | None = None) -> DataFrame:
     """How often the mix takes each document.
 
     A document's size is its number of words (a null text has none). Documents of
     one source and size share a rate and form a stratum; strata are bounded by
     the distinct sizes, not by the documents. The copies of a stratum go to its
-    documents as evenly as whole numbers allow, by rank of a hash of the id;
-    ranks are made in salted buckets of about ``RANKED`` rows, so that no group
-    meets in one task. Equal ids share a hash and differ in rank only.
+    documents as evenly as whole numbers allow, by rank of a hash of the id (or of
+    ``order_col``); ranks are made in salted buckets, which like their number
+    grow no faster than the root of a stratum, so that no group meets in one task. Equal ids share a hash and differ in rank only.
 
     Returns doc_id, size, source_size, target (of the source), taken (copies
     times size) and copies (0 to ``CAP``; documents without words keep one).
     An empty table gives no rows.
     """
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(order_col or id_col).alias("h"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     strata = stage(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-strata")
     goals = with_targets(strata.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
     dual = balance(strata, goals)
     d = dual.hint("broadcast")
     rated = strata.join(d.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "size", "n", tilted(F.col("lam"), F.col("size"), F.col("scale")).alias("rate"))
-    whole = stage(rated.groupBy("source").applyInPandas(_round, "source string, size long, n long, copies long"), "mix-copies")
+    whole = stage(_whole(rated), "mix-copies")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     plan = whole.select(key.alias("_k"), F.col("size").alias("_z"), "n", "copies")
-    hashed = sized.withColumns({"_h": F.xxhash64("doc_id"), "_k0": key})
+    hashed = sized.withColumnRenamed("h", "_h").withColumn("_k0", key)
     rows = hashed.join(plan, (F.col("_k0") == F.col("_k")) & (F.col("size") == F.col("_z")))
-    rows = rows.withColumn("_b", F.pmod(F.shiftright("_h", 20), F.greatest(F.ceil(F.col("n") / RANKED), F.lit(1))))
+    rows = rows.withColumn("_b", F.pmod(F.shiftright("_h", 20), F.greatest(F.ceil(F.col("n") / F.greatest(F.lit(float(RANKED)), F.sqrt("n"))), F.lit(1))))
     rows = rows.select("doc_id", "source", "size", "n", "copies", "_h", "_k", "_b")
     small = rows.filter(F.col("n") <= RANKED)
     large = rows.filter(F.col("n") > RANKED)

@@ -100,6 +100,17 @@ class Features:
         return np.concatenate([np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b)), np.ones((len(x), 1))], axis=1)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of sums to one."""
+    total: list[np.ndarray] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            got = [np.frombuffer(v) for v in row]
+            total = [t + g for t, g in zip(total, got)] if total else got
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()]) for t in total], names=["a", "b"])
+
+
 def _equations(make: Features):
     """One row of sums for each partition."""
 
@@ -150,7 +161,8 @@ def train(known: DataFrame) -> tuple[Features, np.ndarray, np.ndarray, np.ndarra
     mean = np.array([stats[f"s{i}"]["m"] for i in range(N_STATS)])
     dev = np.array([stats[f"s{i}"]["d"] for i in range(N_STATS)])
     make = Features(mean, np.where(dev > 1e-9, dev, 1.0))
-    sums_ = known.filter("not calibrate").select("x", "y").coalesce(PARTIALS).mapInArrow(_equations(make), "a binary, b binary").toArrow()
+    each = known.filter("not calibrate").select("x", "y").mapInArrow(_equations(make), "a binary, b binary")
+    sums_ = each.repartition(PARTIALS).mapInArrow(_added, "a binary, b binary").toArrow()
     k = len(make.b) + 1
     a = sum((np.frombuffer(v.as_py()).reshape(k, k) for v in sums_.column("a")), np.zeros((k, k)))
     b = sum((np.frombuffer(v.as_py()) for v in sums_.column("b")), np.zeros(k))

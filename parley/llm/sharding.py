@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .staging import stage
 
 SHARDS = 16
-#: Buckets of the key range that one job sums for the driver; a bound, whatever the input's size.
+#: Buckets of the key range that one job sums for the driver (a power of two); a bound, whatever the input's size.
 BUCKETS = 1 << 14
 #: Groups that the driver takes one by one at the last step.
 SINGLES = 50_000
@@ -64,15 +64,19 @@ def smallest(pieces: list[Piece], shards: int, anywhere: bool) -> int:
 
 def _summed(groups: DataFrame, spans: list[tuple[int, int]], parts: int) -> list[Piece]:
     """The groups of each span, summed over ``parts`` slices of it (0: each group alone)."""
-    spark = groups.sparkSession
-    table = spark.createDataFrame([(lo - SPAN // 2, hi - 1 - SPAN // 2, i) for i, (lo, hi) in enumerate(spans)], "lo long, hi long, i int").hint("broadcast")
-    rows = groups.join(table, F.col("gkey").between(F.col("lo"), F.col("hi")))
+    step = {i: max(1, -(-(hi - lo) // parts)) if parts else 0 for i, (lo, hi) in enumerate(spans)}
+    if spans == [(0, SPAN)]:
+        rows = groups.withColumns({"i": F.lit(0), "lo": F.lit(-(SPAN // 2)), "step": F.lit(str(step[0]))})
+    else:
+        # a span lies in one bucket of the whole range, so rows meet it by an equal key
+        shift = 64 - (BUCKETS.bit_length() - 1)
+        data = [((lo - SPAN // 2) >> shift, lo - SPAN // 2, hi - 1 - SPAN // 2, i, str(step[i])) for i, (lo, hi) in enumerate(spans)]
+        table = groups.sparkSession.createDataFrame(data, "bucket long, lo long, hi long, i int, step string").hint("broadcast")
+        rows = groups.withColumn("bucket", F.shiftright("gkey", shift)).join(table, "bucket").filter(F.col("gkey").between(F.col("lo"), F.col("hi")))
     if not parts:
         return sorted((Piece(k := r["gkey"] + SPAN // 2, k + 1, r["size"], r["size"], 1) for r in rows.select("gkey", "size").collect()), key=lambda p: p.lo)
-    step = {i: max(1, -(-(hi - lo) // parts)) for i, (lo, hi) in enumerate(spans)}
-    wide = spark.createDataFrame([(i, str(s)) for i, s in step.items()], "i int, step string").hint("broadcast")
     at = F.floor((F.col("gkey").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)")) / F.col("step").cast("decimal(20,0)")).cast("int")
-    got = rows.join(wide, "i").groupBy("i", at.alias("at")).agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count("*").alias("groups"), F.min("gkey").alias("k")).collect()
+    got = rows.groupBy("i", at.alias("at")).agg(F.sum("size").alias("size"), F.max("size").alias("largest"), F.count("*").alias("groups"), F.min("gkey").alias("k")).collect()
     out = []
     for r in got:
         lo = spans[r["i"]][0] + r["at"] * step[r["i"]]
