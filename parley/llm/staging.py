@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+_watched: list[list[DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's shared folder; only a session without one gets its own (tests, local mode)."""
+    """The session's shared folder. A session without one gets its own, which only local mode can read; a cluster has to name one."""
     root = spark.conf.get(KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{KEY} names no folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="parley-shared-")
         spark.conf.set(KEY, root)
         spark.sparkContext.setCheckpointDir(root)
@@ -31,9 +36,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._parley_path = path
+    for tables in _watched[-1:]:
+        tables.append(out)
     return out
 
 
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables staged inside at the end, but for those handed to the function it gives."""
+    tables, spared = [], []
+    _watched.append(tables)
+
+    def spare(df: DataFrame) -> DataFrame:
+        spared.append(df)
+        return df
+
+    try:
+        yield spare
+    finally:
+        _watched.remove(tables)
+        for df in tables:
+            if not any(df is s for s in spared):
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that no later job reads."""
     path = getattr(df, "_parley_path", None)
