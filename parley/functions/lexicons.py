@@ -139,3 +139,85 @@ SECTIONS = {
     "languages": ["languages"], "references": ["references", "referees"], "interests": ["interests", "hobbies"], "publications": ["publications", "research", "papers"],
 }
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+# --- fixed values: relevance; patterns apply to text whose words stand between double spaces, apostrophes split words ---
+PERSONAL_PROMPT = (
+    r"tell me about (?:yourself|a time|your)|about yourself|your (?:background|experience|journey|role|career)|walk me through (?:your|a project|the most)|describe a time|"
+    r"tell me about something|introduce yourself|a time (?:you|when you)|you ?ve been working|have you worked|anything you ?d like to ask|how would you rate your|"
+    r"which project taught you|i see .* on your cv|your cv lists"
+)
+SELF_REFERENCE = r"i|we|my|our|me|us"
+NARRATIVE = (
+    r"first|then|after that|eventually|finally|so i|so we|what i did|the result|in the end|which meant|the problem was|the challenge|i learned|i realised|i realized|looking back|because"
+)
+QUESTION_FORMS = {"what": "what", "why": "why", "how": "how", "when": "when", "explain": "explain", "describe": "describe", "difference": r"difference[\p{L}\p{N}_]*|versus|vs|compare[\p{L}\p{N}_]*"}
+ANSWER_FORMS = {
+    "what": r"is|are|means?|refers?|defined?|definition|a type|consists?|involves?",
+    "why": r"because|since|so that|reason|due to|in order to|therefore|as a result|the benefit|the point",
+    "how": r"by|through|using|first|then|step|process|works?|you would|we would|the way",
+    "when": r"when|if|during|after|before|in cases?|scenario|situation|use it",
+    "difference": r"whereas|while|but|unlike|on the other hand|differs?|difference|versus|vs|compared",
+    "explain": r"because|so|which means|that is|in other words|for example|works?",
+    "describe": r"first|then|we|i|the system|the process",
+}
+CONCEPTS = [
+    "encapsulation", "inheritance", "polymorphism", "abstraction", "class", "object", "interface",
+    "single responsibility", "open closed", "liskov", "interface segregation", "dependency inversion",
+    "index", "b-tree", "acid", "transaction", "isolation", "normalization", "foreign key", "join", "query",
+    "state", "props", "hook", "useeffect", "usestate", "virtual dom", "re-render", "component", "lifecycle",
+    "microservice", "load balancer", "cache", "redis", "sharding", "latency", "throughput", "message queue", "kafka",
+    "docker", "container", "kubernetes", "pod", "cluster", "ci/cd", "pipeline", "aws", "terraform", "monitoring",
+    "time complexity", "space complexity", "o(n)", "o(log n)", "recursion", "array", "tree", "hash table", "graph",
+]
+CONCEPT_STOP = ["because", "through", "between", "should", "without", "another", "however", "before", "around"]
+NON_TECHNICAL_PHASES = ["greet", "behavior", "behavioural", "wrap"]
+
+# --- fixed values: coarse labels of collected records, the first list with a hit decides ---
+COARSE_DOMAINS = {
+    "Frontend Development": ["react", "vue", "angular", "next.js", "dom", "html", "css", "tailwind", "frontend", "javascript", "typescript", "ui component"],
+    "Database Systems": ["sql", "postgres", "mysql", "mongodb", "database", "query", "index", "table", "schema", "sqlite", "nosql"],
+    "DevOps & Cloud": ["docker", "kubernetes", "aws", "cloud", "linux", "bash", "shell", "deploy", "ci/cd", "container", "devops"],
+    "System Design": ["microservice", "architecture", "scalability", "load balancer", "cache", "redis", "kafka", "system design", "distributed"],
+    "Algorithms & Data Structures": ["tree", "graph", "sort", "search", "binary search", "recursion", "dynamic programming", "stack", "queue", "linked list", "time complexity"],
+    "Backend & Web APIs": ["django", "flask", "fastapi", "node.js", "express", "rest api", "endpoint", "backend", "graphql", "http request"],
+}
+COARSE_OTHER = "General Software Engineering"
+COARSE_ADVANCED = ["optimize", "architect", "distributed", "concurrency", "trade-off", "scalability", "dynamic programming"]
+COARSE_INTERMEDIATE = ["implement", "algorithm", "database", "difference between", "how would you", "handle"]
+
+# --- fixed values: where a record comes from hints at its domain ---
+SITE_PRIORS = {
+    "softwareengineering.stackexchange.com": ["OOP", "Design Patterns", "System Design", "Microservices", "REST APIs", "Programming Languages"],
+    "codereview.stackexchange.com": ["OOP", "Programming Languages", "Design Patterns", "Unit Testing"],
+    "cs.stackexchange.com": ["Algorithms", "Data Structures", "Concurrency"],
+    "cstheory.stackexchange.com": ["Algorithms", "Data Structures"],
+    "dba.stackexchange.com": ["SQL", "Database Optimization"],
+    "devops.stackexchange.com": ["Docker", "Kubernetes", "Microservices", "System Design"],
+    "security.stackexchange.com": ["Security"],
+    "sqa.stackexchange.com": ["Unit Testing"],
+}
+PROMPT_PRIORS = {
+    "javascript": ["Frontend Development", "Programming Languages"], "react": ["Frontend Development"], "vue": ["Frontend Development"], "angular": ["Frontend Development"],
+    "css": ["Frontend Development"], "front-end": ["Frontend Development"], "frontend": ["Frontend Development"], "java": ["Programming Languages", "OOP"],
+    "back-end": ["REST APIs", "System Design", "Microservices"], "backend": ["REST APIs", "System Design", "Microservices"], "devops": ["Docker", "Kubernetes"],
+    "system design": ["System Design"], "database": ["SQL", "Database Optimization"], "sql": ["SQL"], "python": ["Programming Languages"],
+    "node": ["REST APIs", "Programming Languages"], "testing": ["Unit Testing"], "security": ["Security"],
+}
+PRIOR_WEIGHT, PROMPT_PRIOR_WEIGHT = 1.0, 3.0
+
+# --- fixed values: tracks ---
+TRACKS = {
+    "software_engineering": ("Software Engineering", ["Java", "C++", "C#", "Python", "Go", "Rust", "Git", "CI/CD", "Object-Oriented Programming (OOP)", "SOLID Principles", "Test-Driven Development (TDD)", "Clean Code", "Problem Solving"]),
+    "web_development": ("Web Development", ["React", "Angular", "Vue.js", "Next.js", "Node.js", "Express.js", "NestJS", "TypeScript", "JavaScript", "HTML/CSS", "Tailwind CSS", "GraphQL", "REST API"]),
+    "data_science": ("Data Science", ["Machine Learning", "PyTorch", "TensorFlow", "Python", "SQL", "PostgreSQL"]),
+    "networking": ("Networking", ["Linux", "Docker", "Kubernetes", "AWS", "Azure", "GCP", "Cybersecurity", "Microservices"]),
+    "ui_ux": ("UI/UX", ["HTML/CSS", "Tailwind CSS", "React", "Vue.js"]),
+    "business_analysis": ("Business Analysis", ["Agile / Scrum", "API Design"]),
+}
+DEFAULT_TRACK = "software_engineering"
+TRACK_ALIASES = {
+    "swe": "software_engineering", "react": "web_development", "node": "web_development", "python": "software_engineering", "frontend": "web_development", "backend": "software_engineering",
+    "devops": "networking", "system_design": "software_engineering", "ml": "data_science", "dotnet": "software_engineering", "hr": "business_analysis", "behavioral": "business_analysis",
+    "leadership": "business_analysis", "uiux": "ui_ux", "ux": "ui_ux", "ba": "business_analysis", "data": "data_science",
+}
+DIFFICULTY_ENTRY = {"easy": "Beginner", "beginner": "Beginner", "medium": "Intermediate", "intermediate": "Intermediate", "hard": "Advanced", "advanced": "Advanced"}

@@ -144,9 +144,22 @@ def domain_scores(text: Column, terms: dict = L.DOMAIN_TERMS, priors: Column | N
     return F.array(*rows)
 
 
-def domain(text: Column, terms: dict = L.DOMAIN_TERMS) -> Column:
+def site_priors(site: Column) -> Column:
+    """Domains that a site hints at."""
+    known = F.create_map(*(x for k, v in L.SITE_PRIORS.items() for x in (F.lit(k), strs(v))))
+    return F.coalesce(F.try_element_at(known, site), F.array().cast("array<string>"))
+
+
+def prompt_priors(prompt: Column) -> Column:
+    """Domains that a prompt's words hint at, once for each of its fragments."""
+    low = F.lower(F.coalesce(prompt, F.lit("")))
+    none = F.array().cast("array<string>")
+    return F.flatten(F.array(*(F.when(F.contains(low, F.lit(k)), strs(v)).otherwise(none) for k, v in L.PROMPT_PRIORS.items())))
+
+
+def domain(text: Column, terms: dict = L.DOMAIN_TERMS, priors: Column | None = None, prior_weight: float = L.PRIOR_WEIGHT) -> Column:
     """The domain with the highest score, the first of equals; null below the least score."""
-    best = F.array_max(domain_scores(text, terms))
+    best = F.array_max(domain_scores(text, terms, priors, prior_weight))
     return F.when(best["score"] >= L.MIN_DOMAIN_SCORE, best["domain"])
 
 
@@ -179,6 +192,28 @@ def count_phrases(text: Column, pattern: str) -> Column:
     return F.regexp_count(spaced(text), F.lit(phrase(pattern)))
 
 
+def apart(text: Column) -> Column:
+    """As ``spaced``, but apostrophes and percent signs split words too."""
+    return F.concat(F.lit("  "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+", "  "), F.lit("  "))
+
+
+def has_words(text: Column, pattern: str) -> Column:
+    return F.regexp_like(apart(text), F.lit(phrase(pattern)))
+
+
+def count_words(text: Column, pattern: str) -> Column:
+    return F.regexp_count(apart(text), F.lit(phrase(pattern)))
+
+
+def whole(term: str) -> str:
+    """A pattern for a term between word boundaries, without lookaround."""
+    word = r"[\p{L}\p{N}_]"
+    other = r"[^\p{L}\p{N}_]"
+    before = rf"(?:^|{other})" if re.match(r"\w", term[0]) else word
+    after = rf"(?:{other}|$)" if re.match(r"\w", term[-1]) else word
+    return before + "".join(c if c.isalnum() or c == " " else "\\" + c for c in term) + after
+
+
 def stem(word: Column) -> Column:
     """Without one common ending, if enough is left."""
     out = word

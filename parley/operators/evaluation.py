@@ -186,6 +186,83 @@ def error_rates(pairs: DataFrame, prediction: Column, reference: Column) -> Data
     return pairs.agg((F.sum(F.levenshtein(prediction, reference)) / F.sum(F.length(reference))).alias("cer"))
 
 
+def _edits(a: list[str], b: list[str]) -> int:
+    """Word edits from ``a`` to ``b``: the columns of the table as bits of two integers."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, edits = full, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        flat = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(flat | up)), up & flat
+        edits += bool(rise & last) - bool(fall & last)
+        rise, fall = (rise << 1 | 1) & full, (fall << 1) & full
+        tall = same | down
+        up, down = fall | (full & ~(tall | rise)), rise & tall
+    return edits
+
+
+@F.arrow_udf(IntegerType())
+def _word_edits(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([_edits(x.as_py() or [], y.as_py() or []) for x, y in zip(a, b, strict=True)], pa.int32())
+
+
+def word_error_rate(pairs: DataFrame, prediction: Column, reference: Column) -> DataFrame:
+    """Word error rate over a corpus: edits by reference words."""
+    r = T.words(F.coalesce(reference, F.lit("")))
+    return pairs.agg((F.sum(_word_edits(T.words(F.coalesce(prediction, F.lit(""))), r)) / F.sum(F.size(r))).alias("wer"))
+
+
+def evaluation_slices(samples: DataFrame, key: str, groups: list[str], orders: int = 4) -> DataFrame:
+    """Metrics of all samples, by each group, and by the first group crossed with the others; rows without a group's value are left out of it.
+
+    ``samples``: key, prediction, reference, nll, tokens and the groups. BLEU pools
+    the n-gram counts of a slice and perplexity its losses: ratios of sums.
+    """
+    counts = matches(samples, key, tokens_13a(F.col("prediction")), tokens_13a(F.col("reference")), orders)
+    at = lambda c, n: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    wide = counts.groupBy(key).agg(*(at(c, n).alias(f"{c}{n}") for n in range(1, orders + 1) for c in ("matched", "total", "wanted")))
+    rows = samples.join(wide, key, "left")
+    sets = [[], *([g] for g in groups), *([groups[0], g] for g in groups[1:])]
+    pooled = [F.coalesce(F.sum(f"{c}{n}"), F.lit(0)).alias(f"{c}{n}") for n in range(1, orders + 1) for c in ("matched", "total", "wanted")]
+    same = T.strip(F.col("prediction")) == T.strip(F.col("reference"))
+    out = rows.groupingSets(sets, *groups).agg(
+        *(F.grouping(g).alias(f"_{g}") for g in groups), F.count("*").alias("n"), F.round(F.avg(same.cast("int")), 6).alias("exact_match"), F.count_if(T.strip(F.col("prediction")) == "").alias("empty"),
+        F.avg(F.length("prediction")).alias("prediction_chars"), F.avg(F.length("reference")).alias("reference_chars"), F.exp(F.try_divide(F.sum("nll"), F.sum("tokens"))).alias("perplexity"), *pooled,
+    )
+    logs = sum((F.log(F.try_divide(F.col(f"matched{n}"), F.col(f"total{n}"))) for n in range(1, orders + 1)), F.lit(0.0)) / orders
+    brevity = F.when(F.col("total1") > F.col("wanted1"), 1.0).otherwise(F.exp(1 - F.col("wanted1") / F.greatest(F.col("total1"), F.lit(1))))
+    none = F.least(*(F.col(f"matched{n}") for n in range(1, orders + 1))) == 0
+    for g in groups:
+        out = out.filter((F.col(f"_{g}") == 1) | F.col(g).isNotNull())
+    return out.select(*groups, "n", "exact_match", "empty", F.when(none, 0.0).otherwise(brevity * F.exp(logs)).alias("bleu"), "prediction_chars", "reference_chars", "perplexity")
+
+
+def proxy_rouge(pairs: DataFrame, prediction: Column, reference: Column) -> DataFrame:
+    """ROUGE-1 and -2 over distinct n-grams of white-space words: cheap stand-ins, not the scores of ``rouge_n``."""
+    p, r = T.words(F.lower(prediction)), T.words(F.lower(reference))
+    f = lambda a, b: F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)), F.lit(0.0))
+    p2, r2 = ngrams(p, 2), ngrams(r, 2)
+    return pairs.withColumns({"rouge1": f(p, r), "rouge2": F.when((F.size(p2) > 0) & (F.size(r2) > 0), f(p2, r2)).otherwise(0.0)})
+
+
+def setting_differences(base: DataFrame, other: DataFrame, settings: list[str]) -> DataFrame:
+    """(setting, base, candidate, same) of two runs' one-row settings, null-safe; runs compare only if all are the same."""
+    long = lambda df, name: df.select(F.inline(F.array(*(F.struct(F.lit(s).alias("setting"), F.col(s).cast("string").alias(name)) for s in settings))))
+    return long(base, "base").join(long(other, "candidate"), "setting").withColumn("same", F.col("base").eqNullSafe(F.col("candidate")))
+
+
+def require_comparable(differences: DataFrame) -> None:
+    """Raises if a setting differs."""
+    bad = [r["setting"] for r in differences.filter("NOT same").select("setting").collect()]
+    if bad:
+        raise ValueError(f"runs differ in {', '.join(sorted(bad))}")
+
+
 def hit_rates(df: DataFrame, ranked: Column, target: Column) -> DataFrame:
     """Share of positions whose target is the first, or among the first five, of the ranked predictions."""
     ok = target.isNotNull()

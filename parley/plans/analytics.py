@@ -22,8 +22,10 @@ def _r(df, *columns):
 
 def tfidf_topk(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    weights = R.tfidf(docs, "doc_id", "text")
-    queries = R.query_weights(bench, "item_id", "text", docs, "doc_id", "text")
+    counts = R.term_counts(docs, "doc_id", "text")
+    n = docs.count()
+    queries = R.weigh(R.term_counts(bench, "item_id", "text"), R.idf(counts, n))
+    weights = R.weigh(counts, R.idf(counts, n), only=queries.select("term").distinct())
     top = R.top_by_terms(queries, weights, 5)
     return top.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "place")
 
@@ -241,7 +243,8 @@ QUERIES = [
     tumbling_counts, user_sessions, first_of_kind,
 ]
 
-_TERMS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN {Q.tup(L.SCORE_STOP)})"
+_WORDS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN {Q.tup(L.SCORE_STOP)})"
+_TERMS = "list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))"
 _SCORED = f"""sc AS (SELECT doc_id, toxic, quality, round(coalesce(len(list_distinct(ws)) / nullif(len(ws), 0), 0), 3) AS s FROM labels JOIN
   (SELECT doc_id, {Q.words("lower(coalesce(text, ''))")} AS ws FROM documents) USING (doc_id))"""
 _REPLIES = """rp AS (SELECT conv_id || '-' || turn AS id, text, nx FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations WHERE role = 'assistant') WHERE nx IS NOT NULL)"""
@@ -268,15 +271,15 @@ def _matches(a: str, b: str, orders: int) -> str:
 _WORD = lambda t: f"regexp_extract_all(lower({t}), '[a-z0-9]+')"
 
 ORACLE = {
-    "tfidf_topk": f"""WITH n AS (SELECT count(*) AS n FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL),
+    "tfidf_topk": f"""WITH n AS (SELECT count(*) AS n FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)) GROUP BY ALL),
 f AS (SELECT term, ln((any_value(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM c, n GROUP BY term), w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM c JOIN f USING (term)),
 d AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w),
-q AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL) JOIN f USING (term)),
+q AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)) GROUP BY ALL) JOIN f USING (term)),
 qn AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM q), s AS (SELECT item_id, doc_id, sum(qn.w * d.w) AS s FROM qn JOIN d USING (term) GROUP BY ALL)
 SELECT item_id, doc_id, round(s, 6) AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS place FROM s) WHERE place <= 5 AND s > 0""",
     "embedding_topk": """SELECT query, id, similarity, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM (
 SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)) WHERE place <= 5""",
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)) WHERE place <= 5""",
     "history_left_join": "SELECT c_custkey, o_orderkey, coalesce(o_orderstatus, 'none') AS status, coalesce(o_totalprice, 0) AS price FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
     "latest_per_user": "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "top_n_per_user": "SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC))::INT AS place FROM events QUALIFY place <= 5",

@@ -171,15 +171,13 @@ WHERE place <= 30 ORDER BY place, source LIMIT 400""",
 FROM sp GROUP BY GROUPING SETS ((split), (source), (split, source), ())""",
     "split_leakage": f"""WITH {_SPLIT}, w AS (SELECT doc_id AS id, split, list_distinct({Q.tokens('text')}) AS s FROM sp)
 {_leak('train', 'validation')} UNION ALL {_leak('train', 'test')} UNION ALL {_leak('validation', 'test')}""",
-    "contamination": f"""WITH l AS (SELECT line, min(doc_id) AS doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY line),
-x AS (SELECT item_id AS id, list_distinct({Q.tokens('text')}) AS s FROM benchmark), y AS (SELECT {{'d': doc_id, 'l': line}} AS id, list_distinct({Q.tokens('line')}) AS s FROM l)
-SELECT a AS item_id, b.d AS doc_id, max(shared)::INT AS shared, round(max(similarity), 6) AS similarity FROM ({_similar('x', 'y', 0.6)}) GROUP BY 1, 2""",
     "split_overlap": f"""WITH {_SPLIT}, k AS (SELECT array_to_string({Q.tokens('text')}, ' ') AS key, split FROM sp),
 g AS (SELECT key, bool_or(split = 'train') AS tr, bool_or(split = 'validation') AS va, bool_or(split = 'test') AS te FROM k GROUP BY key)
 SELECT count(*) AS keys, (count(*) FILTER (tr AND va))::BIGINT AS train_validation, (count(*) FILTER (tr AND te))::BIGINT AS train_test, (count(*) FILTER (va AND te))::BIGINT AS validation_test FROM g""",
     "merged_corpus": f"""WITH k AS (SELECT doc_id, lang, lower({Q.strip(Q.sub('text', r'\s+', ' '))}) AS key FROM documents)
 SELECT doc_id, lang FROM k WHERE lang = 'en' UNION ALL
-SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r FROM k WHERE lang <> 'en' AND key NOT IN (SELECT key FROM k WHERE lang = 'en')) WHERE r = 1""",
+SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r FROM k WHERE lang IS DISTINCT FROM 'en') n
+WHERE key IS NULL OR (r = 1 AND NOT EXISTS (SELECT 1 FROM k e WHERE e.lang = 'en' AND e.key = n.key))""",
     "negative_pairs": """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
 SELECT a.doc_id AS positive, b.doc_id AS negative FROM r a JOIN r b ON (a.i + 37) % a.n = b.i""",
 }

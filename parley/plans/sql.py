@@ -78,6 +78,18 @@ def has_phrase(text: str, pattern: str) -> str:
     return f"regexp_matches({spaced(text)}, {lit(phrase(pattern))})"
 
 
+def apart(text: str) -> str:
+    return "'  ' || " + sub(f"lower(coalesce({text}, ''))", r"[^\p{L}\p{N}_]+", "  ") + " || '  '"
+
+
+def count_words(text: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({apart(text)}, {lit(phrase(pattern))}))"
+
+
+def has_words(text: str, pattern: str) -> str:
+    return f"regexp_matches({apart(text)}, {lit(phrase(pattern))})"
+
+
 def content_terms(text: str) -> str:
     raw = f"list_transform(regexp_extract_all(lower(coalesce({text}, '')), '[a-z][a-z0-9+#.]{{1,}}'), lambda w: regexp_replace(w, '\\.+$', ''))"
     kept = f"list_filter({raw}, lambda w: length(w) >= 3 AND w NOT IN {tup(L.SCORE_STOP)})"

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import analytics, corpus, fixtures, sessions
+from parley.plans import analytics, answers, corpus, dashboard, fixtures, records, sessions
 
-_PLANS = (sessions, corpus, analytics, fixtures)
+_PLANS = (sessions, corpus, analytics, fixtures, answers, records, dashboard)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

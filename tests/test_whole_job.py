@@ -7,9 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-import corpus_pipeline
 from parley.functions import lexicons as L
-from parley.llm import minhash
 from parley.operators import retrieval, spans
 from parley.plans import analytics, corpus
 
@@ -48,32 +46,6 @@ def test_contamination_finds_every_document_that_holds_an_item(spark, tmp_path):
     assert got == [(7, d, 5, 1.0) for d in (1, 2, 3, 4)]
 
 
-def test_near_duplicate_stage_against_all_pairs_at_80(spark):
-    rng = random.Random(8)
-    docs = []
-    for g in range(12):
-        words = [f"g{g}w{i}" for i in range(104)]
-        docs.append((len(docs), " ".join(words)))
-        for changed in (1, 2, 3):
-            copy = list(words)
-            for at in rng.sample(range(10, 94), changed):
-                copy[at] = f"new{at}"
-            docs.append((len(docs), " ".join(copy)))
-    for size in (89, 90, 91):
-        docs += [(len(docs), " ".join(f"s{size}w{i}" for i in range(104))), (len(docs) + 1, " ".join(f"s{size}w{i}" for i in range(size - 6)))]
-    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in docs}
-    group = {d: d for d in sets}
-    for a in sets:
-        for b in sets:
-            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                low, high = sorted((group[a], group[b]))
-                group = {d: low if g == high else g for d, g in group.items()}
-    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
-    got = {r["doc_id"] for r in stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()}
-    assert got == set(group.values())
-    assert minhash.bands_for(85) == minhash.BANDS and (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) < 8.1e-6
-
-
 def test_rouge_l_and_character_errors_of_whole_turns(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").filter("role = 'assistant'").orderBy("conv_id", "turn").collect()
     pairs = {f"{x['conv_id']}-{x['turn']}": (x["text"], y["text"]) for x, y in zip(turns, turns[1:], strict=False) if x["conv_id"] == y["conv_id"]}
