@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +38,15 @@ def drop_counts(labelled: DataFrame, tag: Column) -> DataFrame:
 def deduplicate(df: DataFrame, question: str, order: list[Column]) -> DataFrame:
     """Adds outcome: 'kept' for the first row of each bag of content words, else 'dedup_exact' or 'dedup_near'.
 
-    Equal token lists have equal bags, so one window over the bag's key decides;
-    a dropped row is exact if its token list equals the kept one's.
+    Equal token lists have equal bags, so the first row of a bag decides: a
+    dropped row is exact if its token list equals that one's. ``order`` has to
+    tell rows apart. First rows are found by partial sums and joined back, so a
+    bag that most rows share (such as the empty one) meets in no task.
     """
-    keyed = df.withColumns({"_exact": T.exact_key(F.col(question)), "_fuzzy": T.fuzzy_key(F.col(question))})
-    w = Window.partitionBy("_fuzzy").orderBy(*order)
-    outcome = F.when(F.row_number().over(w) == 1, "kept").when(F.col("_exact") == F.first("_exact").over(w), "dedup_exact").otherwise("dedup_near")
-    return keyed.withColumn("outcome", outcome).drop("_exact", "_fuzzy")
+    keyed = df.withColumns({"_exact": T.exact_key(F.col(question)), "_fuzzy": T.fuzzy_key(F.col(question)), "_order": F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))})
+    first = keyed.groupBy("_fuzzy").agg(F.min(F.struct("_order", "_exact")).alias("_first"))
+    outcome = F.when(F.col("_order") == F.col("_first._order"), "kept").when(F.col("_exact") == F.col("_first._exact"), "dedup_exact").otherwise("dedup_near")
+    return keyed.join(first, "_fuzzy").withColumn("outcome", outcome).drop("_exact", "_fuzzy", "_order", "_first")
 
 
 def round_robin(df: DataFrame, group: str, group_rank: Column, order: list[Column], cap: int, budget: int) -> DataFrame:
@@ -54,31 +58,37 @@ def round_robin(df: DataFrame, group: str, group_rank: Column, order: list[Colum
 def stratified_split(df: DataFrame, strata: list[str], id_col: str, seed: int = 42, ratios: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """Adds split: each stratum, in the order of a seeded hash of the id, to train, validation and test.
 
-    ``int(n * 0.8)`` rows train, up to ``int(n * 0.9)`` validate; of three rows or more at least one trains.
+    ``int(n * 0.8)`` rows train, up to ``int(n * 0.9)`` validate; of three rows or
+    more at least one trains. A stratum is ranked in 4096 ranges of the hash, each
+    behind the sum of those before, so no task sorts a large one.
     """
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
-    w = Window.partitionBy(*strata)
-    n, at = F.count("*").over(w), F.row_number().over(w.orderBy(key, id_col))
+    keyed = df.withColumns({"_key": key, "_part": F.left(F.coalesce(key, F.lit("")), F.lit(3))})
+    sizes = keyed.groupBy(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(strata)), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*(f"_s{i}" for i in range(len(strata))))
+    sizes = sizes.withColumns({"_n": F.sum("_c").over(whole), "_before": F.sum("_c").over(whole.orderBy("_p")) - F.col("_c")}).drop("_c")
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_part").orderBy("_key", id_col)))
+    rows = ranked.join(sizes, same).withColumn("_at", F.col("_r") + F.col("_before"))
     train = F.floor(F.col("_n") * ratios[0])
     first = F.when((F.col("_n") >= 3) & (train == 0), 1).otherwise(train)
     until = first + F.floor(F.col("_n") * (ratios[0] + ratios[1])) - train
-    return df.withColumns({"_n": n, "_at": at}).withColumn("split", F.when(F.col("_at") <= first, "train").when(F.col("_at") <= until, "validation").otherwise("test")).drop("_n", "_at")
+    split = F.when(F.col("_at") <= first, "train").when(F.col("_at") <= until, "validation").otherwise("test")
+    return rows.withColumn("split", split).select(*df.columns, "split")
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, text_a: str, text_b: str, threshold: float = 0.9, shared: int = 3) -> DataFrame:
-    """Pairs (id_a, id_b) whose sets of content tokens have at least this Jaccard similarity and ``shared`` tokens.
+def similar_sets(x: DataFrame, y: DataFrame, threshold: float = 0.9, shared: int = 3) -> DataFrame:
+    """(a, b, shared, similarity) of the sets in ``x`` (a, set) and ``y`` (b, set) with at least this Jaccard similarity and ``shared`` elements.
 
-    Prefix filter: sets this similar share one of their rarest tokens, so only
-    those meet in the join; common words never do. The result is exact.
+    Prefix filter: sets this similar share one of their rarest elements, so only
+    those meet in the join; common ones never do. The result is exact.
     """
-    def sets(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
-        return df.select(F.col(key).alias(name), F.array_distinct(T.content_tokens(F.col(text))).alias("set")).filter(F.size("set") >= shared)
-
-    x, y = sets(a, id_a, text_a, "a"), sets(b, id_b, text_b, "b")
     df = x.select(F.explode("set").alias("t")).unionByName(y.select(F.explode("set").alias("t"))).groupBy("t").agg(F.count("*").alias("df"))
 
     def prefix(side: DataFrame, name: str) -> DataFrame:
-        # sorted by rarity; a set of n tokens needs its first n - ceil(threshold * n) + 1
+        # sorted by rarity; a set of n elements needs its first n - ceil(threshold * n) + 1
         tokens = side.select(name, F.size("set").alias("n"), F.explode("set").alias("t")).join(df, "t")
         rank = F.row_number().over(Window.partitionBy(name).orderBy("df", "t"))
         return tokens.withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(name, "t")
@@ -89,14 +99,27 @@ def similar_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, text_a: str,
     return both.select("a", "b", inter.alias("shared"), (inter / (F.size("sa") + F.size("sb") - inter)).alias("similarity")).filter((F.col("similarity") >= threshold) & (F.col("shared") >= shared))
 
 
-def leaked(splits: DataFrame, id_col: str, text_col: str, threshold: float = 0.9) -> DataFrame:
-    """How many rows of each later split have a near copy in an earlier one."""
-    out = None
-    for a, b in (("train", "validation"), ("train", "test"), ("validation", "test")):
-        x, y = splits.filter(F.col("split") == a), splits.filter(F.col("split") == b)
-        n = similar_pairs(x, y, id_col, id_col, text_col, text_col, threshold).agg(F.count_distinct("b").alias("n")).select(F.lit(f"{a}->{b}").alias("pair"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+def similar_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, text_a: str, text_b: str, threshold: float = 0.9, shared: int = 3) -> DataFrame:
+    """Pairs (id_a, id_b) whose sets of content tokens are similar: see ``similar_sets``."""
+    sets = lambda df, key, text, name: df.select(F.col(key).alias(name), F.array_distinct(T.content_tokens(F.col(text))).alias("set")).filter(F.size("set") >= shared)
+    return similar_sets(sets(a, id_a, text_a, "a"), sets(b, id_b, text_b, "b"), threshold, shared)
+
+
+def leaked(splits: DataFrame, text_col: str, threshold: float = 0.9, shared: int = 3) -> DataFrame:
+    """How many rows of each later split have a near copy in an earlier one: (pair, n).
+
+    Rows with equal sets of tokens are one class with a count for each split, and
+    classes are compared once for all splits; copies are never made into pairs.
+    """
+    names = ("train", "validation", "test")
+    sets = splits.select("split", F.array_sort(F.array_distinct(T.content_tokens(F.col(text_col)))).alias("set")).filter(F.size("set") >= shared)
+    classes = sets.groupBy(F.sha1(F.array_join("set", " ")).alias("k"), "set").agg(*(F.count_if(F.col("split") == s).alias(s) for s in names))
+    pairs = similar_sets(classes.select(F.col("k").alias("a"), "set"), classes.select(F.col("k").alias("b"), "set"), threshold, shared).select("a", "b")
+    earlier = pairs.join(classes.select(F.col("k").alias("a"), *(F.col(s).alias(f"_{s}") for s in names[:2])), "a").groupBy("b").agg(*(F.max(F.col(f"_{s}") > 0).alias(f"in_{s}") for s in names[:2]))
+    rows = classes.select(F.col("k").alias("b"), *names).join(earlier, "b")
+    ways = [("train", "validation"), ("train", "test"), ("validation", "test")]
+    sums = rows.agg(*(F.coalesce(F.sum(F.when(F.col(f"in_{a}"), F.col(b))), F.lit(0)).alias(f"{a}->{b}") for a, b in ways))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(f"{a}->{b}").alias("pair"), F.col(f"`{a}->{b}`").alias("n")) for a, b in ways))))
 
 
 def merge_new(existing: DataFrame, new: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -114,6 +137,28 @@ def statistics(df: DataFrame, question: str) -> DataFrame:
     )
 
 
+def zero_filled(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Rows of each value of a taxonomy; 0 for one that no row has."""
+    spark = df.sparkSession
+    names = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, place int")
+    n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return names.hint("broadcast").join(n, "value", "left").select("value", "place", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def uncovered(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """Values of a taxonomy that no row has."""
+    return zero_filled(df, column, values).filter("n = 0").select("value")
+
+
+def random_negatives(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Each row with another one: the next by a seeded hash of the key, around the end."""
+    hashed = df.select(key, F.conv(F.left(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256), F.lit(12)), 16, 10).cast("long").alias("_h"))
+    ranked = global_rank(hashed, "_h", (key,)).select(key, "place")
+    n = F.lit(df.count())
+    other = ranked.select(F.col("place").alias("_p"), F.col(key).alias("negative"))
+    return ranked.join(other, F.pmod(F.col("place") + 1, n) == F.col("_p")).select(F.col(key).alias("positive"), "negative")
+
+
 def shifted_pairs(df: DataFrame, order: str, shift: int = 37) -> DataFrame:
     """Each row with the row ``shift`` places on, around the end: negatives for a scorer.
 
@@ -125,6 +170,34 @@ def shifted_pairs(df: DataFrame, order: str, shift: int = 37) -> DataFrame:
     return ranked.join(other, F.pmod(F.col("place") + shift, n) == F.col("_p")).select(F.col(order).alias("positive"), "negative")
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...], buckets: int = 256) -> list[float | None]:
+    """Quantiles of a numeric column, interpolated, from exact counts; null and NaN don't count.
+
+    Rough quantiles bound the buckets; only the values in the buckets that hold a
+    wanted place are told apart, by value and count.
+    """
+    values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    bounds = sorted(set(values.approxQuantile("x", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    held = values.withColumn("b", F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda v: v < F.col("x"))))
+    sizes = {r["b"]: r["n"] for r in held.groupBy("b").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    if not n:
+        return [None for _ in shares]
+    places = {p for q in shares for p in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+    before, upto = {}, 0
+    for b in sorted(sizes):
+        before[b] = upto
+        upto += sizes[b]
+    wanted = sorted({max(b for b in before if before[b] <= p) for p in places})
+    counts = held.filter(F.col("b").isin(wanted)).groupBy("b", "x").agg(F.count("*").alias("c"))
+    runs = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("b").orderBy("x")))
+    offset = F.coalesce(*(F.when(F.col("b") == b, before[b]) for b in wanted))
+    rows = runs.select("x", (F.col("upto") + offset).alias("hi"), (F.col("upto") + offset - F.col("c")).alias("lo"))
+    hit = F.filter(F.lit(sorted(places)).cast("array<long>"), lambda p: (p >= F.col("lo")) & (p < F.col("hi")))
+    at = {p: r["x"] for r in rows.select("x", hit.alias("p")).filter(F.size("p") > 0).collect() for p in r["p"]}
+    return [at[math.floor(q * (n - 1))] + (at[math.ceil(q * (n - 1))] - at[math.floor(q * (n - 1))]) * (q * (n - 1) - math.floor(q * (n - 1))) for q in shares]
+
+
 def global_rank(df: DataFrame, order: str, ties: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
     """Adds place (from 0) in the order of a numeric column, then ``ties``: ranks within quantiles of it, plus what lies in the quantiles before."""
     bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))

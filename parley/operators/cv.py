@@ -94,3 +94,8 @@ def contacts(text: Column) -> Column:
     phones = F.filter(F.regexp_extract_all(text, F.lit(r"(\+?[0-9][0-9\s().-]{7,}[0-9])"), F.lit(1)), lambda p: F.length(F.regexp_replace(p, r"\D", "")).between(9, 15))
     links = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?:https?://|www\.)[^\s,;]+)"), F.lit(1))), 1, 5)
     return F.struct(mails.alias("emails"), phones.alias("phones"), links.alias("links"))
+
+
+def share_found(*signals: Column) -> Column:
+    """Share of the signals that hold, to two places."""
+    return F.round(sum((s.cast("int") for s in signals), F.lit(0)) / len(signals), 2)

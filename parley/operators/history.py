@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -50,28 +51,33 @@ def match_score(similarity: Column, fit: Column) -> Column:
     return F.floor((0.7 * similarity + 0.3 * fit) * 100 + 0.5)
 
 
-#: Jobs that are sent to every task; a catalogue beyond it is joined on shared skills only.
-CATALOGUE = 5000
+def _grade(seniority: Column) -> Column:
+    """Jobs of one grade fit a candidate equally."""
+    s = F.lower(F.coalesce(seniority, F.lit("")))
+    return F.when(s == "", "").when(F.contains(s, F.lit("junior")), "junior").when(F.contains(s, F.lit("senior")) | F.contains(s, F.lit("lead")), "senior").otherwise("other")
 
 
 def match_jobs(candidates: DataFrame, jobs: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` best jobs of each candidate (id, skills, overall) among jobs (job_id, wanted, seniority), with what is missing.
 
-    Jobs are a small catalogue (checked): each candidate row scores them all in
-    place as one array, and no rows but the best ``k`` come out.
+    Candidates meet the jobs they share a skill with. Of the others only the
+    grade counts, so the first ``k`` jobs of each of the four grades are enough:
+    every job behind them has no higher score and a larger id. Skills are brought
+    into one case once on either side; missing ones are looked up for the best only.
     """
-    if jobs.count() > CATALOGUE:
-        raise ValueError(f"more than {CATALOGUE} jobs")
-    shelf = jobs.agg(F.array_sort(F.collect_list(F.struct("job_id", "wanted", "seniority"))).alias("jobs")).hint("broadcast")
-    rated = F.transform(
-        "jobs",
-        lambda j: F.struct(
-            (-match_score(set_similarity(F.col("skills"), j["wanted"]), band_fit(F.col("overall"), j["seniority"]))).alias("order"), j["job_id"].alias("job_id"),
-            gaps(F.col("skills"), j["wanted"]).alias("missing"),
-        ),
-    )
-    best = candidates.join(shelf).select("id", F.posexplode(F.slice(F.array_sort(rated), 1, k)).alias("place", "m"))
-    return best.select("id", "m.job_id", (-F.col("m.order")).alias("score"), F.col("m.missing").alias("missing"), (F.col("place") + 1).alias("place"))
+    people = candidates.select("id", "skills", "overall", lower_set(F.col("skills")).alias("_have"))
+    shelf = jobs.select("job_id", "wanted", "seniority", lower_set(F.col("wanted")).alias("_want"))
+    shared = people.select("id", F.explode("_have").alias("s")).join(shelf.select("job_id", F.explode("_want").alias("s")), "s").groupBy("id", "job_id").agg(F.count("*").alias("both"))
+    first = top_n(jobs.select("job_id", _grade(F.col("seniority")).alias("g")), "g", [F.asc("job_id")], k)
+    few = [r["job_id"] for r in first.select("job_id").collect()]
+    kind = jobs.schema["job_id"].dataType
+    rest = people.select("id", F.explode(F.lit(few).cast(ArrayType(kind))).alias("job_id"), F.lit(0).cast("long").alias("both"))
+    pairs = shared.unionByName(rest).groupBy("id", "job_id").agg(F.sum("both").alias("both"))
+    rows = pairs.join(people, "id").join(shelf, "job_id")
+    alike = F.coalesce(F.try_divide("both", F.size("_have") + F.size("_want") - F.col("both")), F.lit(0.0))
+    rows = rows.select("id", "job_id", "skills", "wanted", match_score(alike, band_fit(F.col("overall"), F.col("seniority"))).alias("score"))
+    best = top_n(rows, "id", [F.desc("score"), F.asc("job_id")], k)
+    return best.select("id", "job_id", "score", gaps(F.col("skills"), F.col("wanted")).alias("missing"), "place")
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str) -> DataFrame:

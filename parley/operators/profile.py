@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.operators.corpus import exact_quantiles
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -14,8 +15,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: count, nulls, mean, deviation, quartiles (interpolated), ends, fences and population moments; one pass."""
-    quart = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """One row for each column: count, nulls, mean, deviation, quartiles (interpolated), ends, fences and population moments; one pass beside the quartiles'."""
+    quartiles = {c: F.lit(exact_quantiles(df, c, (0.25, 0.5, 0.75))).cast("array<double>") for c in columns}
+    quart = quartiles.__getitem__
     each = [
         F.struct(
             F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
@@ -69,6 +71,28 @@ def vocabulary_summary(df: DataFrame, text: str) -> DataFrame:
     return counts.agg(F.count("*").alias("types"), F.sum("c").alias("tokens"), F.count_if(F.col("c") == 1).alias("hapax"), F.max("c").alias("most"))
 
 
+def coverage_size(df: DataFrame, text: str, share: float = 0.99) -> DataFrame:
+    """How many of the most frequent tokens make up this share of all occurrences, from the counts of counts."""
+    counts = df.select(F.explode(T.content_tokens(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    levels = counts.groupBy("c").agg(F.count("*").alias("types"))
+    w = Window.orderBy(F.desc("c"))
+    runs = levels.select("c", "types", F.sum(F.col("c") * F.col("types")).over(w).alias("upto"), F.sum("types").over(w).alias("many"))
+    goal = levels.agg((F.sum(F.col("c") * F.col("types")) * share).alias("goal")).hint("broadcast")
+    first = runs.join(goal).filter(F.col("upto") >= F.col("goal")).agg(F.min(F.struct("many", "types", "c", "upto", "goal")).alias("r")).select("r.*")
+    return first.select((F.col("many") - F.floor((F.col("upto") - F.col("goal")) / F.col("c"))).cast("long").alias("tokens"))
+
+
+def imbalance(df: DataFrame, column: str) -> DataFrame:
+    """Largest by smallest group."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).agg((F.max("n") / F.min("n")).alias("ratio"), F.count("*").alias("groups"))
+
+
+def character_vocabulary(df: DataFrame, text: str) -> DataFrame:
+    """Characters with their counts, most frequent first; the ids follow those of the tokens."""
+    chars = df.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("char")).filter("char <> ''").groupBy("char").agg(F.count("*").alias("count"))
+    return chars.withColumn("id", F.row_number().over(Window.orderBy(F.desc("count"), "char")) - 1)
+
+
 def length_summary(df: DataFrame, text: str) -> DataFrame:
     """Lengths at fixed places of the sorted list (no interpolation), from their histogram."""
     h = df.groupBy(F.length(F.coalesce(F.col(text), F.lit(""))).alias("x")).agg(F.count("*").alias("c"))

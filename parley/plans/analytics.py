@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import lexicons as L
 from parley.functions import text as T
+from parley.operators import corpus as C
 from parley.operators import evaluation as E
 from parley.operators import history as H
 from parley.operators import profile as P
@@ -186,6 +187,32 @@ def vocab_stats(spark, sf_dir):
     return P.vocabulary_summary(table(spark, sf_dir, "documents"), "text")
 
 
+def vocab_coverage(spark, sf_dir):
+    return P.coverage_size(table(spark, sf_dir, "documents"), "text")
+
+
+def source_imbalance(spark, sf_dir):
+    return _r(P.imbalance(table(spark, sf_dir, "documents"), "source"), "ratio")
+
+
+def character_vocab(spark, sf_dir):
+    return P.character_vocabulary(table(spark, sf_dir, "documents"), "text").withColumn("char", F.hex("char"))
+
+
+def domain_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("domain", T.domain(F.col("text")))
+    return C.zero_filled(docs, "domain", list(L.DOMAIN_TERMS)).select(F.col("value").alias("domain"), "n")
+
+
+def uncovered_domains(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("domain", T.domain(F.col("text")))
+    return C.uncovered(docs, "domain", list(L.DOMAIN_TERMS)).withColumnRenamed("value", "domain")
+
+
+def random_negative_pairs(spark, sf_dir):
+    return C.random_negatives(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def doc_tokens_stats(spark, sf_dir):
     return _r(P.text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text"), "ratio")
 
@@ -239,7 +266,7 @@ def first_of_kind(spark, sf_dir):
 QUERIES = [
     tfidf_topk, embedding_topk, history_left_join, latest_per_user, top_n_per_user, nested_session, match_topk, session_trend, null_skipping_means, confusion_metrics, roc_pr_auc,
     grouped_eval, minmax_rank, bleu_corpus, rouge_scores, sentence_bleu, rouge_l, run_diff, character_errors, interval_merge, carried_values, upserted, eda_describe, eda_outliers, eda_corr,
-    value_counts, category_codes, vocab_top, vocab_stats, doc_tokens_stats, length_summary, vector_means, null_tally, score_histogram, event_status, rate_limit, pending_outbox,
+    value_counts, category_codes, vocab_top, vocab_stats, vocab_coverage, source_imbalance, character_vocab, domain_counts, uncovered_domains, random_negative_pairs, doc_tokens_stats, length_summary, vector_means, null_tally, score_histogram, event_status, rate_limit, pending_outbox,
     tumbling_counts, user_sessions, first_of_kind,
 ]
 
@@ -331,6 +358,15 @@ SELECT c AS "column", count(*) FILTER (x < a - 1.5 * (b - a) OR x > b + 1.5 * (b
     "category_codes": "SELECT p_partkey, (dense_rank() OVER (ORDER BY p_type) - 1)::INT AS code FROM part",
     "vocab_top": f"""SELECT token, count, (row_number() OVER (ORDER BY count DESC, token) - 1)::INT AS id FROM (SELECT token, count(*) AS count FROM (SELECT unnest({Q.tokens('text')}) AS token FROM documents) GROUP BY token ORDER BY count DESC, token LIMIT 500)""",
     "vocab_stats": f"SELECT count(*) AS types, sum(c)::BIGINT AS tokens, count(*) FILTER (c = 1) AS hapax, max(c) AS most FROM (SELECT token, count(*) AS c FROM (SELECT unnest({Q.tokens('text')}) AS token FROM documents) GROUP BY token)",
+    "vocab_coverage": f"""WITH c AS (SELECT token, count(*) AS c FROM (SELECT unnest({Q.tokens('text')}) AS token FROM documents) GROUP BY 1), r AS (SELECT row_number() OVER (ORDER BY c DESC, token) AS k, sum(c) OVER (ORDER BY c DESC, token ROWS UNBOUNDED PRECEDING) AS u, sum(c) OVER () AS t FROM c)
+SELECT min(k)::BIGINT AS tokens FROM r WHERE u >= t * 0.99::DOUBLE""",
+    "source_imbalance": "SELECT round(max(n) / min(n), 6) AS ratio, count(*) AS groups FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)",
+    "character_vocab": """WITH c AS (SELECT ch, count(*) AS count FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY 1) SELECT hex(ch) AS char, count, (row_number() OVER (ORDER BY count DESC, ch) - 1)::INT AS id FROM c""",
+    "domain_counts": f"""WITH h AS (SELECT {Q.domain('hay')} AS best FROM (SELECT {Q.haystack('text')} AS hay FROM documents)), n AS (SELECT best.domain AS d, count(*) AS n FROM h WHERE best.score >= 3 GROUP BY 1)
+SELECT domain, coalesce(n, 0) AS n FROM (SELECT unnest({Q.arr(L.DOMAIN_TERMS)}) AS domain) LEFT JOIN n ON d = domain""",
+    "uncovered_domains": f"""WITH h AS (SELECT {Q.domain('hay')} AS best FROM (SELECT {Q.haystack('text')} AS hay FROM documents)) SELECT domain FROM (SELECT unnest({Q.arr(L.DOMAIN_TERMS)}) AS domain) WHERE domain NOT IN (SELECT best.domain FROM h WHERE best.score >= 3)""",
+    "random_negative_pairs": """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || left(sha256('42:' || doc_id), 12))::BIGINT, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents)
+SELECT a.doc_id AS positive, b.doc_id AS negative FROM r a JOIN r b ON (a.i + 1) % a.n = b.i""",
     "doc_tokens_stats": f"""SELECT doc_id, len(ws)::INT AS words, len(list_distinct(ws))::INT AS unique_words, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: {Q.strip('s')} <> ''))::INT AS sentences,
 round(coalesce(len(list_distinct(ws)) / nullif(len(ws), 0), 0), 6) AS ratio FROM (SELECT doc_id, text, {Q.words("lower(coalesce(text, ''))")} AS ws FROM documents)""",
     "length_summary": """WITH l AS (SELECT length(text) AS x, row_number() OVER (ORDER BY length(text)) - 1 AS i, count(*) OVER () AS n FROM documents)

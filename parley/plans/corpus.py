@@ -88,7 +88,7 @@ def split_statistics(spark, sf_dir):
 
 def split_leakage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return C.leaked(C.stratified_split(docs, ["lang", "source"], "doc_id"), "doc_id", "text")
+    return C.leaked(C.stratified_split(docs, ["lang", "source"], "doc_id"), "text")
 
 
 def contamination(spark, sf_dir):

@@ -66,7 +66,7 @@ def user_summary(spark, sf_dir):
 
 
 def running_levels(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("score", F.when(F.col("event_type") != "error", F.least(F.lit(100.0), F.col("value"))))
+    e = table(spark, sf_dir, "events").withColumn("score", F.when(F.col("event_type") != "error", F.least(F.lit(100.0), F.round("value"))))
     return D.running_level(e, "user_id", "event_id", "score").select("event_id", F.round("mean", 6).alias("mean"), "next_level")
 
 
@@ -107,7 +107,7 @@ CASE WHEN l_returnflag = 'R' THEN 0 ELSE floor((0.0::DOUBLE + l_quantity + coale
     "user_summary": """WITH s AS (SELECT o_custkey, o_orderstatus, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice / 4000) END AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders)
 SELECT o_custkey, count(*) AS reports, count(*) FILTER (o_orderstatus = 'F') AS completed, floor(avg(coalesce(score, 0)) + 0.5::DOUBLE)::BIGINT AS average,
 string_agg(coalesce(score::BIGINT::VARCHAR, '-'), ',' ORDER BY k DESC) FILTER (k <= 7) AS trend FROM s GROUP BY 1""",
-    "running_levels": """WITH m AS (SELECT event_id, avg(CASE WHEN event_type <> 'error' THEN least(100.0::DOUBLE, value) ELSE 70 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mean FROM events)
+    "running_levels": """WITH m AS (SELECT event_id, avg(CASE WHEN event_type <> 'error' THEN least(100.0::DOUBLE, round(value)) ELSE 70 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS mean FROM events)
 SELECT event_id, round(mean, 6) AS mean, CASE WHEN mean >= 85 THEN 'Hard' WHEN mean >= 60 THEN 'Medium' ELSE 'Easy' END AS next_level FROM m""",
     "pace_gauges": """SELECT event_id, least(100, floor((round(value) - 60) / 1.2::DOUBLE + 0.5::DOUBLE))::BIGINT AS gauge,
 round(coalesce((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 0.5::DOUBLE), 6) AS height FROM events WINDOW w AS (PARTITION BY user_id)""",

@@ -19,6 +19,29 @@ def read_jsonl(spark: SparkSession, path, schema: str, bad: str = "keep") -> Dat
     return spark.read.schema(schema).option("mode", {"drop": "DROPMALFORMED", "fail": "FAILFAST"}[bad]).json(path)
 
 
+def bad_lines(spark: SparkSession, path, schema: str) -> DataFrame:
+    """How many lines of each file can't be read by the schema, and one of them (the first in order of text); blank lines aren't lines."""
+    rows = spark.read.text(path).filter(F.trim("value") != "").withColumn("file", F.col("_metadata.file_name"))
+    made = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return rows.filter(made[CORRUPT].isNotNull()).groupBy("file").agg(F.count("*").alias("bad"), F.min("value").alias("first"))
+
+
+def read_manifest(spark: SparkSession, manifest, schema: str, limit: int | None = None, order: Column | None = None) -> DataFrame:
+    """Rows of all shards (JSON lines, gz or plain) that a manifest lists (``{"shards": [{"path": ...}]}``), malformed lines left out, with the shard's name; at most ``limit`` of each shard if given."""
+    rows = spark.read.schema("shards array<struct<path:string>>").option("multiLine", True).json(manifest)
+    paths = [r["path"] for r in rows.select(F.explode("shards.path").alias("path")).collect()]
+    df = read_jsonl(spark, paths, schema, "drop").withColumn("shard", F.col("_metadata.file_name"))
+    if limit is None:
+        return df
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy("shard").orderBy(F.lit(0) if order is None else order))).filter(F.col("_r") <= limit).drop("_r")
+
+
+def read_splits(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All split files of a folder as one table with a ``split`` column; a file's name tells its split, whatever it is called there."""
+    df = spark.read.schema(schema).json(f"{folder.rstrip('/')}/*.jsonl").withColumn("_n", F.regexp_extract(F.lower(F.col("_metadata.file_name")), "(train|test|validation|valid|val|dev|eval)", 1))
+    return df.withColumn("split", F.coalesce(*(F.when(F.col("_n") == k, v) for k, v in SPLITS.items()), F.col("_n"))).drop("_n")
+
+
 def read_wrapped(spark: SparkSession, path, schema: str) -> DataFrame:
     """Whole JSON files: a list of records, or an object that holds it under one of the usual names."""
     row = S.StructType.fromDDL(schema)
@@ -40,11 +63,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*(c for c in df.columns if not c.startswith("_"))).write.json(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A small result as one CSV with sorted columns."""
-    df.select(*sorted(df.columns)).coalesce(1).write.csv(path, header=True)
-
-
 def read_split(records: DataFrame, split: str, caller: str, level: int, audit: str | None = None) -> DataFrame:
     """Rows of one split of a table with a ``split`` column. The test split is for callers of level 8 up; each try is logged at ``audit``."""
     name = SPLITS.get(split, split)
@@ -58,7 +76,7 @@ def read_split(records: DataFrame, split: str, caller: str, level: int, audit: s
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes and SHA-256 of each file."""
+    """path, bytes and SHA-256 of each file; Spark passes over empty ones."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -76,3 +76,12 @@ def live_states(events: DataFrame, session: str, kind: str) -> DataFrame:
 
     key_type = events.schema[session].dataType.simpleString()
     return events.groupBy(session).applyInPandasWithState(step, f"{session} {key_type}, state string, events long", "rank int, name string, n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def parsed(uploads: DataFrame, body: str, schema: str) -> DataFrame:
+    """Adds parsed (null unless it could be read) and status: PENDING without a body, PARSED, or FAILED; the same on a stream."""
+    made = F.from_json(F.col(body), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = uploads.withColumn("_made", made)
+    good = F.col("_made").isNotNull() & F.col("_made._bad").isNull()
+    status = F.when(F.col(body).isNull(), "PENDING").when(good, "PARSED").otherwise("FAILED")
+    return rows.withColumns({"parsed": F.when(good, F.col("_made").dropFields("_bad")), "status": status}).drop("_made")
