@@ -221,3 +221,102 @@ TRACK_ALIASES = {
     "leadership": "business_analysis", "uiux": "ui_ux", "ux": "ui_ux", "ba": "business_analysis", "data": "data_science",
 }
 DIFFICULTY_ENTRY = {"easy": "Beginner", "beginner": "Beginner", "medium": "Intermediate", "intermediate": "Intermediate", "hard": "Advanced", "advanced": "Advanced"}
+
+# --- fixed values: what a CV shows; patterns apply to lower-case text ---
+TECHNOLOGIES = {
+    "Python": r"\bpython\b",
+    "JavaScript": r"\b(javascript|es6\+?|ecmascript)\b",
+    "TypeScript": r"\btype\s?script\b",
+    "Java": r"\bjava\b(?!\s*script)",
+    "C++": r"\bc\+\+\b",
+    "C#": r"(\bc#|\bc\s?sharp\b|\b\.net\b)",
+    "Go": r"\b(golang|go\s+lang)\b",
+    "Rust": r"\brust\b",
+    "PHP": r"\bphp\b",
+    "Ruby": r"\bruby(\s+on\s+rails)?\b",
+    "Kotlin": r"\bkotlin\b",
+    "Swift": r"\bswift\b",
+    "Dart / Flutter": r"\b(dart|flutter)\b",
+    "R": r"(?<![a-z])r\s+(programming|language)\b",
+    "React": r"\breact(\.?js)?\b",
+    "React Native": r"\breact\s+native\b",
+    "Angular": r"\bangular(\s?js)?\b",
+    "Vue.js": r"\bvue(\.?js)?\b",
+    "Next.js": r"\bnext\.?js\b",
+    "Svelte": r"\bsvelte(kit)?\b",
+    "Node.js": r"\bnode(\.?js)?\b",
+    "Express.js": r"\bexpress(\.?js)?\b",
+    "NestJS": r"\bnest\.?js\b",
+    "Django": r"\bdjango\b",
+    "Flask": r"\bflask\b",
+    "FastAPI": r"\bfast\s?api\b",
+    "Spring Boot": r"\bspring\s?(boot|framework|mvc)\b",
+    "Laravel": r"\blaravel\b",
+    "ASP.NET": r"\basp\.?net\b",
+    "jQuery": r"\bjquery\b",
+    "HTML/CSS": r"\b(html5?|css3?|scss|sass|less)\b",
+    "Tailwind CSS": r"\btailwind(\s?css)?\b",
+    "Bootstrap": r"\bbootstrap\b",
+    "SQL": r"\bsql\b(?!\s*server\s+reporting)",
+    "MySQL": r"\bmy\s?sql\b",
+    "PostgreSQL": r"\b(postgre\s?sql|postgres)\b",
+    "SQL Server": r"\b(ms\s?sql|sql\s+server)\b",
+    "Oracle DB": r"\boracle\s*(db|database|11g|12c|19c)\b",
+    "MongoDB": r"\bmongo\s?db\b|\bmongoose\b",
+    "Redis": r"\bredis\b",
+    "Elasticsearch": r"\belastic\s?search\b",
+    "Firebase": r"\bfirebase\b",
+    "GraphQL": r"\bgraph\s?ql\b",
+    "REST API": r"\brest(ful)?\s*apis?\b",
+    "gRPC": r"\bgrpc\b",
+    "Kafka": r"\b(apache\s+)?kafka\b",
+    "RabbitMQ": r"\brabbit\s?mq\b",
+    "Docker": r"\bdocker\b",
+    "Kubernetes": r"\b(kubernetes|k8s)\b",
+    "Terraform": r"\bterraform\b",
+    "Ansible": r"\bansible\b",
+    "Jenkins": r"\bjenkins\b",
+    "CI/CD": r"\b(ci\s?/?\s?cd|continuous\s+(integration|deployment|delivery)|github\s+actions|gitlab\s+ci)\b",
+    "AWS": r"\b(aws|amazon\s+web\s+services|ec2|s3\s+bucket|lambda)\b",
+    "Azure": r"\b(microsoft\s+)?azure\b",
+    "GCP": r"\b(gcp|google\s+cloud)\b",
+    "Linux": r"\b(linux|ubuntu|debian|centos|unix|bash\s+script)\b",
+    "Git": r"\b(git|github|gitlab|bitbucket)\b",
+    "Nginx / Apache": r"\b(nginx|apache\s+(http|web|tomcat))\b",
+    "Microservices": r"\bmicro\s?services?\b",
+    "System Design": r"\b(system\s+design|software\s+architecture|distributed\s+systems?)\b",
+    "TensorFlow": r"\btensor\s?flow\b",
+    "PyTorch": r"\bpy\s?torch\b",
+    "scikit-learn": r"\b(scikit[\s-]?learn|sklearn)\b",
+    "Pandas / NumPy": r"\b(pandas|numpy)\b",
+    "Machine Learning": r"\b(machine\s+learning|deep\s+learning|neural\s+network|\bnlp\b|computer\s+vision)\b",
+    "Power BI / Tableau": r"\b(power\s?bi|tableau)\b",
+    "Figma": r"\b(figma|adobe\s+xd|sketch\s+app)\b",
+    "Selenium": r"\bselenium\b",
+    "Jest / Pytest": r"\b(jest|pytest|junit|mocha|jasmine|cypress|playwright)\b",
+    "Cybersecurity": r"\b(penetration\s+testing|pen\s?test|owasp|vulnerability\s+assessment|ethical\s+hacking)\b",
+    "Networking": r"\b(tcp/ip|subnetting|ccna|routing\s+and\s+switching|firewall|vlan)\b",
+}
+SKILLS = {
+    "Object-Oriented Programming (OOP)": r"\b(oop|object[\s-]?oriented)\b",
+    "SOLID Principles": r"\bsolid\s+(principles?|design)\b",
+    "Design Patterns": r"\bdesign\s+patterns?\b",
+    "Data Structures & Algorithms": r"\b(data\s+structures?|algorithms?|\bdsa\b|competitive\s+programming)\b",
+    "Test-Driven Development (TDD)": r"\b(tdd|test[\s-]driven|unit\s+test)\b",
+    "Agile / Scrum": r"\b(agile|scrum|kanban|sprint\s+planning)\b",
+    "Clean Code": r"\bclean\s+code\b",
+    "API Design": r"\bapi\s+design\b",
+    "Performance Optimization": r"\b(performance\s+(tuning|optimi[sz]ation)|query\s+optimi[sz]ation|latency\s+reduction)\b",
+    "Requirements Engineering": r"\b(requirement[s]?\s+(gathering|analysis|elicitation)|user\s+stor(y|ies)|use\s+case)\b",
+    "UI/UX Design": r"\b(ui/ux|user\s+experience|wireframe|prototyp|usability)\b",
+    "Technical Leadership": r"\b(mentor(ed|ing)?|led\s+a\s+team|team\s+lead|code\s+review)\b",
+    "Problem Solving": r"\bproblem[\s-]solving\b",
+    "Version Control": r"\b(version\s+control|branching\s+strategy|git\s?flow)\b",
+}
+NOT_A_NAME = r"(?i)\b(curriculum\s+vitae|resume|cv|profile|address|phone|mobile|email|tel|contact|linkedin|github|nationality|date\s+of\s+birth|dob|gender|marital|www|http)\b"
+JOB_TITLE = (
+    r"(?i)\b((?:senior|junior|lead|principal|staff|associate|assistant|chief|head\s+of|trainee|intern|graduate)?\s*"
+    r"(?:software|full[\s-]?stack|front[\s-]?end|back[\s-]?end|web|mobile|devops|site\s+reliability|cloud|data|machine\s+learning|ml|ai|qa|test|"
+    r"security|network|systems?|database|business|ui/ux|ux|ui|product|project)?"
+    r"\s*(?:engineer|developer|programmer|analyst|architect|administrator|designer|scientist|consultant|manager|lead|specialist|intern|trainee))\b"
+)

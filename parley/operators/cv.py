@@ -99,3 +99,70 @@ def contacts(text: Column) -> Column:
 def share_found(*signals: Column) -> Column:
     """Share of the signals that hold, to two places."""
     return F.round(sum((s.cast("int") for s in signals), F.lit(0)) / len(signals), 2)
+
+
+def zones(rows: DataFrame, key: str) -> DataFrame:
+    """(key, skills, experience, projects, summary, whole): the lower-case text of each section, and of all, from ``lines``."""
+    text = lambda wanted: F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(wanted, F.struct("line_no", "line")))), lambda r: r["line"]), "\n"))
+    each = [text(F.col("section") == s).alias(s) for s in ("skills", "experience", "projects", "summary")]
+    return rows.groupBy(key).agg(*each, text(F.lit(True)).alias("whole"))
+
+
+def skills(texts: DataFrame, key: str) -> DataFrame:
+    """(key, technologies, concepts, demonstrated, evidence) of ``zones``: what is named where.
+
+    Evidence lists the sections that name a technology, "other" only if none of
+    them does; one that experience or projects name is demonstrated.
+    """
+    places = ("skills", "experience", "projects", "summary")
+    found = []
+    for name, pattern in L.TECHNOLOGIES.items():
+        at = F.array_compact(F.array(*(F.when(F.regexp_like(z, F.lit(pattern)), z_name) for z_name in places for z in [F.col(z_name)])))
+        found.append(F.struct(F.lit(name).alias("name"), F.when(F.size(at) > 0, at).when(F.regexp_like("whole", F.lit(pattern)), F.array(F.lit("other"))).alias("at")))
+    concepts = F.array_compact(F.array(*(F.when(F.regexp_like("whole", F.lit(p)), n) for n, p in L.SKILLS.items())))
+    rows = texts.select(key, F.filter(F.array(*found), lambda t: t["at"].isNotNull()).alias("_f"), concepts.alias("concepts"))
+    shown = F.filter("_f", lambda t: F.array_contains(t["at"], "experience") | F.array_contains(t["at"], "projects"))
+    names = lambda a: F.transform(a, lambda t: t["name"])
+    return rows.select(key, names(F.col("_f")).alias("technologies"), "concepts", names(shown).alias("demonstrated"), F.map_from_entries("_f").alias("evidence"))
+
+
+def declared_years(text: Column) -> Column:
+    """The most years of experience, up to 45, that a text claims; null if it claims none."""
+    claim = r"(?i)([0-9]{1,2})\s*\+?\s*(?:years?|yrs?)(?:\s+of)?\s+(?:professional\s+|industry\s+)?experience"
+    return F.array_max(F.filter(F.transform(F.regexp_extract_all(text, F.lit(claim), F.lit(1)), lambda n: n.cast("int")), lambda n: n.between(1, 45)))
+
+
+def total_years(months: Column, declared: Column) -> Column:
+    """The larger of what dates show and what is claimed; null if there is neither."""
+    return F.greatest(F.when(months > 0, F.round(months / 12, 1)), declared.cast("double"))
+
+
+def name_of(header: Column, email: Column) -> Column:
+    """The first of six header lines that looks like a name, else one made from the e-mail's parts; null if neither will do."""
+    tidy = F.transform(F.slice(header, 1, 6), lambda x: F.regexp_replace(x, r"^[ .,|\-]+|[ .,|\-]+$", ""))
+    fits = lambda x: (
+        ~F.regexp_like(x, F.lit(L.NOT_A_NAME)) & ~F.contains(x, F.lit("@")) & ~F.regexp_like(x, F.lit(r"\d")) & F.size(T.words(x)).between(2, 4)
+        & F.forall(T.words(x), lambda w: F.regexp_like(w, F.lit(r"^(?:[A-Z][a-z'\-]+|[A-Z.'\-]{2,})$")))
+    )
+    plain = F.array_join(F.transform(T.words(F.get(F.filter(tidy, fits), F.lit(0))), lambda w: F.when((F.upper(w) == w) & (F.length(w) > 2), F.initcap(F.lower(w))).otherwise(w)), " ")
+    parts = F.filter(F.split(F.substring_index(email, "@", 1), r"[._\-0-9]+"), lambda p: F.length(p) > 1)
+    made = F.when(F.size(parts) >= 2, F.array_join(F.transform(F.slice(parts, 1, 3), F.initcap), " "))
+    return F.coalesce(F.nullif(plain, F.lit("")), made)
+
+
+def roles(rows: DataFrame, key: str, as_of: tuple[int, int], k: int = 6) -> DataFrame:
+    """(key, place, title, months): the roles of the experience lines, at most ``k``, each title once.
+
+    A line of dates alone belongs to the role above if that has none yet; one
+    before any role counts for no role (but for the tenure).
+    """
+    lines_ = rows.filter("section = 'experience' AND length(line) >= 6").withColumn("_t", F.nullif(F.regexp_extract("line", L.JOB_TITLE, 1), F.lit("")))
+    dated = month_ranges(lines_.withColumn("_id", F.struct(key, "line_no")), "_id", "line", as_of)
+    months = covered(merge_intervals(dated, "_id", "s", "e"), "_id").select(F.col("_id").alias("_m"), F.col("covered").cast("int").alias("months"))
+    lines_ = lines_.join(months, F.struct(key, "line_no") == F.col("_m"), "left").filter("_t IS NOT NULL OR months IS NOT NULL")
+    w = Window.partitionBy(key).orderBy("line_no")
+    lines_ = lines_.withColumn("_role", F.count("_t").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_role > 0")
+    each = lines_.groupBy(key, "_role").agg(F.min_by("_t", "line_no").alias("title"), F.min_by("months", F.when(F.col("months").isNotNull(), F.col("line_no"))).alias("months"))
+    each = each.withColumn("title", F.initcap(F.regexp_replace(T.strip(F.col("title")), r"\s{2,}", " ")))
+    first = each.withColumn("_r", F.row_number().over(Window.partitionBy(key, F.lower("title")).orderBy("_role"))).filter("_r = 1")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("_role"))).filter(F.col("place") <= k).select(key, "place", "title", "months")

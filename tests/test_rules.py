@@ -100,3 +100,106 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     query.stop()
     key = lambda rows: sorted((r["start"], r["event_type"], r["n"], round(r["total"], 4)) for r in rows)
     assert key(spark.table("windows").collect()) == key(V.windowed(stored, "ts", "value", "event_type", "6 hours").collect())
+
+
+CV = (
+    "NIMAL PERERA\nnimal.perera@mail.example\nSummary\n5+ years of experience with C++ and JavaScript\nExperience\nSenior Software Engineer at Acme\nJan 2020 - Mar 2021\n"
+    "Web Developer, Bolt 2018 - 2018 using Docker and React.js\nweb developer\nSkills\nPython, SQL, oop\nProjects\nA REST API in Django"
+)
+
+
+def test_skills_by_section(spark):
+    rows = cv.lines(spark.createDataFrame([(1, CV), (2, ""), (3, "java script only")], "id int, t string"), "id", "t")
+    got = {r["id"]: r for r in cv.skills(cv.zones(rows, "id"), "id").collect()}
+    assert got[1]["technologies"] == ["Python", "JavaScript", "React", "Django", "SQL", "REST API", "Docker"] and got[1]["concepts"] == ["Object-Oriented Programming (OOP)"]
+    assert got[1]["demonstrated"] == ["React", "Django", "REST API", "Docker"] and got[1]["evidence"]["Python"] == ["skills"] and got[1]["evidence"]["JavaScript"] == ["summary"]
+    assert 2 not in got and got[3]["technologies"] == []
+
+
+def test_years_claimed_and_dated(spark):
+    assert column(spark, [CV, "3 yrs professional experience, 12 years of experience", "60 years of experience", "none", None], cv.declared_years) == [5, 12, None, None, None]
+    df = spark.createDataFrame([(14, 5), (80, 5), (None, 2), (0, None), (7, None)], "m int, d int")
+    assert [r[0] for r in df.select(cv.total_years(F.col("m"), F.col("d"))).collect()] == [5.0, 6.7, 2.0, None, 0.6]
+
+
+def test_names(spark):
+    rows = [(["NIMAL PERERA", "x"], None), (["Curriculum Vitae", "Ann Smith"], None), (["12 Main Street"], "ann.other7@mail.example"), (["x"], "solo@mail.example")]
+    df = spark.createDataFrame(rows, "h array<string>, e string")
+    assert [r[0] for r in df.select(cv.name_of(F.col("h"), F.col("e"))).collect()] == ["Nimal Perera", "Ann Smith", "Ann Other", None]
+
+
+def test_roles_take_the_dates_below_them(spark):
+    rows = cv.lines(spark.createDataFrame([(1, CV), (2, "Experience\n2019 - 2020\nQA Engineer")], "id int, t string"), "id", "t")
+    got = sorted((r["id"], r["place"], r["title"], r["months"]) for r in cv.roles(rows, "id", (2024, 6)).collect())
+    assert got == [(1, 1, "Senior Software Engineer", 15), (1, 2, "Web Developer", 12), (2, 1, "Qa Engineer", None)]
+
+
+def test_word_errors_against_a_table(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcd", k=rng.randrange(0, 90))), " ".join(rng.choices("abcde", k=rng.randrange(1, 90)))) for i in range(60)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    want = sum(edits(a.split(), b.split()) for _, a, b in rows) / sum(len(b.split()) for _, _, b in rows)
+    got = E.word_error_rate(spark.createDataFrame(rows, "id int, p string, r string"), F.col("p"), F.col("r")).first()["wer"]
+    assert got == pytest.approx(want)
+
+
+def test_runs_that_differ_do_not_compare(spark):
+    a, b = (spark.createDataFrame([(7, x)], "seed int, split string") for x in ("test", None))
+    E.require_comparable(E.setting_differences(a, a, ["seed", "split"]))
+    with pytest.raises(ValueError, match="split"):
+        E.require_comparable(E.setting_differences(a, b, ["seed", "split"]))
+
+
+def test_python_code_is_parsed(spark):
+    from parley.operators import answers
+
+    code = ["def f(x):\n    for i in x:\n        pass\n    return x", "x = 1\ny = 2\nz = 3", "def (", "", "for a in b:\n  for c in d:\n    pass"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(code)], "i int, c string").select("i", answers.code_scores(F.col("c"), F.lit("python")).alias("s")).orderBy("i")
+    assert [(r["s"]["score"], r["s"]["complexity"]) for r in df.collect()] == [(82, "O(N)"), (78, "O(1)"), (42, "O(N)"), (0, "N/A"), (78, "O(N^2)")]
+
+
+def test_thread_takes_the_longest_prose_block(spark):
+    from parley.operators import records
+
+    prose = "This explains the matter in words that anyone can read and follow. " * 8
+    text = f"A title\nthe body here\n\n{prose} or not?\n\n{prose}\n\nint a;\nint b;\n\n{prose[:450]}"
+    assert [tuple(r) for r in column(spark, [text, None], records.thread)] == [("A title", "the body here", prose.strip()), ("", "", "")]
+
+
+def test_job_matching_against_all_jobs(spark):
+    rng = random.Random(11)
+    skills = [f"S{i}" for i in range(9)]
+    people = [(i, rng.sample(skills, rng.randrange(0, 5)), rng.randrange(40, 100)) for i in range(40)]
+    jobs = [(i, [s.lower() for s in rng.sample(skills, rng.randrange(0, 4))], rng.choice(["Junior", "Senior", "", None, "Mid", "Lead dev"])) for i in range(60)]
+    got = {(r["id"], r["place"]): (r["job_id"], r["score"], r["missing"]) for r in history.match_jobs(spark.createDataFrame(people, "id int, skills array<string>, overall int"), spark.createDataFrame(jobs, "job_id int, wanted array<string>, seniority string"), 4).collect()}
+
+    def fit(o, s):
+        s = (s or "").lower()
+        return 0.6 if not s else (1.0 if o < 65 else 0.6) if "junior" in s else (1.0 if o >= 80 else 0.4) if "senior" in s or "lead" in s else 1.0 if 65 <= o < 85 else 0.55
+
+    for i, have, o in people:
+        low = {s.lower() for s in have}
+        rank = []
+        for j, wanted, s in jobs:
+            union = len(low | set(wanted))
+            rank.append((-int((0.7 * (len(low & set(wanted)) / union if union else 0.0) + 0.3 * fit(o, s)) * 100 + 0.5), j, [w for w in wanted if w not in low]))
+        assert [got[i, k + 1] for k in range(4)] == [(j, -x, m) for x, j, m in sorted(rank)[:4]]
+
+
+def test_exact_quantiles(spark):
+    from statistics import quantiles
+
+    rng = random.Random(13)
+    values = [rng.choice([0.0, 5.5, rng.random() * 100]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+    assert C.exact_quantiles(df, "x", (0.25, 0.5, 0.75), 16) == pytest.approx(quantiles(values, n=4, method="inclusive"))
+    assert C.exact_quantiles(df.filter("x > 1e9"), "x", (0.5,)) == [None]
