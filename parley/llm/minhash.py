@@ -196,31 +196,36 @@ def _weighed(sets: DataFrame, percent: int) -> DataFrame:
     return weighed.filter((F.col("n") - F.col("lone")) * 100 >= F.col("n") * percent)
 
 
-def _alone(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """p, node and alone: elements in which the set differs from its pivot, but no other set of that pivot does."""
-    held = placed.filter("node <> p").select("p", "node").distinct()
+def _alone(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """p, node and alone: elements in which the set differs from its pivot, but no other set of that pivot in ``rows`` does."""
+    held = rows.select("p", "node").distinct()
     differ = held.join(sets.select("node", F.col("shingles").alias("sx")), "node").join(sets.select(F.col("node").alias("p"), F.col("shingles").alias("sp")), "p")
     differ = differ.select("p", "node", F.explode(F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))).alias("e"))
     alone = differ.groupBy("p", "e").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
     return held.join(alone.groupBy("p", "node").agg(F.count("*").alias("alone")), ["p", "node"], "left").select("p", "node", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
-def _able(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows of large buckets that can have a link between two components of their bucket.
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows that can have a link between two components of their bucket; ``common``: the differing elements that another set may share.
 
     Two sets at ``apart`` s and t from their pivot have s + t - 2i elements that
     only one has, i being the differing elements they share. They are linked if
     that is at most (100 - percent) / (100 + percent) of both sizes together. At
     least one of them is in another component than the pivot, so not linked with
     it, which bounds its t from below. Altered copies of one text share few
-    alterations, so nearly all of them leave here, in time in proportion to them.
+    alterations, so nearly all of them leave here.
     """
     least, most = F.lit(100 + percent), F.lit(100 - percent)
-    rows = placed.filter("node <> p").join(_alone(placed, sets), ["p", "node"]).withColumn("common", F.col("apart") - F.col("alone"))
-    rows = rows.withColumn("far", least * (F.col("apart") - 2 * F.col("common")) < most * (F.col("n") - F.col("np")))
+    rows = rows.filter("node <> p").withColumn("far", least * (F.col("apart") - 2 * F.col("common")) < most * (F.col("n") - F.col("np")))
     hub = rows.filter("far AND mine = theirs").groupBy("key").agg(F.max("n").alias("hub"))
     near = least * (F.col("apart") - F.col("common")) <= most * (F.col("hub") + F.col("n"))
-    return rows.join(hub, "key", "left").filter(F.col("far") | ((F.col("mine") != F.col("theirs")) & F.coalesce(near, F.lit(False)))).select("key", "p", "np", "node", "n", "apart", "common", "mine", "theirs")
+    return rows.join(hub, "key", "left").filter(F.col("far") | ((F.col("mine") != F.col("theirs")) & F.coalesce(near, F.lit(False)))).drop("far", "hub")
+
+
+def _able_closely(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The same, first by the shingles that no other set has at all, which are known, then by all differing elements of the rows left."""
+    rows = _able(rows, percent)
+    return _able(rows.join(_alone(rows, sets), ["p", "node"]).withColumn("common", F.col("apart") - F.col("alone")).drop("alone"), percent)
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -232,9 +237,11 @@ def _open(placed: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b: nodes) that connect all similar classes met in a band; each has been verified on full sets.
 
-    Sets that can't have a link go first. In every bucket the member with the
-    fewest elements of its own is the pivot and is compared with all others, so
-    the buckets of one family mostly have the same. What this leaves open are
+    Sets that can't have a link go first. Each bucket has a pivot with which all
+    its members are compared: of the members, and of those they meet in other
+    buckets, the set with the fewest elements of its own, so all buckets of one
+    family mostly have the same, nearest to what its texts have in common. (Later
+    rounds take a member.) What this leaves open are
     pairs of a bucket in different components. Small buckets are finished: their
     open pairs are compared, unless their distances to the pivot rule a link out.
     Members of large buckets that can have no such link leave. If few pairs are
@@ -260,15 +267,19 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | Non
         return finish(None)
     met = classes.join(members.select("node").distinct(), "node").select("doc_id", "node", "n", "k1", "k2")
     sets = keep(_texts_again(docs, met), "minhash-sets")
-    members = keep(_shared(members.join(_weighed(sets, percent), "node")).select("key", "node", "n", F.col("lone").alias("own")), "minhash-members")
+    members = keep(_shared(members.join(_weighed(sets, percent), "node")).select("key", "node", "n", "lone", F.col("lone").alias("own")), "minhash-members")
     total = members.count()
     if not total:
         return finish(None)
     known, few = None, max(total, 1)
     while True:
         lead = F.min(F.struct("own", F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("np")))
-        pivots = members.groupBy("key").agg(lead.alias("l")).select("key", "l.p", "l.np")
-        spokes = keep(members.join(pivots, "key").select("key", "p", "np", "node", "n", F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")), "minhash-spokes")
+        pivots = members.groupBy("key").agg(lead.alias("l"))
+        if known is None:
+            best = members.join(pivots, "key").groupBy("node").agg(F.min("l").alias("l"))
+            pivots = members.join(best, "node").groupBy("key").agg(F.min("l").alias("l"))
+        pivots = pivots.select("key", "l.p", "l.np")
+        spokes = keep(members.join(pivots, "key").select("key", "p", "np", "node", "n", "lone", F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")), "minhash-spokes")
         pairs = spokes.filter("a <> b").select("a", "b").distinct()
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
@@ -279,20 +290,21 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | Non
         hub = component.select(F.col("node").alias("p"), F.col("component").alias("theirs"))
         placed = spokes.join(known.select("a", "b", "apart"), ["a", "b"], "left").join(own, "node", "left").join(hub, "p", "left")
         apart = F.when(F.col("node") == F.col("p"), F.lit(0).cast("long")).otherwise(F.col("apart"))
-        placed = keep(placed.select("key", "p", "np", "node", "n", apart.alias("apart"), F.coalesce("mine", "node").alias("mine"), F.coalesce("theirs", "p").alias("theirs")), "minhash-placed")
+        placed = placed.select("key", "p", "np", "node", "n", "lone", apart.alias("apart"), F.coalesce("mine", "node").alias("mine"), F.coalesce("theirs", "p").alias("theirs"))
+        placed = keep(placed.withColumn("common", F.greatest(F.col("apart") - F.col("lone"), F.lit(0))), "minhash-placed")
         sizes = keep(_open(placed), "minhash-open")
-        small = placed.join(sizes.filter(F.col("m") <= SMALL).select("key"), "key").withColumn("common", F.col("apart"))
-        large = keep(_able(placed.join(sizes.filter(F.col("m") > SMALL).select("key"), "key"), sets, percent), "minhash-able")
+        small = placed.join(sizes.filter(F.col("m") <= SMALL).select("key"), "key")
+        large = keep(_able_closely(placed.join(sizes.filter(F.col("m") > SMALL).select("key"), "key"), sets, percent).select(small.columns), "minhash-able")
         sizes = keep(_open(large), "minhash-open")
         done = (sizes.agg(F.sum("open")).first()[0] or 0) <= FEW * few
-        last = keep(_apart_pairs(small.select(large.columns).unionByName(large) if done else small, known, percent), "minhash-last")
+        last = keep(_apart_pairs(small.unionByName(large) if done else small, known, percent), "minhash-last")
         if done and last.count() > few:
             done, last = False, keep(_apart_pairs(small, known, percent), "minhash-last")
         known = known.unionByName(keep(_verified(last, sets, percent), "minhash-pairs"))
         if done:
             return finish(known.filter("linked").select("a", "b"))
         rest = large.join(sizes.select("key"), "key")
-        members = rest.select("key", "node", "n", (F.col("apart") - F.col("common")).alias("own"))
+        members = rest.select("key", "node", "n", "lone", (F.col("apart") - F.col("common")).alias("own"))
         few = 2 * few
 
 

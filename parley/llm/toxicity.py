@@ -17,7 +17,7 @@ SAMPLE = 20_000
 FEATURES = 2048
 #: A word is a feature if the G statistic of its association with the label is at least this, and it occurs in so many documents.
 LEAST_G, LEAST_DOCS = 12.0, 3
-#: Bytes of the word beginnings that are features too.
+#: Bytes of the word beginnings that are features too: they stand for a word's forms. Whole words are features as well, and whole texts are read.
 PREFIXES = (5, 6, 7)
 GRADES = 4
 RIDGE = 0.05

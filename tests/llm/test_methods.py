@@ -69,6 +69,42 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, groups, small, fe
     assert got == label
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.7, 0.8])
+def test_pairs_share_a_band_as_often_as_banding_says(similarity):
+    rng = np.random.default_rng(round(100 * similarity))
+    both, size, pairs = 0, 400, 600
+    common = round(2 * size * similarity / (1 + similarity))
+    for _ in range(pairs):
+        x = rng.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64)
+        sets = np.concatenate([np.sort(x[:size]), np.sort(x[size - common :])])
+        keys = minhash.band_keys(minhash.signatures(sets, np.array([0, size, 2 * size])))
+        both += (keys[0] == keys[1]).any()
+    true = common / (2 * size - common)
+    want = 1 - (1 - true**minhash.ROWS) ** minhash.BANDS
+    assert abs(both / pairs - want) < 4 * max((want * (1 - want) / pairs) ** 0.5, 0.003)
+
+
+@pytest.mark.parametrize("changed", [1, 8])
+def test_verified_pairs_grow_with_a_hot_family(spark, monkeypatch, changed):
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(200)]
+    pairs, made = minhash._verified, []
+    monkeypatch.setattr(minhash, "_verified", lambda p, sets, percent: (made.append(p.count()), pairs(p, sets, percent))[1])
+    seen = []
+    for n in (200, 400, 800):
+        rows = [(0, " ".join(base))]
+        for i in range(1, n):
+            words = list(base)
+            for at in rng.sample(range(200), changed):
+                words[at] = f"v{rng.randrange(100_000)}"
+            rows.append((i, " ".join(words)))
+        made.clear()
+        found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).agg({"component_id": "max"}).first()[0]
+        assert found == (0 if changed == 1 else n - 1)
+        seen.append(sum(made))
+    assert seen[1] <= 2.3 * seen[0] + 50 and seen[2] <= 2.3 * seen[1] + 50 and seen[2] <= 3 * 800, seen
+
+
 def test_vector_links_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal((6, 32))
