@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepairs, codes, gif, langid, licenses, minhash, mixing, pieces, quality, sharding, toxicity, vectors
+from . import alignment, bytepairs, codes, gif, langid, licenses, minhash, mixing, pieces, quality, sharding, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.code_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -62,7 +66,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_shards, op4_vector_dedup, op5_sentencepiece, op6_minhash_dedup, op7_quality, op8_language, op9_gif_media, op10_toxicity, op12_vector_codes, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_shards, op4_vector_dedup, op5_sentencepiece, op6_minhash_dedup, op7_quality, op8_language, op9_gif_media, op10_toxicity, op11_token_alignment, op12_vector_codes, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
