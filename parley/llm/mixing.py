@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +17,10 @@ ROUNDS = 60
 TOLERANCE = 1e-7
 #: Rows of one stratum (source and size) that are ranked together; the root of their number if that is more.
 RANKED = 256
-#: Sizes whose strata are rounded together.
-SIZES = 4096
+#: Rates are whole multiples of one in so many, so that their sums are exact.
+UNIT = 1 << 20
+#: Sizes whose strata are summed up in one task.
+RANGE = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -98,34 +99,52 @@ def balance(strata: DataFrame, goals: DataFrame) -> DataFrame:
     return spark.createDataFrame([(k, s["lam"], scale.get(k, 1.0), float(s["target"]), int(s["size"])) for k, s in state.items()], "source string, lam double, scale double, target double, source_size long")
 
 
-def _round(rows: pd.DataFrame) -> pd.DataFrame:
-    """Whole numbers of copies for strata of a source, largest sizes first; each takes over what the ones before left (the first of all, ``due``)."""
-    rows = rows.sort_values("size", ascending=False)
-    copies, due = np.zeros(len(rows), dtype=np.int64), float(rows["due"].iloc[0])
-    for i, (size, n, rate) in enumerate(zip(rows["size"], rows["n"], rows["rate"])):
-        if size:
-            due += n * rate * size
-            copies[i] = min(max(round(due / size), 0), CAP * n)
-            due -= copies[i] * size
-        else:
-            copies[i] = n
-    return rows.assign(copies=copies, due=due)[["source", "size", "n", "copies", "due"]]
+def _rounded(rated: DataFrame) -> DataFrame:
+    """source, size, n and copies: the rates of a source's strata summed up by size, largest first, and the whole part of each sum less that of the one before.
 
-
-def _whole(rated: DataFrame) -> DataFrame:
-    """Copies of each stratum: source, size, n, copies.
-
-    The strata of a source are dealt by ranges of ``SIZES`` sizes, rounded each in
-    one go; what the ranges of large sizes leave goes to that of the smallest, so
-    a source's words come near its target however its sizes lie.
+    Sums are whole multiples of 1 / ``UNIT``, so exact in any order; ranges of
+    ``RANGE`` sizes are summed apart and put one after the other. A stratum is
+    within one copy of its rate, a source within half its largest document.
+    Documents without words stay once.
+    """
+    rows = rated.withColumns({"q": F.when(F.col("size") > 0, F.round(F.col("n") * F.col("rate") * UNIT)).otherwise(0).cast("long"), "range": F.floor(F.col("size") / RANGE)})
+    rows = stage(rows.select("source", "size", "n", "q", "range"), "mix-rates")
+    above = rows.groupBy("source", "range").agg(F.sum("q").alias("q"))
+    above = above.select(F.col("source").alias("_s"), F.col("range").alias("_r"), (F.sum("q").over(Window.partitionBy("source").orderBy(F.desc("range"))) - F.col("q")).alias("before"))
+    rows = rows.join(above, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
+    upto = F.col("before") + F.sum("q").over(Window.partitionBy("source", "range").orderBy(F.desc("size"))) + UNIT // 2
+    whole = lambda x: F.floor(x / UNIT)
+    return rows.withColumn("upto", upto).select("source", "size", "n", F.when(F.col("size") == 0, F.col("n")).otherwise(whole(F.col("upto")) - whole(F.col("upto") - F.col("q"))).cast("long").alias("copies"))
+
+
+def _whole(rated: DataFrame, goals: DataFrame) -> DataFrame:
+    """Copies of each stratum: source, size, n, copies, with each source as near its target as its documents allow.
+
+    What rounding leaves of a target is made up by whole documents, the largest
+    that fit first: copies are added, or taken away, where there is room for
+    it, until no document is small enough. Each round asks the strata for one
+    size of each source; sizes fall, and what is left at least halves unless room ran out.
     """
-    kind = "source string, size long, n long, copies long, due double"
-    split = lambda rows: rows.withColumn("range", F.floor(F.col("size") / SIZES)).groupBy("source", "range").applyInPandas(_round, kind)
-    large = stage(split(rated.filter(F.col("size") >= SIZES).withColumn("due", F.lit(0.0))), "mix-large")
-    last = F.min_by("due", "size")
-    left = large.groupBy("source", F.floor(F.col("size") / SIZES).alias("r")).agg(last.alias("due")).groupBy(F.col("source").alias("_s")).agg(F.sum("due").alias("due"))
-    small = rated.filter(F.col("size") < SIZES).join(left, F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("due", F.coalesce("due", F.lit(0.0))).drop("_s")
-    return large.unionByName(split(small)).drop("due")
+    spark, rows = rated.sparkSession, stage(_rounded(rated), "mix-rounded")
+    got = {r["source"]: r["got"] for r in rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")).collect()}
+    left = {r["source"]: [r["target"] - got.get(r["source"], 0), None] for r in goals.collect()}
+    moved, kind = [], "_s string, _due double, _below long"
+    while left:
+        due = spark.createDataFrame([(s, float(d), z) for s, (d, z) in left.items()], kind).hint("broadcast")
+        room = F.when(F.col("_due") > 0, CAP * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
+        fits = rows.join(due, F.col("source").eqNullSafe(F.col("_s"))).withColumn("room", room)
+        fits = fits.filter((F.col("size") > 0) & (F.col("room") > 0) & (F.col("size") <= F.abs("_due")) & (F.col("_below").isNull() | (F.col("size") < F.col("_below"))))
+        found = fits.groupBy("_s").agg(F.max(F.struct("size", "room")).alias("top")).select("_s", "top.*").collect()
+        now = {}
+        for r in found:
+            d, z = left[r["_s"]][0], r["size"]
+            k = min(int(abs(d) // z), r["room"])
+            moved.append((r["_s"], z, k if d > 0 else -k))
+            now[r["_s"]] = [d - moved[-1][2] * z, z]
+        left = now
+    change = spark.createDataFrame(moved, "_s string, _z long, _k long").hint("broadcast")
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+    return rows.join(change, same, "left").select("source", "size", "n", (F.col("copies") + F.coalesce("_k", F.lit(0))).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", order_col: str | None = None) -> DataFrame:
@@ -148,7 +167,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dual = balance(strata, goals)
     d = dual.hint("broadcast")
     rated = strata.join(d.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "size", "n", tilted(F.col("lam"), F.col("size"), F.col("scale")).alias("rate"))
-    whole = stage(_whole(rated), "mix-copies")
+    whole = stage(_whole(rated, goals), "mix-copies")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     plan = whole.select(key.alias("_k"), F.col("size").alias("_z"), "n", "copies")
     hashed = sized.withColumnRenamed("h", "_h").withColumn("_k0", key)
