@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -11,8 +12,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytepairs import Encoder, Merges, letters, runs, texts_of
-from .bytewords import gather, tidy, worker_model
+from .bytepairs import Encoder, Merges, letters, texts_of
+from .bytewords import Chunk, chunks, gather, hash_words, tidy, worker_model
 from .staging import discard, stage
 
 PAIRS = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +21,9 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: A pair of ids is hot if more than one in HOT of all links is of it; so there are fewer than HOT hot pairs, which go to every task.
 HOT = 1 << 17
+#: Bytes of text of a row of units, and rows of a batch that are read at once.
+CHUNK, ROWS = 1 << 20, 1024
+PARTS = ("a_ids", "a_ends", "b_ids", "b_ends")
 
 
 def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
@@ -28,68 +32,100 @@ def piece_bytes(model: sentencepiece.SentencePieceProcessor) -> list[bytes]:
 
 
 class Tokenizers:
-    """Both tokenizers, and the bytes of their tokens."""
+    """Both tokenizers, and the bytes of their tokens.
+
+    A text falls into units that neither crosses: one starts at each space that
+    follows no white space. The first tokenizer's pattern starts a word there,
+    and no piece of the second one has a space after anything else.
+    """
 
     def __init__(self, pairs: str = PAIRS, pieces: str = PIECES):
         merges = Merges.from_json(pairs)
         self.a, self.b = Encoder(merges), sentencepiece.SentencePieceProcessor(model_file=pieces)
+        if any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.b.vocab_size())):
+            raise ValueError("a piece has a space within")
+        self.mark = self.b.piece_to_id(MARK)
         self.a_text, self.b_text = letters(merges.text), letters(piece_bytes(self.b))
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each of both: ids, ends in bytes within their text, and offsets of the texts. A text that isn't restored has no tokens."""
-        spaced = [" " + t if t else "" for t in texts]
-        raw = [t.encode() for t in spaced]
-        found = self.b.encode(texts, num_threads=1)
-        where = np.zeros(len(texts) + 1, dtype=np.int64)
+    def encode(self, units: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """For each tokenizer ids, ends in bytes within their unit, and offsets of the units; and which units both restore, the others have no tokens."""
+        found = self.b.encode([u[1:] for u in units], num_threads=1)
+        found = [ids if len(u) > 1 else [self.mark] for u, ids in zip(units, found)]
+        where = np.zeros(len(units) + 1, dtype=np.int64)
         np.cumsum([len(i) for i in found], out=where[1:])
-        both = [(*self.a.encode(spaced), *self.a_text), (np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(where[-1])), where, *self.b_text)]
-        size = np.zeros(len(texts) + 1, dtype=np.int64)
-        np.cumsum([len(t) for t in raw], out=size[1:])
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        same, out = np.ones(len(texts), dtype=bool), []
-        for ids, offsets, text, sizes in both:
+        raw = [u.encode() for u in units]
+        size = np.zeros(len(units) + 1, dtype=np.int64)
+        np.cumsum([len(u) for u in raw], out=size[1:])
+        data, same, out = np.frombuffer(b"".join(raw), dtype=np.uint8), np.ones(len(units), dtype=bool), []
+        for ids, offsets, (text, sizes) in ((*self.a.encode_units(units), self.a_text), (np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(where[-1])), where, self.b_text)):
             joined, ends = gather(text, sizes, ids)
             at = ends[offsets]
-            same &= np.diff(at) == np.diff(size)
-            if len(joined) == len(data) and (at == size).all():
-                wrong = np.flatnonzero(joined != data)
-                same[np.searchsorted(size, wrong, side="right") - 1] = False
+            even = np.diff(at) == np.diff(size)
+            same &= even
+            if even.all():
+                same[np.searchsorted(size, np.flatnonzero(joined != data), side="right") - 1] = False
             else:
                 for k in np.flatnonzero(same):
                     same[k] = (joined[at[k] : at[k + 1]] == data[size[k] : size[k + 1]]).all()
-            out.append((ids, ends[1:] - np.repeat(at[:-1], np.diff(offsets)), offsets))
-        if same.all():
-            return out
-        kept = []
-        for ids, ends, offsets in out:
-            n = np.diff(offsets)
-            token = np.repeat(same, n)
-            kept.append((ids[token], ends[token], np.concatenate([[0], np.cumsum(np.where(same, n, 0))])))
-        return kept
+            out.append((ids, (ends[1:] - np.repeat(at[:-1], np.diff(offsets))).astype(np.int32), offsets))
+        if not same.all():
+            for k, (ids, ends, offsets) in enumerate(out):
+                n = np.diff(offsets)
+                token = np.repeat(same, n)
+                out[k] = ids[token], ends[token], np.concatenate([[0], np.cumsum(np.where(same, n, 0))])
+        return out, same
+
+
+def unit_starts(c: Chunk) -> np.ndarray:
+    """Where units begin: each document, and each space that follows no white space (beyond ASCII it is enough that it may be some)."""
+    d = c.data[: c.size]
+    begin = np.zeros(c.size, dtype=bool)
+    if c.size > 3:
+        p1, p2, p3 = d[2:-1], d[1:-2], d[:-3]
+        wide = (p1 >= 0x80) & (((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 == 0xE1) & (p2 == 0x9A)) | ((p3 == 0xE2) & ((p2 == 0x80) | (p2 == 0x81))) | ((p3 == 0xE3) & (p2 == 0x80)))
+        begin[3:] = (d[3:] == 0x20) & (p1 > 0x20) & (p1 != 0x7F) & ~wide
+    begin[c.offsets[:-1][np.diff(c.offsets) > 0]] = True
+    return np.flatnonzero(begin)
+
+
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.asarray(offsets).astype(np.int32)), values)
 
 
 def _tokenise(pairs: str, pieces: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: Tokenizers = worker_model(("alignment", pairs, pieces), lambda: Tokenizers(pairs, pieces))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows = texts_of(batch.column(1))
-                for lo, hi in runs(rows):
-                    columns = [batch.column(0).slice(lo, hi - lo)]
-                    for ids, ends, offsets in both.encode(rows[lo:hi]):
-                        where = pa.array(offsets.astype(np.int32))
-                        columns += [pa.ListArray.from_arrays(where, pa.array(ids)), pa.ListArray.from_arrays(where, pa.array(ends.astype(np.int32)))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
+            texts = pa.array([" " + t if t else "" for t in texts_of(batch.column(1))], pa.large_string())
+            for c in chunks(texts, CHUNK, lower=False):
+                starts = unit_starts(c)
+                _, first, back = np.unique(hash_words(c, starts, ends := np.append(starts[1:], c.size)[: len(starts)]), return_index=True, return_inverse=True)
+                raw = c.data.tobytes()
+                tokens, same = both.encode([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+                of = np.searchsorted(starts, c.offsets)
+                doc = np.repeat(np.arange(c.n), np.diff(of))
+                whole = np.bincount(doc[~same[back]], minlength=c.n) == 0
+                used = whole[doc]
+                seq = np.concatenate([[0], np.cumsum(np.where(whole, np.diff(of), 0))])
+                columns = [batch.column(0).slice(c.first, c.n)]
+                for ids, place, offsets in tokens:
+                    ids, where = gather(ids, offsets, back[used])
+                    place, _ = gather(place, offsets, back[used])
+                    ahead = (starts - c.offsets[:-1][doc])[used]
+                    columns += [_lists(where[seq], pa.array(ids)), _lists(where[seq], pa.array((place + np.repeat(ahead, np.diff(where))).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *PARTS])
 
     return run
 
 
 def tokenise_both(docs: DataFrame, pairs: str = PAIRS, pieces: str = PIECES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, and ids and byte ends of the tokens of a space and the text, by each tokenizer; no tokens for a text that is null, empty or not restored by both."""
+    """doc_id, and ids and byte ends of the tokens of a space and the text, by each tokenizer; none for a text that is null, empty or not restored by both.
+
+    Units that occur again in ``CHUNK`` bytes of text are encoded once; they are told apart by a 64-bit hash there.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(tidy(_tokenise(pairs, pieces)), f"doc_id {kind}, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return rows.mapInArrow(tidy(_tokenise(pairs, pieces)), f"doc_id {kind}, " + ", ".join(f"{c} array<int>" for c in PARTS))
 
 
 def _let(value: Column, use) -> Column:
@@ -102,42 +138,76 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _holder(ends: Column) -> Column:
-    """For each byte, the number of the token that holds it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.when(i > 0, ends[i - 1]).otherwise(0))))
+def _held(ends: Column, value=None) -> Column:
+    """For each byte, the number of the token that holds it, or what ``value`` makes of the number."""
+    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i if value is None else value(i), e - F.when(i > 0, ends[i - 1]).otherwise(0))))
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """Groups and links of rows of ``tokenise_both``: doc_id, n_a, n_b, groups (a and b: ids in order), links (a and b: ids).
+def aligned(t: Column) -> Column:
+    """(groups, links) of a struct of a_ids, a_ends, b_ids and b_ends: groups with the ids a and b in order, links with an id a and an id b.
 
     Groups end where tokens of both end. A and B tokens are linked if they
     share a byte; as both cover all bytes without gaps, each place where some
     token ends is the end of one such overlap, so the work is linear in tokens
     and bytes, however long a group is.
     """
-    shared = F.struct(_holder(F.col("a_ends")).alias("a"), _holder(F.col("b_ends")).alias("b"), F.array_intersect("a_ends", "b_ends").alias("ends"), F.col("a_ids"), F.col("b_ids"))
+    shared = F.struct(_held(t["a_ends"]).alias("a"), _held(t["b_ends"]).alias("b"), F.array_intersect(t["a_ends"], t["b_ends"]).alias("ends"))
 
     def side(s: Column, k: Column, holder: str, ids: str) -> Column:
         begin = F.when(k > 0, s[holder][s["ends"][k - 1]]).otherwise(0)
-        return F.transform(F.sequence(begin, s[holder][s["ends"][k] - 1]), lambda i: s[ids][i])
+        return F.transform(F.sequence(begin, s[holder][s["ends"][k] - 1]), lambda i: t[ids][i])
 
     def both(s: Column) -> Column:
         groups = F.transform(_upto(F.size(s["ends"])), lambda k: F.struct(side(s, k, "a", "a_ids").alias("a"), side(s, k, "b", "b_ids").alias("b")))
-        places = F.sort_array(F.array_union("a_ends", "b_ends"))
-        return F.struct(groups.alias("groups"), F.transform(places, lambda e: F.struct(s["a_ids"][s["a"][e - 1]].alias("a"), s["b_ids"][s["b"][e - 1]].alias("b"))).alias("links"))
+        places = F.sort_array(F.array_union(t["a_ends"], t["b_ends"]))
+        return F.struct(groups.alias("groups"), F.transform(places, lambda e: F.struct(t["a_ids"][s["a"][e - 1]].alias("a"), t["b_ids"][s["b"][e - 1]].alias("b"))).alias("links"))
 
-    return tokens.select("doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), _let(shared, both).alias("_")).select("doc_id", "n_a", "n_b", "_.groups", "_.links")
+    return _let(shared, both)
+
+
+def align(tokens: DataFrame) -> DataFrame:
+    """doc_id, groups and links of rows with a doc_id, a_ids, a_ends, b_ids and b_ends, as any two lossless tokenizers give them."""
+    return tokens.select("doc_id", aligned(F.struct("a_ids", "a_ends", "b_ids", "b_ends")).alias("_")).select("doc_id", "_.groups", "_.links")
 
 
-def group_text(groups: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3`."""
-    one = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(one(g["a"]), F.lit("|"), one(g["b"]))), ";")
+def _group_texts(s: Column, ids: str, ends: str) -> Column:
+    """The ids of each group of a side, joined by commas. The first id of a group is written negative, which is where the whole list is cut (a first 0 as the least number)."""
+    least = F.lit(-(1 << 31))
 
+    def mark(x: Column, i: Column) -> Column:
+        p = s[ends][i - 1]
+        return F.when(F.when(i == 0, True).otherwise(s["g"][p - 1] != s["g"][p]), F.when(x == 0, least).otherwise(-x)).otherwise(x)
 
-def pair_counts(links: DataFrame) -> DataFrame:
+    whole = F.replace(F.array_join(F.transform(s[ids], mark).cast("array<string>"), ","), F.lit(str(-(1 << 31))), F.lit("-0"))
+    return F.split(F.substring(whole, 2, (1 << 31) - 1), ",-")
+
+
+def written(t: Column) -> Column:
+    """(text, n, pairs) of a struct as ``aligned`` takes it: its groups as `a1,a2|b1;a3|b2,b3` and their number, and each link as a * 2^32 + b.
+
+    The same groups and links, without a row for each. For each byte it is kept
+    which group, A token and B token hold it; what several steps need is computed once.
+    """
+
+    def held(s: Column) -> Column:
+        return F.struct(
+            *(t[c].alias(c) for c in PARTS), F.array_union(t["a_ends"], t["b_ends"]).alias("places"), _held(s["ends"]).alias("g"),
+            _held(t["a_ends"], lambda i: F.shiftleft(t["a_ids"][i].cast("long"), 32)).alias("a"), _held(t["b_ends"], lambda i: t["b_ids"][i]).alias("b"),
+        )
+
+    def sided(s: Column) -> Column:
+        return F.struct(*(s[c].alias(c) for c in ("places", "a", "b")), _group_texts(s, "a_ids", "a_ends").alias("at"), _group_texts(s, "b_ids", "b_ends").alias("bt"))
+
+    def done(s: Column) -> Column:
+        text = F.array_join(F.zip_with(s["at"], s["bt"], lambda x, y: F.concat(x, F.lit("|"), y)), ";")
+        return F.struct(text.alias("text"), F.size(s["at"]).cast("long").alias("n"), F.transform(s["places"], lambda e: s["a"][e - 1] + s["b"][e - 1]).alias("pairs"))
+
+    return _let(_let(_let(F.struct(F.array_intersect(t["a_ends"], t["b_ends"]).alias("ends")), held), sided), done)
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
     """pair (a * 2^32 + b), n (links of all rows) and best (no other pair with its b has more) of rows with ``pairs``."""
-    counts = links.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
+    counts = rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).withColumn("b", F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))
     counts = stage(counts, "align-pairs")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     out = stage(counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best")), "align-counts")
@@ -159,13 +229,12 @@ def align_documents(docs: DataFrame, pairs: str = PAIRS, pieces: str = PIECES) -
     theirs in a join by pair, in which no key has more than one in ``HOT`` of
     the links.
     """
-    aligned = align(tokenise_both(docs, pairs, pieces))
-    links = F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]) + F.size(g["b"]) - 1)
-    text = F.when(F.size("groups") > 0, F.sha2(group_text(F.col("groups")).cast("binary"), 256)).otherwise("")
-    rows = aligned.select(
-        "doc_id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), links.alias("n_links"), text.alias("groups_sha256"), F.transform("links", lambda p: F.shiftleft(p["a"].cast("long"), 32) + p["b"]).alias("pairs"),
-    )
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "align-rows")
+    none = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("pairs"))
+    digested = lambda s: F.struct(F.when(s["n"] > 0, F.sha2(s["text"].cast("binary"), 256)).otherwise("").alias("groups_sha256"), s["n"].alias("n"), s["pairs"].alias("pairs"))
+    made = _let(F.when(F.size("a_ids") > 0, written(F.struct(*PARTS))).otherwise(none), digested)
+    rows = tokenise_both(docs, pairs, pieces).select("doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), made.alias("_"))
+    rows = rows.select("doc_id", "n_a", "n_b", F.col("_.n").alias("n_groups"), "_.groups_sha256", "_.pairs", F.monotonically_increasing_id().alias("row"))
+    rows = stage(rows, "align-rows")
     counts = pair_counts(rows)
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.filter(F.col("n") * HOT > total).select("pair", F.col("n").alias("hot_n"), F.col("best").cast("int").alias("hot_best"))
@@ -178,4 +247,5 @@ def align_documents(docs: DataFrame, pairs: str = PAIRS, pieces: str = PIECES) -
         F.sum(F.coalesce("hot_best", F.when(F.col("best"), F.col("links")), F.lit(0))).cast("long").alias("n_best"), F.sum(F.coalesce("hot_sum", F.col("n") * F.col("links"))).cast("long").alias("count_sum"),
     )
     out = rows.drop("pairs").join(sums, "row", "left")
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0).cast("long")).alias("n_best"), F.coalesce("count_sum", F.lit(0).cast("long")).alias("count_sum"), "groups_sha256")
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")

@@ -205,28 +205,51 @@ class Encoder:
                     out[k] = ids
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and each text's offset."""
-        found = [list(chain.from_iterable(map(self.words, cuts(t)))) for t in texts]
-        kept = self.kept
-        new = list(set(chain.from_iterable(found)).difference(kept))
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in order, and each word's offset."""
+        kept, distinct = self.kept, set(words)
+        new = list(distinct.difference(kept))
         if len(kept) + len(new) > KEPT_WORDS:
             kept.clear()
-            new = list(set(chain.from_iterable(found)))
+            new = list(distinct)
         ids = dict(zip(new, self.encode_words([w.encode() for w in new])))
-        held = kept | ids if len(ids) > KEPT_WORDS else kept
+        held = ids if not kept else kept | ids if len(ids) > KEPT_WORDS else kept
         if held is kept:
             kept.update(ids)
-        got = list(map(held.__getitem__, chain.from_iterable(found)))
-        ends = np.zeros(len(got) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter(map(len, got), dtype=np.int64, count=len(got)), out=ends[1:])
-        offsets = ends[np.cumsum([0, *map(len, found)])]
-        flat = np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(ends[-1]))
-        for w in ids:
-            if len(w) > KEPT_BYTES:
-                kept.pop(w, None)
+        got = list(map(held.__getitem__, words))
+        offsets = np.zeros(len(got) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, got), dtype=np.int64, count=len(got)), out=offsets[1:])
+        flat = np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(offsets[-1]))
+        if held is kept:
+            for w in ids:
+                if len(w) > KEPT_BYTES:
+                    kept.pop(w, None)
+        elif len(ids) <= KEPT_WORDS:
+            kept.update((w, i) for w, i in ids.items() if len(w) <= KEPT_BYTES)
         return flat, offsets
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and each text's offset."""
+        found = [list(chain.from_iterable(map(self.words, cuts(t)))) for t in texts]
+        flat, ends = self._ids(list(chain.from_iterable(found)))
+        return flat, ends[np.cumsum([0, *map(len, found)])]
+
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many short texts that begin with a space each: those that end in no white space are split into words as one text."""
+        ends_blank = np.array([u[-1].isspace() for u in units], dtype=bool)
+        order = np.argsort(ends_blank, kind="stable")
+        n = len(units) - int(ends_blank.sum())
+        size = np.array([len(units[i]) for i in order], dtype=np.int64)
+        words = self.words("".join(units[i] for i in order[:n])) if n else []
+        for i in order[n:]:
+            words.extend(self.words(units[i]))
+        flat, ends = self._ids(words)
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))])
+        first = ends[np.searchsorted(at, np.concatenate([[0], np.cumsum(size)]))]
+        place = np.empty(len(units), dtype=np.int64)
+        place[order] = np.arange(len(units))
+        return gather(flat, first, place)
+
 
 def cuts(text: str, size: int = CHUNK) -> Iterator[str]:
     """The text in parts of about ``size`` characters: a word always starts at a space that follows no white space, so parts end before one."""

@@ -127,6 +127,14 @@ def test_alignment_against_all_pairs(docs, texts, hot, monkeypatch):
     assert len(rows) == len(texts) and [rows[k] for k in range(len(texts))] == want
 
 
+def test_groups_and_links_of_texts(docs, texts):
+    """Single documents' groups and links are those that the digests count."""
+    rows = {r["doc_id"]: r for r in alignment.align(alignment.tokenise_both(docs)).collect()}
+    for k, want in enumerate(plain_alignment(texts)):
+        text = ";".join("|".join(",".join(map(str, side)) for side in (g["a"], g["b"])) for g in rows[k]["groups"])
+        assert (len(rows[k]["groups"]), len(rows[k]["links"]), hashlib.sha256(text.encode()).hexdigest() if text else "") == (want[2], want[3], want[6])
+
+
 def test_alignment_of_one_long_group(spark):
     """Tokens whose ends don't meet for long make one group; links stay linear."""
     a, b = [3] * 40_001, [2] + [3] * 40_000 + [1]
