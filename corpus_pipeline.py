@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import langid, minhash, mixing, pieces, toxicity
 from parley.llm.staging import discard, passing, stage
+from parley.sources.readers import with_position
 
 #: A document whose language is less sure than this goes.
 LEAST_LANGUAGE = 0.5
@@ -44,9 +46,18 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def _rowed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """The numbered columns and ``row``, a number of each row's own, written so that it stays the same; ids may repeat or be null."""
-    rows, names = _numbered(docs)
-    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows"), names
+    """The numbered columns and ``row``, a number of each row's own that stays the same; ids may repeat or be null.
+
+    A table read from Parquet has it from the scan: a row's place in its files.
+    Other frames are written once, with a number.
+    """
+    named, names = _numbered(docs)
+    try:
+        placed = with_position(docs, "_row_of_pipeline")
+        placed.schema  # noqa: B018
+    except AnalysisException:
+        return stage(named.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows"), names
+    return placed.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col("_row_of_pipeline").alias("row")), names
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = NEAR_PERCENT) -> DataFrame:

@@ -7,7 +7,7 @@ import ast
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from parley.functions import lexicons as L
 from parley.functions import text as T
@@ -113,14 +113,10 @@ def _loops(code: str | None) -> tuple[int, int]:
     return sum(isinstance(x, ast.For | ast.While) for x in nodes), sum(isinstance(x, ast.FunctionDef) for x in nodes)
 
 
-@F.arrow_udf(IntegerType())
-def _loop_counts(code: pa.Array) -> pa.Array:
-    return pa.array([_loops(c.as_py())[0] for c in code], pa.int32())
-
-
-@F.arrow_udf(IntegerType())
-def _function_counts(code: pa.Array) -> pa.Array:
-    return pa.array([_loops(c.as_py())[1] for c in code], pa.int32())
+@F.arrow_udf(StructType([StructField("loops", IntegerType()), StructField("functions", IntegerType())]))
+def _parsed(code: pa.Array) -> pa.Array:
+    loops, functions = zip(*map(_loops, code.to_pylist())) if len(code) else ((), ())
+    return pa.StructArray.from_arrays([pa.array(loops, pa.int32()), pa.array(functions, pa.int32())], names=["loops", "functions"])
 
 
 def code_scores(code: Column, language: Column) -> Column:
@@ -128,7 +124,8 @@ def code_scores(code: Column, language: Column) -> Column:
     c, lang = F.coalesce(code, F.lit("")), F.lower(language)
     has = lambda *some: T.contains_any(c, some)
     py, js, java, php = lang.isin("python", "py"), lang.isin("javascript", "js", "typescript", "ts"), lang == "java", lang == "php"
-    loops, functions = _loop_counts(F.when(py, c)), _function_counts(F.when(py, c))
+    parsed = _parsed(F.when(py, c))
+    loops, functions = parsed["loops"], parsed["functions"]
     broken = py & (loops < 0)
     correct = F.when(broken, 30).when(py, 85).when(js & has("function", "=>"), 85).when(java & has("class "), 85).when(php & has("<?php", "$"), 80).otherwise(70)
     quality = F.when(broken, 40).when(py & (functions == 0), 65).when(js & has("var "), 65).when(java & has("public "), 85).otherwise(75)

@@ -178,15 +178,11 @@ def listed(items: Column) -> Column:
 
 
 def distinct_by_start(items: Column, chars: int = 50) -> Column:
-    """Items whose first characters, whatever their case, no earlier one has; in order."""
-    start = F.struct(F.array().cast(NONE).alias("seen"), F.array().cast(NONE).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        key = F.left(F.lower(x), F.lit(chars))
-        known = F.array_contains(acc["seen"], key)
-        return F.struct(F.when(known, acc["seen"]).otherwise(F.array_append(acc["seen"], key)).alias("seen"), F.when(known, acc["out"]).otherwise(F.array_append(acc["out"], x)).alias("out"))
-
-    return F.aggregate(items, start, step, lambda acc: acc["out"])
+    """Items whose first characters, whatever their case, no earlier one has; in order. Sorted twice, so long lists cost little more than short ones."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.left(F.lower(x), F.lit(chars)).alias("key"), i.alias("i"), x.alias("x"))))
+    firsts = lambda s: F.filter(s, lambda r, j: (j == 0) | ~r["key"].eqNullSafe(F.get(s, j - 1)["key"]))
+    kept = F.transform(F.array(keyed), lambda s: F.array_sort(F.transform(firsts(s), lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x")))))[0]
+    return F.transform(kept, lambda r: r["x"])
 
 
 def slug(prefix: str, name: Column) -> Column:

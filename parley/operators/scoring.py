@@ -72,23 +72,56 @@ def concept_share(expects: Column, answer: Column) -> Column:
     return F.when(F.size(expects) > 0, 100.0 * covered / F.size(expects))
 
 
-def intent(text: Column) -> Column:
-    """silent, dont_know, clarify, substantive or thin, by rules in order."""
+#: How sure each rule of ``intent_rule`` is, and turns of middle length of the word count alone.
+SURE = {"silent": 1.0, "single": 0.95, "decline": 0.97, "clarify": 0.95, "long": 0.9, "short": 0.85, "length": 0.6}
+
+
+def intent_rule(text: Column) -> Column:
+    """(intent, rule) of the first rule that holds; null for turns of 7 to 34 words without one."""
     low = F.lower(T.strip(F.coalesce(text, F.lit(""))))
     n = F.size(T.words(low))
     has = lambda p: F.coalesce(F.regexp_like(T.spaced(text), F.lit(T.phrase(p))), F.lit(False))
+    is_ = lambda name, rule: F.struct(F.lit(name).alias("intent"), F.lit(rule).alias("rule"))
     return (
-        F.when(low == "", "silent")
-        .when((n == 1) & low.isin(L.SINGLE_DECLINES), "dont_know")
-        .when((n == 1) & low.isin(L.SINGLE_FILLERS), "thin")
-        .when(has(L.DECLINE), "dont_know")
-        .when(has(L.CLARIFY), "clarify")
-        .when(n >= 35, "substantive")
-        .when(n <= 6, "thin")
-        .otherwise(F.when(n >= 15, "substantive").otherwise("thin"))
+        F.when(low == "", is_("silent", "silent"))
+        .when((n == 1) & low.isin(L.SINGLE_DECLINES), is_("dont_know", "single"))
+        .when((n == 1) & low.isin(L.SINGLE_FILLERS), is_("thin", "single"))
+        .when(has(L.DECLINE), is_("dont_know", "decline"))
+        .when(has(L.CLARIFY), is_("clarify", "clarify"))
+        .when(n >= 35, is_("substantive", "long"))
+        .when(n <= 6, is_("thin", "short"))
     )
 
 
+def intent(text: Column) -> Column:
+    """silent, dont_know, clarify, substantive or thin, by rules in order, and by length where none holds."""
+    return F.coalesce(intent_rule(text)["intent"], F.when(F.size(T.words(F.coalesce(text, F.lit("")))) >= 15, "substantive").otherwise("thin"))
+
+
+TERM = r"([A-Za-z][A-Za-z0-9+#.]{1,}(?:[./-][A-Za-z0-9+#]+)*)"
+
+
+def salient_term(answer: Column) -> Column:
+    """The term of an answer that is most worth asking about; null for one of less than eight words, or without a technical term.
+
+    Known terms come before names with capitals inside, and these before
+    dotted ones; of equals the longer one, then the first by code point.
+    """
+    text = F.coalesce(answer, F.lit(""))
+
+    def rated(raw: Column) -> Column:
+        low = F.regexp_replace(F.lower(raw), r"^\.+|\.+$", "")
+        known = low.isin([*L.PROBE_CONCEPTS, *L.PROBE_PRODUCTS]) | F.regexp_replace(low, "s+$", "").isin([*L.PROBE_CONCEPTS, *L.PROBE_PRODUCTS])
+        dotted, inner = F.regexp_like(raw, F.lit(r"[.-]")), F.regexp_like(raw, F.lit(r"^.+[A-Z]"))
+        plus = lambda c, n: F.when(c, n).otherwise(0)
+        score = plus(known, 20) + plus(inner, 8) + plus(dotted, 6) + plus(F.regexp_like(raw, F.lit("^[A-Z]")), 2)
+        fits = ~low.isin(L.PROBE_STOP) & (F.length(low) >= 3) & (known | dotted | inner)
+        return F.when(fits, F.struct((-score).alias("score"), (-F.length(low)).alias("size"), F.regexp_replace(raw, r"^\.+|\.+$", "").alias("term")))
+
+    best = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(1)), rated))
+    return F.when(F.size(T.words(text)) >= 8, best["term"])
+
+
 def pace(wpm: Column) -> Column:
     """Words per minute to 0 to 100, best within the ideal range."""
     return F.when(wpm.between(L.PACE_LOW, L.PACE_HIGH), 100.0).when(wpm < L.PACE_LOW, F.greatest(F.lit(20.0), 100 - (L.PACE_LOW - wpm) * 1.4)).otherwise(F.greatest(F.lit(20.0), 100 - (wpm - L.PACE_HIGH) * 1.1))
@@ -109,11 +142,12 @@ def question_quality(question: Column, source: Column) -> Column:
     like = lambda c, p: F.regexp_like(c, F.lit(p))
     context = "this|these|those|above|below|following|attached|my|mine|our|here|help|advice|suggestions?|am i|should i|can i|do i|how do i|anyone|anybody|homework"
     meta = "hire|hiring|recruit(?:er|ing|ment)?|salary|resume|cv|interviewer|candidate|job (?:offer|market|search)|career|certification worth|degree worth|which language should"
+    staff = "(?:pick|choose|select|find|evaluate)(?: (?:a|an|the))?(?: good)?(?: (?:software|senior|junior))? (?:engineer|developer|programmer|team|company|employer)"
     opener = r"^\s*(?:what\s+is|what\s+are|what'?s|what\s+does|what\s+happens|why\s+(?:is|are|does|do|would|should|not)|how\s+(?:does|do|would|is|are|can|to)|when\s+(?:would|should|do|does)|which|explain|describe|compare|define|differentiate|tell\s+me|walk\s+me)(?:[^\p{L}\p{N}_]|$)"
     strong = r"difference\s+between|trade[\s-]?offs?|advantages?\s+and\s+disadvantages|pros\s+and\s+cons|when\s+would\s+you|why\s+would\s+you|how\s+does\s+.*\s+work|what\s+is\s+the\s+purpose"
     bad = (
         ~F.length(q).between(18, 160) | F.contains(q, F.lit("\n")) | like(q, r"https?://|```|<[a-z/][^>]*>|\{\{|\[[0-9]+\]|\$\$|[{};]\s*$|::|==|\+\+|&&")
-        | like(spaced, T.phrase(context)) | like(spaced, T.phrase(meta)) | like(low, r"^\s*how\s+to(?:[^\p{L}\p{N}_]|$)")
+        | like(spaced, T.phrase(context)) | like(spaced, T.phrase(meta)) | like(spaced, T.phrase(staff)) | like(low, r"^\s*how\s+to(?:[^\p{L}\p{N}_]|$)")
         | (F.regexp_count(q, F.lit(r"\?")) > 1) | (F.regexp_count(F.concat(F.lit("  "), F.regexp_replace(q, r"[^\p{L}\p{N}_]+", "  "), F.lit("  ")), F.lit(" [A-Z]{3,} ")) > 2) | ~n.between(4, 26)
     )
     good, asks = like(low, opener), F.endswith(q, F.lit("?"))

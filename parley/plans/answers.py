@@ -63,8 +63,12 @@ def answer_routes(spark, sf_dir):
 
 
 def code_heuristics(spark, sf_dir):
-    language = F.element_at(T.strs(["javascript", "java", "php", "go"]), (F.col("page_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", A.code_scores(F.col("html"), language).alias("s")).select("page_id", "s.*")
+    """Pages as code in five languages; those in Python are loops and functions by the page's number, some with an error, and the page as a text."""
+    k = F.col("page_id")
+    language = F.element_at(T.strs(["javascript", "java", "php", "go", "python"]), (k % 5 + 1).cast("int"))
+    lines = [F.repeat(F.lit("for x in y:\n    pass\n"), (k % 3).cast("int")), F.repeat(F.lit("def f():\n    pass\n"), (k % 2).cast("int")), F.when(k % 7 == 0, "def (\n").otherwise(""), F.lit("# "), F.regexp_replace("html", r"[\r\n\f\x00]", " ")]
+    code = F.when(k % 5 == 4, F.concat(*lines)).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", A.code_scores(code, language).alias("s")).select("page_id", "s.*")
 
 
 def evaluation_slices(spark, sf_dir):
@@ -102,8 +106,8 @@ def top_hits(spark, sf_dir):
 
 
 def keyword_retrieval(spark, sf_dir):
-    """The passages that hold most of the distinct words of each tenth item; ties by id."""
-    items = table(spark, sf_dir, "benchmark").filter("item_id % 10 = 0").select("item_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("words"))
+    """The passages that hold most of the distinct words of each item; ties by id."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.words(F.lower(F.col("text")))).alias("words"))
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return R.top_by_keywords(items, pages, "item_id", "words", "page_id", "html", 3).select("item_id", "page_id", "hits", "place")
 
@@ -213,10 +217,13 @@ y AS (SELECT *, CASE WHEN r < 0.15::DOUBLE THEN 'greet' WHEN r < 0.3::DOUBLE THE
 SELECT conv_id, turn, phase, skipped, measured, CASE WHEN skipped THEN 0 ELSE round(c, 1) END AS communication, CASE WHEN skipped THEN 0.0::DOUBLE ELSE 55 END AS relevance,
   CASE WHEN skipped THEN 0 WHEN phase NOT IN {Q.tup(L.NON_TECHNICAL_PHASES)} THEN round(t, 1) END AS technical, round(CASE WHEN measured THEN 72.0::DOUBLE WHEN skipped THEN 0 ELSE f END, 1) AS fluency,
   round(CASE WHEN measured THEN 61.0::DOUBLE WHEN skipped THEN 0 ELSE greatest(20, least(100, c * 0.6::DOUBLE + f * 0.4::DOUBLE)) END, 1) AS confidence FROM y""",
-    "code_heuristics": """WITH p AS (SELECT page_id, page_id % 4 AS l, html AS c FROM pages), s AS (SELECT page_id, c, CASE WHEN l = 0 AND (contains(c, 'function') OR contains(c, '=>')) THEN 85 WHEN l = 1 AND contains(c, 'class ') THEN 85 WHEN l = 2 AND (contains(c, '<?php') OR contains(c, '$')) THEN 80 ELSE 70 END AS correctness,
-  CASE WHEN l = 0 AND contains(c, 'var ') THEN 65 WHEN l = 1 AND contains(c, 'public ') THEN 85 ELSE 75 END - CASE WHEN len(string_split(c, chr(10))) < 3 THEN 10 ELSE 0 END - CASE WHEN contains(c, 'TODO') OR contains(c, 'FIXME') THEN 5 ELSE 0 END AS quality,
+    "code_heuristics": """WITH p AS (SELECT page_id, page_id % 5 AS l, page_id % 7 = 0 AS bad, CASE WHEN page_id % 5 = 4 THEN repeat('for x in y:' || chr(10) || '    pass' || chr(10), page_id % 3) || repeat('def f():' || chr(10) || '    pass' || chr(10), page_id % 2)
+  || CASE WHEN page_id % 7 = 0 THEN 'def (' || chr(10) ELSE '' END || '# ' || regexp_replace(html, '[\r\n\f\x00]', ' ', 'g') ELSE html END AS c FROM pages),
+s AS (SELECT page_id, c, l, bad, CASE WHEN l = 4 AND bad THEN 30 WHEN l = 4 THEN 85 WHEN l = 0 AND (contains(c, 'function') OR contains(c, '=>')) THEN 85 WHEN l = 1 AND contains(c, 'class ') THEN 85 WHEN l = 2 AND (contains(c, '<?php') OR contains(c, '$')) THEN 80 ELSE 70 END AS correctness,
+  CASE WHEN l = 4 AND bad THEN 40 WHEN l = 4 AND page_id % 2 = 0 THEN 65 WHEN l = 0 AND contains(c, 'var ') THEN 65 WHEN l = 1 AND contains(c, 'public ') THEN 85 ELSE 75 END - CASE WHEN len(string_split(c, chr(10))) < 3 THEN 10 ELSE 0 END - CASE WHEN contains(c, 'TODO') OR contains(c, 'FIXME') THEN 5 ELSE 0 END AS quality,
   CASE WHEN l = 0 AND contains(c, 'eval(') THEN 20 WHEN l = 2 AND (contains(c, 'eval(') OR contains(c, 'exec(')) THEN 30 ELSE 90 END AS security FROM p)
-SELECT page_id, floor((correctness * 4 + quality * 4 + security * 2) / 10)::INT AS score, correctness::INT AS correctness, quality::INT AS quality, security::INT AS security, 'O(N)' AS complexity FROM s""",
+SELECT page_id, floor((correctness * 4 + quality * 4 + security * 2) / 10)::INT AS score, correctness::INT AS correctness, quality::INT AS quality, security::INT AS security,
+  CASE WHEN l = 4 AND NOT bad AND page_id % 3 = 0 THEN 'O(1)' WHEN l = 4 AND NOT bad AND page_id % 3 = 2 THEN 'O(N^2)' ELSE 'O(N)' END AS complexity FROM s""",
     "evaluation_slices": f"""WITH {N._REPLIES}, {N._matches(N._tok13('text'), N._tok13('nx'), 4)}, r AS (SELECT id, text, nx, 't' || length(text) % 3 AS task, CASE WHEN length(nx) % 4 > 0 THEN 'd' || length(nx) % 4 END AS domain, length(text) * 0.25::DOUBLE AS nll, len({Q.words('text')}) AS tokens FROM rp),
 s AS (SELECT task, domain, grouping(task, domain) AS g, count(*) AS n, round(avg(({Q.strip('text')} = {Q.strip('nx')})::INT), 6) AS exact_match, count(*) FILTER ({Q.strip('text')} = '') AS empty, avg(length(text)) AS pc, avg(length(nx)) AS rc, exp(sum(nll) / nullif(sum(tokens), 0)) AS ppl
   FROM r GROUP BY GROUPING SETS ((), (task), (domain), (task, domain))),
@@ -232,7 +239,7 @@ SELECT setting, base, candidate, base IS NOT DISTINCT FROM candidate AS same FRO
     "perplexities": "SELECT event_id, round(CASE WHEN event_type <> 'error' AND value / 25 - 0.1::DOUBLE >= 0 THEN exp(least(80, value / 25 - 0.1::DOUBLE)) ELSE -1 END, 4) AS perplexity FROM events",
     "top_hits": """WITH l AS (SELECT l_orderkey, list_sort(list(l_linenumber)) AS r, max(l_linenumber) AS t FROM lineitem GROUP BY 1)
 SELECT round(avg(list_contains(r[1:1], t)::INT) FILTER (l_orderkey % 5 > 0), 6) AS top1, round(avg(list_contains(r[1:5], t)::INT) FILTER (l_orderkey % 5 > 0), 6) AS top5 FROM l""",
-    "keyword_retrieval": f"""WITH q AS (SELECT item_id, unnest(list_distinct({Q.words('lower(text)')})) AS w FROM benchmark WHERE item_id % 10 = 0), h AS (SELECT item_id, page_id, count(*) AS hits FROM q JOIN pages ON contains(lower(html), w) GROUP BY 1, 2)
+    "keyword_retrieval": f"""WITH q AS (SELECT item_id, unnest(list_distinct({Q.words('lower(text)')})) AS w FROM benchmark), h AS (SELECT item_id, page_id, count(*) AS hits FROM q JOIN pages ON contains(lower(html), w) GROUP BY 1, 2)
 SELECT item_id, page_id, hits::INT AS hits, (row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, page_id))::INT AS place FROM h QUALIFY place <= 3""",
     "rag_topk": f"""WITH n AS (SELECT count(*) AS n FROM pages), c AS (SELECT page_id, term, count(*) AS tf FROM (SELECT page_id, unnest({N._WORDS}) AS term FROM (SELECT page_id, html AS text FROM pages)) GROUP BY ALL),
 f AS (SELECT term, ln((any_value(n.n) + 1) / (count(*) + 1)) + 1 AS idf FROM c, n GROUP BY term), d AS (SELECT page_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY page_id)) AS w FROM c JOIN f USING (term)),

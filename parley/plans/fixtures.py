@@ -102,8 +102,15 @@ def transcript_clean(spark, sf_dir):
 
 
 def promotion_gate(spark, sf_dir):
-    rows = spark.createDataFrame([("a", 10.0, 8.0, 0.40, 0.50, 0.95, 20.0), ("b", 10.0, 9.0, 0.40, 0.41, 0.80, 600.0)], "run string, base_perplexity double, perplexity double, base_rouge_l double, rouge_l double, domain_coverage double, latency_ms double")
-    return E.gate(rows)
+    """Runs of forty groups of buyers: even orders give a run's base, odd ones the run."""
+    odd = F.col("o_orderkey") % 2 == 1
+    closed = lambda wanted, states: F.count_if(wanted & F.col("o_orderstatus").isin(states)) / F.greatest(F.count_if(wanted), F.lit(1))
+    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).alias("run")).agg(
+        (F.coalesce(F.avg(F.when(~odd, F.col("o_totalprice"))), F.lit(0.0)) / 10_000).alias("base_perplexity"), (F.coalesce(F.avg(F.when(odd, F.col("o_totalprice"))), F.lit(0.0)) / 11_900).alias("perplexity"),
+        closed(~odd, ["F"]).alias("base_rouge_l"), closed(odd, ["F", "P"]).alias("rouge_l"), (F.count_distinct("o_orderpriority") / 5).alias("domain_coverage"), (F.count("*") % 300).cast("double").alias("latency_ms"),
+    )
+    out = E.gate(rows)
+    return out.select("run", *(F.round(c, 6).alias(c) for c in ("base_perplexity", "perplexity", "base_rouge_l", "rouge_l", "domain_coverage", "latency_ms")), "perplexity_ok", "rouge_ok", "coverage_ok", "latency_ok", "approved")
 
 
 def record_shapes(spark, sf_dir):
@@ -150,7 +157,9 @@ f AS (SELECT conv_id, turn, flatten(list_transform(ws, lambda x, i: CASE WHEN (i
 g AS (SELECT conv_id, turn, list_filter(fs, lambda x, i: NOT (i > 2 AND fs[greatest(i - 1, 1)] = x AND fs[greatest(i - 2, 1)] = x)) AS kept, array_to_string(fs, ' ') AS said FROM f)
 SELECT conv_id, turn, md5(array_to_string(kept, ' ')) AS once, md5(trim(regexp_replace(regexp_replace(regexp_replace(said, '\s+([.,!?])', '', 'g'), '([.,!?])(\S)', ' ', 'g'), '\s+', ' ', 'g'))) AS spaced FROM g""",
     "record_shapes": """SELECT doc_id, CASE WHEN text IS NULL THEN 'unknown' ELSE ['instruction_io', 'prompt_completion', 'question_answer', 'question_only', 'raw_text', 'instruction_io'][doc_id % 6 + 1] END AS kind FROM documents""",
-    "promotion_gate": """WITH r(run, base_perplexity, perplexity, base_rouge_l, rouge_l, domain_coverage, latency_ms) AS (VALUES ('a', 10.0::DOUBLE, 8.0::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE, 20.0::DOUBLE), ('b', 10, 9, 0.4, 0.41, 0.8, 600)),
-c AS (SELECT *, (base_perplexity - perplexity) / base_perplexity * 100 >= 15 AS perplexity_ok, (rouge_l - base_rouge_l) / base_rouge_l * 100 >= 10 AS rouge_ok, domain_coverage >= 0.9 AS coverage_ok, latency_ms <= 150 AS latency_ok FROM r)
-SELECT *, perplexity_ok AND rouge_ok AND coverage_ok AND latency_ok AS approved FROM c""",
+    "promotion_gate": """WITH r AS (SELECT o_custkey % 40 AS run, coalesce(avg(o_totalprice) FILTER (o_orderkey % 2 = 0), 0) / 10000 AS base_perplexity, coalesce(avg(o_totalprice) FILTER (o_orderkey % 2 = 1), 0) / 11900 AS perplexity,
+  count(*) FILTER (o_orderkey % 2 = 0 AND o_orderstatus = 'F') / greatest(count(*) FILTER (o_orderkey % 2 = 0), 1) AS base_rouge_l, count(*) FILTER (o_orderkey % 2 = 1 AND o_orderstatus IN ('F', 'P')) / greatest(count(*) FILTER (o_orderkey % 2 = 1), 1) AS rouge_l,
+  count(DISTINCT o_orderpriority) / 5 AS domain_coverage, (count(*) % 300)::DOUBLE AS latency_ms FROM orders GROUP BY 1),
+c AS (SELECT *, (base_perplexity - perplexity) / greatest(base_perplexity, 1e-5) * 100 >= 15 AS perplexity_ok, (rouge_l - base_rouge_l) / greatest(base_rouge_l, 1e-5) * 100 >= 10 AS rouge_ok, domain_coverage >= 0.9 AS coverage_ok, latency_ms <= 150 AS latency_ok FROM r)
+SELECT run, round(base_perplexity, 6) AS base_perplexity, round(perplexity, 6) AS perplexity, round(base_rouge_l, 6) AS base_rouge_l, round(rouge_l, 6) AS rouge_l, round(domain_coverage, 6) AS domain_coverage, round(latency_ms, 6) AS latency_ms, perplexity_ok, rouge_ok, coverage_ok, latency_ok, perplexity_ok AND rouge_ok AND coverage_ok AND latency_ok AS approved FROM c""",
 }

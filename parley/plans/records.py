@@ -61,8 +61,8 @@ def _shaped(spark, sf_dir):
     has = lambda *n: k.isin(*n)
     q, a = F.col("question"), F.col("answer")
     cols = {
-        "instruction": F.when(has(0), q), "input": F.when(has(0) & (F.col("doc_id") % 4 == 0), F.col("source")), "output": F.when(has(0), F.left(a, F.lit(200))), "prompt": F.when(has(1), q),
-        "completion": F.when(has(1), F.left(a, F.lit(200))), "question": F.when(has(2, 3), q), "answer": F.when(has(2), F.left(a, F.lit(200))), "text": F.when(has(4), q), "difficulty": F.when(has(2), F.lit("Advanced")), "topic": F.col("source"),
+        "instruction": F.when(has(0), q), "input": F.when(has(0) & (F.col("doc_id") % 4 == 0), F.col("source")), "output": F.when(has(0), a), "prompt": F.when(has(1), q),
+        "completion": F.when(has(1), a), "question": F.when(has(2, 3), q), "answer": F.when(has(2), a), "text": F.when(has(4), q), "difficulty": F.when(has(2), F.lit("Advanced")), "topic": F.col("source"),
     }
     kind = F.element_at(T.strs(["instruction_io", "prompt_completion", "question_answer", "question_only", "raw_text", "unknown"]), (k + 1).cast("int"))
     return _records(spark, sf_dir).select("doc_id", kind.alias("kind"), *(v.alias(c) for c, v in cols.items()))
@@ -103,8 +103,7 @@ def task_sample(spark, sf_dir):
 
 
 def tag_lists(spark, sf_dir):
-    words = F.slice(F.split("text", " "), 1, 6)
-    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.concat_ws(" , ", words).alias("csv"))
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.concat_ws(" , ", F.split("text", " ")).alias("csv"))
     t = R.tags(F.col("csv"))
     return rows.select("doc_id", F.size(t).alias("n"), R.listed(t).alias("listed"), F.array_join(R.distinct_by_start(t, 2), "|").alias("starts"), R.slug("domain_", F.get(t, F.lit(0))).alias("slug"))
 
@@ -147,7 +146,7 @@ def _prior(score_of: str, weight: float) -> str:
     return f"list_max([{rows}])"
 
 
-_SHAPED = f"""{_REC}, sh AS (SELECT doc_id, ['instruction_io', 'prompt_completion', 'question_answer', 'question_only', 'raw_text', 'unknown'][doc_id % 6 + 1] AS shape, {Q.strip('question')} AS q, {Q.strip("left(answer, 200)")} AS a,
+_SHAPED = f"""{_REC}, sh AS (SELECT doc_id, ['instruction_io', 'prompt_completion', 'question_answer', 'question_only', 'raw_text', 'unknown'][doc_id % 6 + 1] AS shape, {Q.strip('question')} AS q, {Q.strip('answer')} AS a,
   CASE WHEN doc_id % 4 = 0 THEN {Q.strip("coalesce(source, '')")} ELSE '' END AS inp, {Q.strip("coalesce(source, '')")} AS topic FROM rec),
 pr AS (SELECT doc_id, shape, unnest(CASE shape WHEN 'prompt_completion' THEN [{{'u': q, 'a': a, 'e': 'prompt_completion'}}]
   WHEN 'instruction_io' THEN [{{'u': CASE WHEN inp <> '' THEN q || chr(10) || inp ELSE q END, 'a': a, 'e': 'question_generation'}}, {{'u': a, 'a': '', 'e': 'answer'}}]

@@ -71,8 +71,10 @@ def idf_recall(spark, sf_dir):
 
 
 def question_quality(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("q"))
-    return lines.select("doc_id", F.round(scoring.question_quality(F.col("q"), F.col("source")), 6).alias("quality"))
+    """How many lines of each document could be asked aloud, and the best quality of one."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("q"))
+    rows = lines.select("doc_id", scoring.question_quality(F.col("q"), F.col("source")).alias("quality"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("quality") >= L.LEAST_QUALITY).alias("askable"), F.round(F.max("quality"), 6).alias("best"))
 
 
 def pace_scores(spark, sf_dir):

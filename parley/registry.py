@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.plans import analytics, answers, corpus, dashboard, fixtures, records, sessions
+from parley.plans import analytics, answers, corpus, dashboard, fixtures, interviews, records, services, sessions
 
-_PLANS = (sessions, corpus, analytics, fixtures, answers, records, dashboard)
+_PLANS = (sessions, corpus, analytics, fixtures, answers, records, dashboard, interviews, services)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

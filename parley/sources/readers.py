@@ -63,6 +63,24 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(*(c for c in df.columns if not c.startswith("_"))).write.json(path)
 
 
+def with_position(files: DataFrame, name: str = "position") -> DataFrame:
+    """A table read from Parquet files with each row's place: files in order of their path, rows as they lie in them, from 0 without gaps.
+
+    The place comes with the scan, so it is the same however the files are cut
+    into tasks, and nothing is sorted but the list of files, which has a row a file.
+    """
+    rows = files.select(F.struct("*").alias("_all"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = files.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at")).groupBy("_path").agg((F.max("_at") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_path", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(starts, F.col("_file") == F.col("_path")).select("_all.*", (F.col("_before") + F.col("_row")).alias(name))
+
+
+def with_positional_id(files: DataFrame, prefix: str, digits: int = 5) -> DataFrame:
+    """Adds raw_id from a row's place, such as interviews-00017."""
+    return with_position(files, "_place").withColumn("raw_id", F.format_string(f"{prefix}-%0{digits}d", "_place")).drop("_place")
+
+
 def read_split(records: DataFrame, split: str, caller: str, level: int, audit: str | None = None) -> DataFrame:
     """Rows of one split of a table with a ``split`` column. The test split is for callers of level 8 up; each try is logged at ``audit``."""
     name = SPLITS.get(split, split)
