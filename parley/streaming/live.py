@@ -39,7 +39,7 @@ class Interviewer(StatefulProcessor):
         self.session = handle.getValueState("session", "used int, turns int, deadline long", ttlDurationMs=self.kept)
         self.intents = handle.getMapState("intents", "at int", "intent string", ttlDurationMs=self.kept)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         used, turns, deadline = self.session.get() if self.session.exists() else (0, 0, 0)
         out = []
         answers = pd.concat(list(rows)).sort_values("turn", kind="stable")
@@ -54,12 +54,12 @@ class Interviewer(StatefulProcessor):
             out.append((turn, intent, action))
         if deadline:
             self.handle.deleteTimer(deadline)
-        deadline = timer_values.getCurrentProcessingTimeInMs() + self.idle
+        deadline = timerValues.getCurrentProcessingTimeInMs() + self.idle
         self.handle.registerTimer(deadline)
         self.session.update((int(used), int(turns), int(deadline)))
         yield self._frame(key, out)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The session is idle: it is closed, and nothing is kept of it."""
         turns = self.session.get()[1] if self.session.exists() else 0
         self.session.clear()

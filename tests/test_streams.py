@@ -72,6 +72,18 @@ def rocks(spark):
     spark.conf.unset(key)
 
 
+def watched(made, name, tmp_path, done):
+    """Runs a stream with timers, which has batches without end, until its table is as wanted."""
+    query = made.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="300 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while query.isActive and not done(made.sparkSession.table(name)) and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert query.exception() is None
+
+
 def answers(spark):
     kinds = ["dont_know", "thin", "substantive", "clarify", "dont_know", "silent", "dont_know", "substantive"]
     rows = [(s, t, kinds[(s * 3 + t * (s + 1)) % 8], 20.0 + 13 * ((s + t) % 6) if t % 5 else None, 9 - t) for s in range(8) for t in range(10)]
@@ -83,8 +95,7 @@ def test_live_moves_are_those_of_the_replay(spark, tmp_path, rocks):
     for lo, hi in ((0, 2), (3, 3), (4, 9)):
         rows.filter(F.col("turn").between(lo, hi)).orderBy(F.desc("turn")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     made = live.moves(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    query = made.writeStream.format("memory").queryName("moves").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    watched(made, "moves", tmp_path, lambda t: t.count() >= 80)
     got = sorted((r["conv_id"], r["turn"], r["action"]) for r in spark.table("moves").collect())
     want = sorted((r["conv_id"], r["turn"], r["action"]) for r in sessions.decide(rows).collect())
     assert got == want and len({a for _, _, a in got}) >= 4
@@ -94,13 +105,6 @@ def test_an_idle_session_ends(spark, tmp_path, rocks):
     rows = answers(spark).filter("turn < 3")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     made = live.moves(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), idle=500)
-    query = made.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(processingTime="300 milliseconds").start()
-    try:
-        query.processAllAvailable()
-        until = time.time() + 60
-        while spark.table("idle").filter("action = 'close'").count() < 8 and time.time() < until:
-            time.sleep(0.5)
-        closed = spark.table("idle").filter("action = 'close'").collect()
-    finally:
-        query.stop()
+    watched(made, "idle", tmp_path, lambda t: t.filter("action = 'close'").count() >= 8)
+    closed = spark.table("idle").filter("action = 'close'").collect()
     assert sorted(r["conv_id"] for r in closed) == list(range(8)) and all(r["turn"] == 3 and r["intent"] == "idle" for r in closed)
