@@ -110,7 +110,7 @@ def promotion_gate(spark, sf_dir):
         closed(~odd, ["F"]).alias("base_rouge_l"), closed(odd, ["F", "P"]).alias("rouge_l"), (F.count_distinct("o_orderpriority") / 5).alias("domain_coverage"), (F.count("*") % 300).cast("double").alias("latency_ms"),
     )
     out = E.gate(rows)
-    return out.select("run", *(F.round(c, 6).alias(c) for c in ("base_perplexity", "perplexity", "base_rouge_l", "rouge_l", "domain_coverage", "latency_ms")), "perplexity_ok", "rouge_ok", "coverage_ok", "latency_ok", "approved")
+    return out.select("run", *(F.round(c, 4).alias(c) for c in ("base_perplexity", "perplexity", "base_rouge_l", "rouge_l", "domain_coverage", "latency_ms")), "perplexity_ok", "rouge_ok", "coverage_ok", "latency_ok", "approved")
 
 
 def record_shapes(spark, sf_dir):
@@ -161,5 +161,5 @@ SELECT conv_id, turn, md5(array_to_string(kept, ' ')) AS once, md5(trim(regexp_r
   count(*) FILTER (o_orderkey % 2 = 0 AND o_orderstatus = 'F') / greatest(count(*) FILTER (o_orderkey % 2 = 0), 1) AS base_rouge_l, count(*) FILTER (o_orderkey % 2 = 1 AND o_orderstatus IN ('F', 'P')) / greatest(count(*) FILTER (o_orderkey % 2 = 1), 1) AS rouge_l,
   count(DISTINCT o_orderpriority) / 5 AS domain_coverage, (count(*) % 300)::DOUBLE AS latency_ms FROM orders GROUP BY 1),
 c AS (SELECT *, (base_perplexity - perplexity) / greatest(base_perplexity, 1e-5) * 100 >= 15 AS perplexity_ok, (rouge_l - base_rouge_l) / greatest(base_rouge_l, 1e-5) * 100 >= 10 AS rouge_ok, domain_coverage >= 0.9 AS coverage_ok, latency_ms <= 150 AS latency_ok FROM r)
-SELECT run, round(base_perplexity, 6) AS base_perplexity, round(perplexity, 6) AS perplexity, round(base_rouge_l, 6) AS base_rouge_l, round(rouge_l, 6) AS rouge_l, round(domain_coverage, 6) AS domain_coverage, round(latency_ms, 6) AS latency_ms, perplexity_ok, rouge_ok, coverage_ok, latency_ok, perplexity_ok AND rouge_ok AND coverage_ok AND latency_ok AS approved FROM c""",
+SELECT run, round(base_perplexity, 4) AS base_perplexity, round(perplexity, 4) AS perplexity, round(base_rouge_l, 4) AS base_rouge_l, round(rouge_l, 4) AS rouge_l, round(domain_coverage, 4) AS domain_coverage, round(latency_ms, 4) AS latency_ms, perplexity_ok, rouge_ok, coverage_ok, latency_ok, perplexity_ok AND rouge_ok AND coverage_ok AND latency_ok AS approved FROM c""",
 }

@@ -155,7 +155,7 @@ def _people(spark, sf_dir):
     """CVs of customers: a name, what they know, one role with dates and tools, a project, and years they claim."""
     k = F.col("c_custkey")
     pick = lambda values, at: F.element_at(T.strs(values), (at % len(values) + 1).cast("int"))
-    name = pick(["Ann Lee", "BO GRANT", "Curriculum Vitae", "Dee O'Hara"], k)
+    name = pick(["Ann Lee", "BO GRANT", "Curriculum Vitae", "Dee Ohara"], k)
     text = F.concat_ws(
         "\n", name, F.concat(F.lit("mail: "), pick(["eva.stone", "x1", "max_born"], k), F.lit("@mail.example")), F.lit("Summary"), F.when(k % 3 == 0, F.format_string("I have %d+ years of professional experience", k % 60)).otherwise("A person"),
         F.lit("Skills"), F.concat_ws(", ", pick(_SHOWN, k), pick(_SHOWN, k + 1)), F.lit("Work Experience"), F.concat(pick(["Senior Software Engineer", "data analyst", "QA Lead"], k), F.lit(" at Somewhere")), F.lit("Jan 2015 - Dec 2016"),
@@ -237,7 +237,7 @@ SELECT conv_id, round(coalesce(c, 50), 1) AS communication, round(coalesce(t, 50
     "next_ordinals": "SELECT l_orderkey, max(l_linenumber) + 1 AS next FROM lineitem GROUP BY 1",
     "first_texts": f"""SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 AND {Q.strip("coalesce(text, '')")} <> '' THEN text WHEN doc_id % 4 = 1 AND trim(lang) <> '' THEN lang WHEN doc_id % 4 < 3 AND trim(source) <> '' THEN source ELSE '' END) AS digest FROM documents""",
     "cv_skills": f"""SELECT c_custkey AS cv_id, array_to_string(list_sort(list_distinct([{_SHOW(0)}, {_SHOW(1)}, {_SHOW(2)}])), ',') AS technologies, array_to_string(list_sort(list_distinct([{_SHOW(0)}, {_SHOW(2)}])), ',') AS demonstrated FROM customer""",
-    "cv_names": "SELECT c_custkey AS cv_id, CASE c_custkey % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'BO Grant' WHEN 2 THEN CASE c_custkey % 3 WHEN 0 THEN 'Eva Stone' WHEN 2 THEN 'Max Born' END ELSE 'Dee O''Hara' END AS name FROM customer",
+    "cv_names": "SELECT c_custkey AS cv_id, CASE c_custkey % 4 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'BO Grant' WHEN 2 THEN CASE c_custkey % 3 WHEN 0 THEN 'Eva Stone' WHEN 2 THEN 'Max Born' END ELSE 'Dee Ohara' END AS name FROM customer",
     "cv_roles": "SELECT c_custkey AS cv_id, 1::INT AS place, ['Senior Software Engineer', 'Data Analyst', 'Qa Lead'][c_custkey % 3 + 1] AS title, 24::INT AS months FROM customer",
     "cv_years": "WITH d AS (SELECT c_custkey AS cv_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 60 BETWEEN 1 AND 45 THEN (c_custkey % 60)::INT END AS declared FROM customer) SELECT cv_id, declared, greatest(2.0, coalesce(declared, 0))::DOUBLE AS years FROM d",
     "greedy_matches": """WITH v AS (SELECT *, row_number() OVER () AS r, vec_id % 2 = 0 AS e FROM embeddings), p AS (SELECT a.label, a.r AS ar, b.r AS br, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM v a JOIN v b ON a.label IS NOT DISTINCT FROM b.label WHERE a.e AND NOT b.e),
