@@ -67,13 +67,17 @@ def performance_band(score: Column) -> Column:
 def collapse_repeats(text: Column, threshold: int = 3) -> Column:
     """Of a run of equal words only the first ``threshold - 1`` stay."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, w: Column) -> Column:
-        run = F.when(acc["last"] == w, acc["run"] + 1).otherwise(1)
-        return F.struct(w.alias("last"), run.alias("run"), F.when(run < threshold, F.concat(acc["out"], F.array(w))).otherwise(acc["out"]).alias("out"))
+    def kept(ws: Column) -> Column:
+        def stays(w: Column, i: Column) -> Column:
+            again = i >= threshold - 1
+            for k in range(1, threshold):
+                again = again & (F.get(ws, i - k) == w)
+            return ~again
 
-    return F.array_join(F.aggregate(words, start, step, lambda acc: acc["out"]), " ")
+        return F.filter(ws, stays)
+
+    return F.array_join(F.transform(F.array(words), kept)[0], " ")
 
 
 def punctuation(text: Column) -> Column:

@@ -170,38 +170,53 @@ def shifted_pairs(df: DataFrame, order: str, shift: int = 37) -> DataFrame:
     return ranked.join(other, F.pmod(F.col("place") + shift, n) == F.col("_p")).select(F.col(order).alias("positive"), "negative")
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...], buckets: int = 256) -> list[float | None]:
+#: Error of the rough quantiles that bracket a wanted place, and different values of a bracket that are told apart at once.
+ROUGH, TOLD_APART = 1 / 2048, 50_000
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
     """Quantiles of a numeric column, interpolated, from exact counts; null and NaN don't count.
 
-    Rough quantiles bound the buckets; only the values in the buckets that hold a
-    wanted place are told apart, by value and count.
+    Rough quantiles bracket each wanted place; the bracket is narrowed in the
+    same way until it has few different values, which are counted. Rows are only compared with two bounds.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
-    bounds = sorted(set(values.approxQuantile("x", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    held = values.withColumn("b", F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda v: v < F.col("x"))))
-    sizes = {r["b"]: r["n"] for r in held.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    n = sum(sizes.values())
+    n = values.count()
     if not n:
         return [None for _ in shares]
-    places = {p for q in shares for p in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
-    before, upto = {}, 0
-    for b in sorted(sizes):
-        before[b] = upto
-        upto += sizes[b]
-    wanted = sorted({max(b for b in before if before[b] <= p) for p in places})
-    counts = held.filter(F.col("b").isin(wanted)).groupBy("b", "x").agg(F.count("*").alias("c"))
-    runs = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("b").orderBy("x")))
-    offset = F.coalesce(*(F.when(F.col("b") == b, before[b]) for b in wanted))
-    rows = runs.select("x", (F.col("upto") + offset).alias("hi"), (F.col("upto") + offset - F.col("c")).alias("lo"))
-    hit = F.filter(F.lit(sorted(places)).cast("array<long>"), lambda p: (p >= F.col("lo")) & (p < F.col("hi")))
-    at = {p: r["x"] for r in rows.select("x", hit.alias("p")).filter(F.size("p") > 0).collect() for p in r["p"]}
-    return [at[math.floor(q * (n - 1))] + (at[math.ceil(q * (n - 1))] - at[math.floor(q * (n - 1))]) * (q * (n - 1) - math.floor(q * (n - 1))) for q in shares]
+    found = []
+    for q in shares:
+        low, high = math.floor(q * (n - 1)), math.ceil(q * (n - 1))
+        part, before, size = values, 0, n
+        while True:
+            near = lambda place: min(max((place - before + 0.5) / size, 0.0), 1.0)  # noqa: B023, E731
+            a, b = part.approxQuantile("x", [max(near(low) - 2 * ROUGH, 0.0), min(near(high) + 2 * ROUGH, 1.0)], ROUGH)
+            inside = part.filter((F.col("x") >= a) & (F.col("x") <= b))
+            got = part.agg(F.count_if(F.col("x") < a).alias("below"), F.count_if((F.col("x") >= a) & (F.col("x") <= b)).alias("n")).first()
+            counts = inside.groupBy("x").agg(F.count("*").alias("c"))
+            if counts.limit(TOLD_APART + 1).count() <= TOLD_APART or got["n"] == size:
+                break
+            part, before, size = inside, before + got["below"], got["n"]
+        upto, at = before + got["below"], {}
+        for x, c in sorted((r["x"], r["c"]) for r in counts.collect()):
+            at.update({p: x for p in (low, high) if upto <= p < upto + c})
+            upto += c
+        found.append(at[low] + (at[high] - at[low]) * (q * (n - 1) - low))
+    return found
+
+
+def bucket_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted ``bounds`` lie below a value: among every sixteenth, then among those in between."""
+    groups = [bounds[i : i + 16] for i in range(0, len(bounds), 16)]
+    below = lambda found: F.size(F.filter(found, lambda b: b < value))
+    group = F.greatest(below(F.lit([g[0] for g in groups]).cast("array<double>")), F.lit(1))
+    return F.lit(0) if not groups else (group - 1) * 16 + below(F.element_at(F.array(*(F.lit(g).cast("array<double>") for g in groups)), group))
 
 
 def global_rank(df: DataFrame, order: str, ties: tuple[str, ...] = (), buckets: int = 256) -> DataFrame:
     """Adds place (from 0) in the order of a numeric column, then ``ties``: ranks within quantiles of it, plus what lies in the quantiles before."""
     bounds = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    at = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b < F.col(order)))
+    at = bucket_of(F.col(order), bounds)
     held = df.withColumn("_b", at)
     sizes = held.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_b"), (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))

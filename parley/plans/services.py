@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from parley.functions import lexicons as L
 from parley.functions import text as T
+from parley.operators import audio as U
 from parley.operators import cv as C
 from parley.operators import dashboard as D
 from parley.operators import intents as I
 from parley.operators import matching as M
 from parley.operators import normalise as N
+from parley.operators import performance as P2
 from parley.operators import qualifications as K
 from parley.operators import scoring
 from parley.operators import sessions as Z
+from parley.operators import transcripts as X
 from parley.plans import sessions as P
 from parley.plans import sql as Q
 from parley.plans.tables import table
@@ -189,7 +192,23 @@ def cv_years(spark, sf_dir):
     return cvs.join(months, "cv_id", "left").select("cv_id", C.declared_years(F.col("text")).alias("declared"), C.total_years(F.col("months"), C.declared_years(F.col("text"))).alias("years"))
 
 
-QUERIES = [salient_terms, conversation_scores, next_ordinals, first_texts, cv_skills, cv_names, cv_roles, cv_years, turn_intents_fitted, greedy_matches, positional_ids, normalised_responses, trimmed_resources, cv_education, cv_certifications, cv_projects, cv_employers]
+def performance_classes(spark, sf_dir):
+    """The class of each candidate whose feature vector is made from a vector's parts; a tenth have none and go by bands."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("e"))
+    sure, fluent = F.col("vec_id") % 100 + F.lit(0.0), F.lit(60.0)
+    f = U.feature_vector(F.col("vec_id") % 220, fluent, sure, F.slice("e", 1, 4), F.transform(F.slice("e", 9, 8), lambda x: x * 1000), F.lit(0.2), F.slice("e", 1, 13))
+    rows = v.select("vec_id", F.when(F.col("vec_id") % 10 > 0, f).alias("f"), sure.alias("sure"), fluent.alias("fluent"))
+    return P2.performance_classes(rows, "f", P2.fit_performance(P2.made_up(spark)), F.col("sure"), F.col("fluent")).select("vec_id", "class", "by")
+
+
+def composed_transcripts(spark, sf_dir):
+    """Turns as transcripts in two languages: letters taken apart are composed, joiners and loops of words go."""
+    apart = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\u00e9"), F.lit("e\u0301")), F.lit("\u00e8"), F.lit("e\u0300"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(apart, F.lit(" \u0d9a\u0dca\u200d\u0dbb x\u200d same same same same .")).alias("t"), F.when(F.col("turn") % 2 == 0, "si").otherwise("en").alias("language"))
+    return t.select("conv_id", "turn", F.md5(X.clean(F.col("t"), F.col("language"))).alias("clean"), F.md5(X.plain_for_errors(F.col("t"))).alias("plain"))
+
+
+QUERIES = [performance_classes, composed_transcripts, salient_terms, conversation_scores, next_ordinals, first_texts, cv_skills, cv_names, cv_roles, cv_years, turn_intents_fitted, greedy_matches, positional_ids, normalised_responses, trimmed_resources, cv_education, cv_certifications, cv_projects, cv_employers]
 
 _J = lambda path: f"json_extract(j, '{path}')"
 _IS = lambda path, kind: f"json_type(j, '{path}') = '{kind}'"
