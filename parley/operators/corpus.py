@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,33 +175,49 @@ def shifted_pairs(df: DataFrame, order: str, shift: int = 37) -> DataFrame:
 ROUGH, TOLD_APART = 1 / 2048, 50_000
 
 
+def _values_at(values: DataFrame, n: int, low: int, high: int) -> dict[int, float]:
+    """The values at two places (from 0) in order: a bracket is narrowed until few different values are in it."""
+    part, before, size = values, 0, n
+    while True:
+        near = lambda place, by: min(max((place - before + 0.5) / size + by, 0.0), 1.0)  # noqa: B023, E731
+        a, b = part.approxQuantile("x", [near(low, -2 * ROUGH), near(high, 2 * ROUGH)], ROUGH)
+        inside = part.filter((F.col("x") >= a) & (F.col("x") <= b))
+        got = part.agg(F.count_if(F.col("x") < a).alias("below"), F.count_if((F.col("x") >= a) & (F.col("x") <= b)).alias("n")).first()
+        rows = inside.groupBy("x").agg(F.count("*").alias("c")).limit(TOLD_APART + 1).collect()
+        before += got["below"]
+        if len(rows) <= TOLD_APART or got["n"] == size:
+            return _found(rows, before, (low, high))
+        part, size = inside, got["n"]
+
+
+def _found(rows: list, before: int, places: tuple[int, ...]) -> dict[int, float]:
+    at = {}
+    for x, c in sorted((r["x"], r["c"]) for r in rows):
+        at.update({p: x for p in places if before <= p < before + c})
+        before += c
+    return at
+
+
 def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
     """Quantiles of a numeric column, interpolated, from exact counts; null and NaN don't count.
 
-    Rough quantiles bracket each wanted place; the bracket is narrowed in the
-    same way until it has few different values, which are counted. Rows are only compared with two bounds.
+    Rough quantiles bracket each wanted place; the values in all brackets are
+    counted at once. Where those are too many to tell apart, each bracket is
+    narrowed in the same way. Rows are only compared with bounds.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
     n = values.count()
     if not n:
         return [None for _ in shares]
+    places = [(math.floor(q * (n - 1)), math.ceil(q * (n - 1))) for q in shares]
+    cuts = values.approxQuantile("x", [min(max((p + 0.5) / n + by, 0.0), 1.0) for low, high in places for p, by in ((low, -2 * ROUGH), (high, 2 * ROUGH))], ROUGH)
+    brackets = list(zip(cuts[::2], cuts[1::2]))
+    within = [(F.col("x") >= a) & (F.col("x") <= b) for a, b in brackets]
+    below = values.agg(*(F.count_if(F.col("x") < a).alias(f"b{i}") for i, (a, _) in enumerate(brackets))).first()
+    rows = values.filter(reduce(lambda a, b: a | b, within)).groupBy("x").agg(F.count("*").alias("c")).limit(TOLD_APART + 1).collect()
     found = []
-    for q in shares:
-        low, high = math.floor(q * (n - 1)), math.ceil(q * (n - 1))
-        part, before, size = values, 0, n
-        while True:
-            near = lambda place: min(max((place - before + 0.5) / size, 0.0), 1.0)  # noqa: B023, E731
-            a, b = part.approxQuantile("x", [max(near(low) - 2 * ROUGH, 0.0), min(near(high) + 2 * ROUGH, 1.0)], ROUGH)
-            inside = part.filter((F.col("x") >= a) & (F.col("x") <= b))
-            got = part.agg(F.count_if(F.col("x") < a).alias("below"), F.count_if((F.col("x") >= a) & (F.col("x") <= b)).alias("n")).first()
-            counts = inside.groupBy("x").agg(F.count("*").alias("c"))
-            if counts.limit(TOLD_APART + 1).count() <= TOLD_APART or got["n"] == size:
-                break
-            part, before, size = inside, before + got["below"], got["n"]
-        upto, at = before + got["below"], {}
-        for x, c in sorted((r["x"], r["c"]) for r in counts.collect()):
-            at.update({p: x for p in (low, high) if upto <= p < upto + c})
-            upto += c
+    for i, ((low, high), (a, b), q) in enumerate(zip(places, brackets, shares)):
+        at = _found([r for r in rows if a <= r["x"] <= b], below[f"b{i}"], (low, high)) if len(rows) <= TOLD_APART else _values_at(values, n, low, high)
         found.append(at[low] + (at[high] - at[low]) * (q * (n - 1) - low))
     return found
 
