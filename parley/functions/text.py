@@ -50,12 +50,20 @@ def content_tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9+#]+)"), F.lit(1)), lambda w: ~w.isin(L.STOPWORDS))
 
 
+def exact_key_of(tokens: Column) -> Column:
+    return F.sha1(F.array_join(tokens, " "))
+
+
+def fuzzy_key_of(tokens: Column) -> Column:
+    return F.sha1(F.array_join(F.sort_array(F.array_distinct(tokens)), " "))
+
+
 def exact_key(question: Column) -> Column:
-    return F.sha1(F.array_join(content_tokens(question), " "))
+    return exact_key_of(content_tokens(question))
 
 
 def fuzzy_key(question: Column) -> Column:
-    return F.sha1(F.array_join(F.array_sort(F.array_distinct(content_tokens(question))), " "))
+    return fuzzy_key_of(content_tokens(question))
 
 
 def jaccard(a: Column, b: Column) -> Column:

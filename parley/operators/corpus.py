@@ -44,7 +44,9 @@ def deduplicate(df: DataFrame, question: str, order: list[Column]) -> DataFrame:
     tell rows apart. First rows are found by partial sums and joined back, so a
     bag that most rows share (such as the empty one) meets in no task.
     """
-    keyed = df.withColumns({"_exact": T.exact_key(F.col(question)), "_fuzzy": T.fuzzy_key(F.col(question)), "_order": F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))})
+    # both keys come from tokens that are found once
+    keyed = df.withColumns({"_tokens": T.content_tokens(F.col(question)), "_order": F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))})
+    keyed = keyed.withColumns({"_exact": T.exact_key_of(F.col("_tokens")), "_fuzzy": T.fuzzy_key_of(F.col("_tokens"))}).drop("_tokens")
     first = keyed.groupBy("_fuzzy").agg(F.min(F.struct("_order", "_exact")).alias("_first"))
     outcome = F.when(F.col("_order") == F.col("_first._order"), "kept").when(F.col("_exact") == F.col("_first._exact"), "dedup_exact").otherwise("dedup_near")
     return keyed.join(first, "_fuzzy").withColumn("outcome", outcome).drop("_exact", "_fuzzy", "_order", "_first")

@@ -5,18 +5,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 from parley.functions import text as T
 
 #: Documents whose counts are made at once.
 DOCS = 256
+#: Tokens of items that every task holds at once.
+ITEM_TOKENS = 20_000_000
 
 
 def best_span(codes: list[int], wanted: set[int], size: int, threshold: Fraction, shared: int) -> tuple[int, int] | None:
@@ -79,11 +82,22 @@ def spans_like(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, ite
     """(item, document, shared, similarity): the best span of each document, of any length and across lines, by Jaccard similarity of content tokens.
 
     Every document with such a span has its row. The items' tokens go to all
-    tasks, so items are a list that fits in memory; documents are never
-    shuffled, only their hits. Rows with the same ids give their best.
+    tasks, in blocks of about ``ITEM_TOKENS`` (documents are read once a block);
+    documents are never shuffled, only their hits. Rows with the same ids give their best.
     """
+    sets = items.select(F.col(item_id), F.array_distinct(T.content_tokens(F.col(item_text))).alias("set")).filter(F.size("set") >= shared)
+    blocks = max(-(-(sets.agg(F.sum(F.size("set"))).first()[0] or 0) // ITEM_TOKENS), 1)
+    part = F.pmod(F.xxhash64(item_id, "set"), F.lit(blocks))
+    kinds = items.schema[item_id].dataType, docs.schema[doc_id].dataType
+    tokens = docs.select(doc_id, T.content_tokens(F.col(doc_text)).alias("tokens"))
+    each = [_spans_of(sets.filter(part == b).toArrow(), tokens, item_id, doc_id, kinds, threshold, shared) for b in range(blocks)]
+    best = reduce(DataFrame.unionByName, each).groupBy(item_id, doc_id).agg(F.max(F.struct("similarity", "shared")).alias("best"))
+    return best.select(item_id, doc_id, F.col("best.shared").alias("shared"), F.col("best.similarity").alias("similarity"))
+
+
+def _spans_of(known: pa.Table, docs: DataFrame, item_id: str, doc_id: str, kinds: tuple[DataType, DataType], threshold: float, shared: int) -> DataFrame:
+    """Spans of ``docs`` (id, tokens) like the items of one block (id, set)."""
     least = Fraction(str(threshold))
-    known = items.select(F.col(item_id), F.array_distinct(T.content_tokens(F.col(item_text))).alias("set")).filter(F.size("set") >= shared).toArrow()
     names = known.column(0).combine_chunks()
     sets = known.column(1).combine_chunks()
     flat = sets.flatten()
@@ -96,7 +110,7 @@ def spans_like(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, ite
     first = np.searchsorted(token[order], np.arange(len(vocabulary) + 1))
     members = np.split(token, np.cumsum(sizes)[:-1]) if len(sizes) else []
     need = np.maximum([math.ceil(least * int(n)) for n in sizes], shared) if len(sizes) else np.zeros(0, dtype=np.int64)
-    schema = StructType([StructField(item_id, items.schema[item_id].dataType), StructField(doc_id, docs.schema[doc_id].dataType), StructField("shared", IntegerType()), StructField("similarity", DoubleType())])
+    schema = StructType([StructField(item_id, kinds[0]), StructField(doc_id, kinds[1]), StructField("shared", IntegerType()), StructField("similarity", DoubleType())])
 
     def candidates(doc: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
         """Keys doc * items + item of pairs that share enough tokens."""
@@ -131,6 +145,4 @@ def spans_like(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, ite
                 i, d, s, x = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(i, pa.int64())), part.column(0).take(pa.array(d, pa.int64())), pa.array(s, pa.int32()), pa.array(x, pa.float64())], names=[item_id, doc_id, "shared", "similarity"])
 
-    found = docs.select(doc_id, T.content_tokens(F.col(doc_text)).alias("tokens")).mapInArrow(find, schema)
-    best = found.groupBy(item_id, doc_id).agg(F.max(F.struct("similarity", "shared")).alias("best"))
-    return best.select(item_id, doc_id, F.col("best.shared").alias("shared"), F.col("best.similarity").alias("similarity"))
+    return docs.mapInArrow(find, schema)

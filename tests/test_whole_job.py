@@ -139,3 +139,12 @@ def test_merged_corpus_keeps_null_languages_and_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r["doc_id"], r["lang"]) for r in corpus.merged_corpus(spark, str(tmp_path)).collect())
     assert got == [(1, "en"), (3, None), (5, "fr"), (6, None), (7, "en"), (8, "fr")]
+
+
+def test_items_in_blocks_give_the_same_spans(spark, monkeypatch):
+    from parley.operators import spans
+    from parley.plans import corpus
+
+    whole = sorted(map(tuple, corpus.contamination(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(spans, "ITEM_TOKENS", 40)
+    assert sorted(map(tuple, corpus.contamination(spark, "/root/testdata/sf0.001").collect())) == whole
