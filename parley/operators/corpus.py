@@ -173,22 +173,25 @@ def shifted_pairs(df: DataFrame, order: str, shift: int = 37) -> DataFrame:
     return ranked.join(other, F.pmod(F.col("place") + shift, n) == F.col("_p")).select(F.col(order).alias("positive"), "negative")
 
 
-#: Error of the rough quantiles that bracket a wanted place, and different values of a bracket that are told apart at once.
-ROUGH, TOLD_APART = 1 / 2048, 50_000
+#: Different values of a bracket that are told apart at once.
+TOLD_APART = 50_000
 
 
-def _values_at(values: DataFrame, n: int, low: int, high: int) -> dict[int, float]:
+def _values_at(values: DataFrame, n: int, low: int, high: int, rough: float) -> dict[int, float]:
     """The values at two places (from 0) in order: a bracket is narrowed until few different values are in it."""
     part, before, size = values, 0, n
     while True:
         near = lambda place, by: min(max((place - before + 0.5) / size + by, 0.0), 1.0)  # noqa: B023, E731
-        a, b = part.approxQuantile("x", [near(low, -2 * ROUGH), near(high, 2 * ROUGH)], ROUGH)
+        a, b = part.approxQuantile("x", [near(low, -2 * rough), near(high, 2 * rough)], rough)
         inside = part.filter((F.col("x") >= a) & (F.col("x") <= b))
         got = part.agg(F.count_if(F.col("x") < a).alias("below"), F.count_if((F.col("x") >= a) & (F.col("x") <= b)).alias("n")).first()
-        rows = inside.groupBy("x").agg(F.count("*").alias("c")).limit(TOLD_APART + 1).collect()
+        counts = inside.groupBy("x").agg(F.count("*").alias("c"))
+        rows = counts.limit(TOLD_APART + 1).collect()
         before += got["below"]
-        if len(rows) <= TOLD_APART or got["n"] == size:
+        if len(rows) <= TOLD_APART:
             return _found(rows, before, (low, high))
+        if got["n"] == size:  # no longer narrowed: fewer rows than the rough quantiles tell apart
+            return _found(counts.collect(), before, (low, high))
         part, size = inside, got["n"]
 
 
@@ -200,26 +203,26 @@ def _found(rows: list, before: int, places: tuple[int, ...]) -> dict[int, float]
     return at
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...]) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str, shares: tuple[float, ...], buckets: int = 2048) -> list[float | None]:
     """Quantiles of a numeric column, interpolated, from exact counts; null and NaN don't count.
 
-    Rough quantiles bracket each wanted place; the values in all brackets are
+    Rough quantiles, with an error of one in ``buckets``, bracket each wanted place; the values in all brackets are
     counted at once. Where those are too many to tell apart, each bracket is
     narrowed in the same way. Rows are only compared with bounds.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
-    n = values.count()
+    n, rough = values.count(), 1 / buckets
     if not n:
         return [None for _ in shares]
     places = [(math.floor(q * (n - 1)), math.ceil(q * (n - 1))) for q in shares]
-    cuts = values.approxQuantile("x", [min(max((p + 0.5) / n + by, 0.0), 1.0) for low, high in places for p, by in ((low, -2 * ROUGH), (high, 2 * ROUGH))], ROUGH)
+    cuts = values.approxQuantile("x", [min(max((p + 0.5) / n + by, 0.0), 1.0) for low, high in places for p, by in ((low, -2 * rough), (high, 2 * rough))], rough)
     brackets = list(zip(cuts[::2], cuts[1::2]))
     within = [(F.col("x") >= a) & (F.col("x") <= b) for a, b in brackets]
     below = values.agg(*(F.count_if(F.col("x") < a).alias(f"b{i}") for i, (a, _) in enumerate(brackets))).first()
     rows = values.filter(reduce(lambda a, b: a | b, within)).groupBy("x").agg(F.count("*").alias("c")).limit(TOLD_APART + 1).collect()
     found = []
     for i, ((low, high), (a, b), q) in enumerate(zip(places, brackets, shares)):
-        at = _found([r for r in rows if a <= r["x"] <= b], below[f"b{i}"], (low, high)) if len(rows) <= TOLD_APART else _values_at(values, n, low, high)
+        at = _found([r for r in rows if a <= r["x"] <= b], below[f"b{i}"], (low, high)) if len(rows) <= TOLD_APART else _values_at(values, n, low, high, rough)
         found.append(at[low] + (at[high] - at[low]) * (q * (n - 1) - low))
     return found
 
