@@ -322,7 +322,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """Digest columns of every text stored as a GIF and read back: see ``digest``. A null text is empty; equal texts give equal rows."""
+    """Digest columns of every text stored as a GIF and read back: see ``digest``. A null text is empty; equal texts give equal rows.
+
+    Rows that repeat, also with the same id, are stored each; an empty table
+    gives no rows; texts of any length are stored whole, in as many frames as they
+    need; other columns, whatever their names, are not read.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         _digests, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -232,7 +232,9 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str = VOCABULARY,
     ``training``: doc_id, text, lang. A null text, or one without a letter, is
     ``und`` with score 0; so is every text if nothing could be learned. Ties go
     to the language first by code point. The whole text counts. Words are runs of
-    letters, lower-cased (A-Z).
+    letters, lower-cased (A-Z). Rows that repeat are scored each; an empty table
+    gives no rows; ``carry`` names the only other columns that are read. A run of
+    thousands of letters without a space takes about a millisecond a letter.
     """
     v = pieces(vocabulary)
     langs, p = train(training, v, sample)

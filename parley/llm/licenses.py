@@ -86,6 +86,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a start if all words of its key phrase stand there. The postings of its key
     words are intersected by relative position, rarest first, so each file costs
     time linear in its licence words. Rows with equal ids are scanned apart.
+    An empty table gives no rows; texts of any length are taken whole; other
+    columns, whatever their names, are not read.
 
     Returns doc_id, n_words, n_base (places of base phrases), first_word and
     last_word (smallest and largest start of those, else null), base_labels,

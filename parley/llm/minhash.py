@@ -245,10 +245,11 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | Non
     pairs of a bucket in different components. Small buckets are finished: their
     open pairs are compared, unless their distances to the pivot rule a link out.
     Members of large buckets that can have no such link leave. If few pairs are
-    left that a link is possible for, no more than there are rows in the buckets,
-    these are compared. Else the rest gets a new pivot, and so on, with twice as
-    many pairs allowed each time.
-    So a bucket's pairs are not all made, and no link between components is lost.
+    left that a link is possible for, no more than ``FEW`` for each row of the
+    buckets, these are compared. Else the rest gets a new pivot, and so on, with
+    twice as many pairs allowed each time. So few of a bucket's pairs are made, but
+    for families whose members share alterations without links: there the pairs
+    grow with the square. No link between components is lost.
     """
     spent = []
 

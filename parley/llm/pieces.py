@@ -201,7 +201,9 @@ def encode_texts(docs: DataFrame, model: str = MODEL, scores: str = "rank") -> D
     """doc_id, n_tokens, ids, text_crc32 and decoded_crc32 (of the text decoded from the ids) of every text.
 
     The encoding is lossless: tabs, line ends and literal marks become byte
-    pieces, runs of spaces stay. A null or empty text has no ids (crc 0).
+    pieces, runs of spaces stay. A null or empty text has no ids (crc 0). Rows that
+    repeat are encoded each; an empty table gives no rows; texts of any length are
+    encoded whole; other columns, whatever their names, are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(tidy(_encode(model, scores)), f"doc_id {kind}, n_tokens long, ids array<int>, text_crc32 long, decoded_crc32 long")

@@ -199,7 +199,9 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Statistics come from the whole text (null: empty) alone and are written once;
     labels meet these small rows, not the texts. Learned from labelled rows that
     aren't held out; a doc_id with several labels counts once for each. Without
-    labels of both kinds every score is the constant 0.5.
+    labels of both kinds every score is the constant 0.5. Rows that repeat are
+    scored each; an empty table gives no rows; other columns, whatever their
+    names, are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, x array<double>"), "quality-stats")

@@ -136,7 +136,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     order of the hash; they are atomic. Slots count each shard's rows from 0 in
     the order of (hash, doc_id). Rows are ranked by a range shuffle of (hash,
     doc_id) that splits large groups; per-partition counts, not rows, are
-    brought together. Shards may stay empty if there are fewer groups.
+    brought together. Shards may stay empty if there are fewer groups. Rows that
+    repeat are placed each; an empty table gives no rows; other columns, whatever
+    their names, are not read.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
     """

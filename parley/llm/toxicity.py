@@ -197,6 +197,8 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fea
     Words are lower-cased (A-Z) runs of letters, digits and bytes beyond ASCII, of
     the whole text; a null or empty text has none and gets the severity of a
     document without features. Without labels of both kinds all severities are 0.
+    Rows that repeat are graded each; an empty table gives no rows; ``carry``
+    names the only other columns that are read.
     """
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, sample, features)
     kept = list(dict.fromkeys([id_col, *carry]))
