@@ -18,9 +18,9 @@ def mean(a: Column) -> Column:
 
 
 def deviation(a: Column) -> Column:
-    """Population deviation."""
-    m = mean(a)
-    return F.sqrt(F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), F.size(a)))
+    """Population deviation; the mean is found once."""
+    held = F.struct(a.alias("a"), mean(a).alias("m"))
+    return F.transform(F.array(held), lambda s: F.sqrt(F.try_divide(F.aggregate(s["a"], F.lit(0.0), lambda t, x: t + (x - s["m"]) * (x - s["m"])), F.size(s["a"]))))[0]
 
 
 def _steady(a: Column, factor: float, default: float) -> Column:
@@ -94,5 +94,8 @@ def windows(n_samples: Column, rate: int = 16_000, seconds: int = 30) -> Column:
 
 
 def peak_normalise(samples: Column, decibels: float = -1.0) -> Column:
-    top = F.array_max(F.transform(samples, F.abs))
-    return F.when(top > 0, F.transform(samples, lambda x: x * (10 ** (decibels / 20)) / top)).otherwise(samples)
+    """Samples with their peak at so many decibels; the peak is found once."""
+    held = F.struct(samples.alias("y"), F.array_max(F.transform(samples, F.abs)).alias("top"))
+    scaled = F.transform(F.array(held), lambda s: F.transform(s["y"], lambda x: x * (10 ** (decibels / 20)) / s["top"]))[0]
+    return F.when(F.array_max(F.transform(samples, F.abs)) > 0, scaled).otherwise(samples)
+

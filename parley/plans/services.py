@@ -16,6 +16,7 @@ from parley.operators import performance as P2
 from parley.operators import qualifications as K
 from parley.operators import scoring
 from parley.operators import sessions as Z
+from parley.operators import sounds as W
 from parley.operators import transcripts as X
 from parley.plans import sessions as P
 from parley.plans import sql as Q
@@ -208,7 +209,16 @@ def composed_transcripts(spark, sf_dir):
     return t.select("conv_id", "turn", F.md5(X.clean(F.col("t"), F.col("language"))).alias("clean"), F.md5(X.plain_for_errors(F.col("t"))).alias("plain"))
 
 
-QUERIES = [performance_classes, composed_transcripts, salient_terms, conversation_scores, next_ordinals, first_texts, cv_skills, cv_names, cv_roles, cv_years, turn_intents_fitted, greedy_matches, positional_ids, normalised_responses, trimmed_resources, cv_education, cv_certifications, cv_projects, cv_employers]
+def sound_features(spark, sf_dir):
+    """Features of sounds made from vectors: each part is a tone as loud as the part is large."""
+    part = lambda x, k: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: x.cast("double") * F.sin(i * (k + 1) * 0.02))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.transform("embedding", part)).alias("y"), F.lit(16_000).alias("rate"))
+    mean = lambda c: F.round(U.mean(F.col(c)), 5).alias(c)
+    rows = W.features(W.prepared(v, "vec_id", "y", "rate"), "id", "samples", "rate")
+    return rows.select(F.col("id").alias("vec_id"), F.size("rms").alias("frames"), mean("rms"), mean("zcr"), F.round(F.get("mfcc_mean", F.lit(0)), 3).alias("first"), F.round("silence_ratio", 5).alias("silence"), F.round("duration_seconds", 5).alias("seconds"))
+
+
+QUERIES = [sound_features, performance_classes, composed_transcripts, salient_terms, conversation_scores, next_ordinals, first_texts, cv_skills, cv_names, cv_roles, cv_years, turn_intents_fitted, greedy_matches, positional_ids, normalised_responses, trimmed_resources, cv_education, cv_certifications, cv_projects, cv_employers]
 
 _J = lambda path: f"json_extract(j, '{path}')"
 _IS = lambda path, kind: f"json_type(j, '{path}') = '{kind}'"
