@@ -26,7 +26,7 @@ def personal(answer: Column) -> Column:
     concrete = F.least(F.lit(30.0), T.count_phrases(answer, L.SPECIFIC) * 9.0 + F.least(names, F.lit(4)) * 4.0)
     narrative = F.least(F.lit(20.0), T.count_words(answer, L.NARRATIVE) * 7.0)
     length = F.when(n >= 45, 20.0).when(n >= 25, 15.0).when(n >= 12, 9.0).otherwise(n * 0.5)
-    return F.round(F.least(F.lit(100.0), ownership + concrete + narrative + length), 1)
+    return T.rounded(F.least(F.lit(100.0), ownership + concrete + narrative + length), 1)
 
 
 def form_match(question: Column, answer: Column) -> Column:
@@ -52,7 +52,7 @@ def relevance(rows: DataFrame, recall: str, question: str, answer: str, expects:
     floor = F.when((n >= 20) & (F.col("_engaged") >= 3), F.when(form >= 50, 40.0).otherwise(35.0)).when(n >= 30, 30.0).otherwise(0.0)
     out = (
         F.when(a == "", 0.0).when(q == "", F.when(n >= 15, 50.0).otherwise(25.0)).when(n < 4, 15.0).when(F.col("_own"), personal(a))
-        .otherwise(F.round(_within(F.greatest(score, floor), 0.0, 100.0), 1))
+        .otherwise(T.rounded(_within(F.greatest(score, floor), 0.0, 100.0), 1))
     )
     return rows.withColumn("relevance", out).drop("_q", "_a", "_n", "_form", "_concept", "_engaged", "_own")
 
@@ -76,7 +76,7 @@ def evaluate(rows: DataFrame, question: str, answer: str, expected: Column, corr
     technical = _within(share * 60.0 + correctness * 0.25 + length * 15.0, 10.0, 98.0)
     relevant = _within(closeness * 0.40 + share * 40.0 + 20.0, 20.0, 99.0)
     deep = _within(F.size("_said") * 12.0 + length * 20.0 + depth * 0.20, 15.0, 98.0)
-    score = lambda c: F.when(blank, 0.0).otherwise(F.round(c, 1))
+    score = lambda c: F.when(blank, 0.0).otherwise(T.rounded(c, 1))
     rows = rows.withColumns({"technical": score(technical), "relevance": score(relevant), "depth": score(deep), "overall": score(technical * 0.50 + relevant * 0.30 + deep * 0.20)})
     verdict = F.when(blank, "INCORRECT").when(F.col("technical") >= 75, "CORRECT").when(F.col("technical") >= 45, "PARTIALLY_CORRECT").when(F.col("relevance") < 35, "OFF_TOPIC").otherwise("INCORRECT")
     none = F.array().cast("array<string>")
@@ -89,11 +89,11 @@ def route(intent: Column, phase: Column, heard: Column, communication: Column, r
     skipped = intent.isin("dont_know", "silent")
     smooth = _within(100 - F.coalesce(F.try_divide(fillers * 100.0, words), F.lit(0.0)) * 6, 20.0, 100.0)
     sure = _within(communication * 0.6 + smooth * 0.4, 20.0, 100.0)
-    delivery = lambda measured, text: F.round(F.when(heard, F.coalesce(measured, F.lit(0.0))).otherwise(F.when(skipped, 0.0).otherwise(text)), 1)
-    scored = lambda c: F.when(skipped, 0.0).otherwise(F.round(c, 1))
+    delivery = lambda measured, text: T.rounded(F.when(heard, F.coalesce(measured, F.lit(0.0))).otherwise(F.when(skipped, 0.0).otherwise(text)), 1)
+    scored = lambda c: F.when(skipped, 0.0).otherwise(T.rounded(c, 1))
     return F.struct(
         skipped.alias("skipped"), heard.alias("measured"), scored(communication).alias("communication"), scored(relevance_).alias("relevance"),
-        F.when(skipped, 0.0).when(~F.lower(F.coalesce(phase, F.lit(""))).isin(L.NON_TECHNICAL_PHASES), F.round(technical, 1)).alias("technical"),
+        F.when(skipped, 0.0).when(~F.lower(F.coalesce(phase, F.lit(""))).isin(L.NON_TECHNICAL_PHASES), T.rounded(technical, 1)).alias("technical"),
         delivery(fluency, smooth).alias("fluency"), delivery(confidence, sure).alias("confidence"),
     )
 
