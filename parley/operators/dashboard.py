@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import lexicons as L
+from parley.functions import text as T
 from parley.operators.history import top_n
 
 
@@ -96,7 +97,7 @@ def next_ordinal(rows: DataFrame, session: str, ordinal: str) -> DataFrame:
 def conversation_scores(pairs: DataFrame, session: str, scores: list[str], sessions: DataFrame, default: float = 50.0) -> DataFrame:
     """Means of the scores of each session's answers; sessions without answers have ``default``."""
     means = pairs.groupBy(session).agg(*(F.avg(c).alias(c) for c in scores), F.count("*").alias("answers"))
-    return sessions.select(session).distinct().join(means, session, "left").select(session, *(F.round(F.coalesce(c, F.lit(default)), 1).alias(c) for c in scores), F.coalesce("answers", F.lit(0)).alias("answers"))
+    return sessions.select(session).distinct().join(means, session, "left").select(session, *(T.rounded(F.coalesce(c, F.lit(default)), 1).alias(c) for c in scores), F.coalesce("answers", F.lit(0)).alias("answers"))
 
 
 def zero_filled_means(rows: DataFrame, session: str, metrics: list[str]) -> DataFrame:
