@@ -89,9 +89,13 @@ def tracks(cvs: DataFrame, key: str, have: str, demonstrated: str, signals: dict
 
 
 def contacts(text: Column) -> Column:
-    """E-mail addresses, phone numbers of 9 to 15 digits, and links, at most five."""
+    """E-mail addresses, phone numbers of 9 to 15 digits, and links, at most five.
+
+    Digits of a phone have one mark or space between them at most, and no letter
+    or slash goes on at either end: a number before a date is none.
+    """
     mails = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"), F.lit(1))
-    phones = F.filter(F.regexp_extract_all(text, F.lit(r"(\+?[0-9][0-9\s().-]{7,}[0-9])"), F.lit(1)), lambda p: F.length(F.regexp_replace(p, r"\D", "")).between(9, 15))
+    phones = F.filter(F.regexp_extract_all(text, F.lit(r"((?<![\p{L}\p{N}_/])\+?[0-9](?:(?:[.-]|\s?\(|\)\s?|\s)?[0-9]){8,}(?![\p{L}\p{N}_/]))"), F.lit(1)), lambda p: F.length(F.regexp_replace(p, r"\D", "")).between(9, 15))
     links = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"((?:https?://|www\.)[^\s,;]+)"), F.lit(1))), 1, 5)
     return F.struct(mails.alias("emails"), phones.alias("phones"), links.alias("links"))
 
