@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,18 +112,98 @@ def similar_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str, text_a: str,
     return similar_sets(sets(a, id_a, text_a, "a"), sets(b, id_b, text_b, "b"), threshold, shared)
 
 
-def leaked(splits: DataFrame, text_col: str, threshold: float = 0.9, shared: int = 3) -> DataFrame:
+#: Ranges of token hashes whose occurrences are counted, and bits of the sketch of a set.
+RANGES, BITS = 1 << 16, 256
+
+
+def _rarest(counts: np.ndarray, threshold: float):
+    """For sets as hashes: a row for each of the rarest ones that sets this similar have to share one of, with its place and the set's sketch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("hashes")
+            n, t = held.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), held.flatten().to_numpy(zero_copy_only=False)
+            owner, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            # a bit for each hash, told by parity: of two sets, bits that differ are no more than elements that do
+            odd = (np.bincount(owner * BITS + ((t >> 40) & (BITS - 1)), minlength=len(n) * BITS) & 1).astype(np.uint8)
+            sketch = np.packbits(odd.reshape(len(n), BITS), axis=1).view(np.int64)
+            t = t[np.lexsort((t, counts[t & (RANGES - 1)], owner))]
+            place = np.arange(len(t)) - start[owner]
+            kept = place <= (n - np.ceil(threshold * n - 1e-9))[owner]
+            whose = owner[kept]
+            kind = {c: batch.column(c).take(pa.array(whose)) for c in ("k", "one", "two")}
+            yield pa.RecordBatch.from_pydict(kind | {"t": t[kept], "n": n[whose], "place": place[kept]} | {f"s{i}": sketch[whose, i] for i in range(BITS // 64)})
+
+    return rows
+
+
+def _near(classes: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b, differ, a_train, a_validation, need_train, need_validation) of classes that may be similar and of which ``b`` looks for an ``a``; a pair can come more than once."""
+    # different sets this similar have so many elements at least
+    rows = classes.filter(F.size("hashes") >= math.ceil(threshold / (1 - threshold) - 1e-9)) if threshold < 1 else classes.filter("false")
+    schema = "k binary, one boolean, two boolean, t long, n long, place long, " + ", ".join(f"s{i} long" for i in range(BITS // 64))
+    side = lambda one, two, name: rows.select("k", "hashes", one.alias("one"), two.alias("two")).filter("one OR two").mapInArrow(_rarest(counts, threshold), schema).select("t", *(F.col(c).alias(f"{name}_{c}") for c in ("k", "one", "two", "n", "place", *(f"s{i}" for i in range(BITS // 64)))))
+    x, y = side(F.col("train") > 0, F.col("validation") > 0, "a"), side(F.col("need_train"), F.col("need_validation"), "b")
+    least = F.ceil((F.col("a_n") + F.col("b_n")) * (threshold / (1 + threshold)) - 1e-9)
+    differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(BITS // 64)), F.lit(0))
+    met = x.join(y, "t").filter((F.col("a_k") != F.col("b_k")) & ((F.col("a_one") & F.col("b_one")) | (F.col("a_two") & F.col("b_two"))))
+    # at the first element that two sets share, no more than the rest of either can follow
+    met = met.filter((F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= least) & (differ <= F.col("a_n") + F.col("b_n") - 2 * least))
+    return met.select(F.col("a_k").alias("a"), F.col("b_k").alias("b"), differ.alias("differ"), (F.col("a_one") & F.col("b_one")).alias("one"), (F.col("a_two") & F.col("b_two")).alias("two"))
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, threshold: float, shared: int) -> DataFrame:
+    """(b, one, two): whether pairs (a, b, one, two) that are similar by their whole sets say so, for each ``b``."""
+    sets = lambda name: classes.select(F.col("k").alias(name), F.col("words").alias(f"w{name}"))
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("b", "one", "two", F.split("wa", " ").alias("x"), F.split("wb", " ").alias("y"))
+    both = both.withColumn("_i", F.size(F.array_intersect("x", "y")))
+    fits = both.filter((F.col("_i") >= shared) & (F.col("_i") / (F.size("x") + F.size("y") - F.col("_i")) >= threshold))
+    return fits.groupBy("b").agg(F.max("one").alias("one"), F.max("two").alias("two"))
+
+
+def token_set(text: Column) -> Column:
+    """The different content tokens of a text in order, a space between."""
+    return F.array_join(F.sort_array(F.array_distinct(T.content_tokens(text))), " ")
+
+
+def token_set_key(text: Column) -> Column:
+    return F.unhex(F.sha1(token_set(text)))
+
+
+def leaked(splits: DataFrame, key: str, docs: DataFrame, text_col: str, threshold: float = 0.9, shared: int = 3) -> DataFrame:
     """How many rows of each later split have a near copy in an earlier one: (pair, n).
 
-    Rows with equal sets of tokens are one class with a count for each split, and
-    classes are compared once for all splits; copies are never made into pairs.
+    ``splits``: split and ``token_set_key`` of each of ``docs``, so that no text goes through the splitting.
+
+    Rows with equal sets of tokens are one class with a count for each split, kept
+    on disk; copies are never made into pairs, and a class that has copies in an
+    earlier split looks for nothing there. Others meet by their rarest tokens, by
+    the counts of ``RANGES`` ranges of hashes, so a set is ordered in its own row
+    and only these tokens are shuffled, with a sketch of the set that rules most
+    meetings out. Each class is compared by whole sets with the likeliest one
+    first, with all others it met only if that one isn't similar. The result is
+    exact but for tokens of equal 64-bit hashes.
     """
     names = ("train", "validation", "test")
-    sets = splits.select("split", F.array_sort(F.array_distinct(T.content_tokens(F.col(text_col)))).alias("set")).filter(F.size("set") >= shared)
-    classes = sets.groupBy(F.sha1(F.array_join("set", " ")).alias("k"), "set").agg(*(F.count_if(F.col("split") == s).alias(s) for s in names))
-    pairs = similar_sets(classes.select(F.col("k").alias("a"), "set"), classes.select(F.col("k").alias("b"), "set"), threshold, shared).select("a", "b")
-    earlier = pairs.join(classes.select(F.col("k").alias("a"), *(F.col(s).alias(f"_{s}") for s in names[:2])), "a").groupBy("b").agg(*(F.max(F.col(f"_{s}") > 0).alias(f"in_{s}") for s in names[:2]))
-    rows = classes.select(F.col("k").alias("b"), *names).join(earlier, "b")
+    sizes = splits.groupBy(F.col(key).alias("k")).agg(*(F.count_if(F.col("split") == s).alias(s) for s in names))
+    sets = docs.select(token_set(F.col(text_col)).alias("words")).filter((F.col("words") != "") & (F.size(F.split("words", " ")) >= shared))
+    sets = sets.groupBy(F.unhex(F.sha1("words")).alias("k")).agg(F.first("words").alias("words"))
+    classes = sets.join(sizes, "k").persist(StorageLevel.DISK_ONLY)
+    no = lambda c: F.col(c) == 0
+    seeking = classes.withColumns({
+        "need_train": no("train") & (~no("validation") | ~no("test")), "need_validation": no("validation") & ~no("test"), "hashes": F.transform(F.split("words", " "), lambda w: F.xxhash64(w)),
+    })
+    counts = np.zeros(RANGES, dtype=np.int64)
+    for r in seeking.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(RANGES - 1).alias("at")).agg(F.count("*").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    met = _near(seeking, counts, threshold)
+    likely = met.groupBy("b").agg(*(F.min_by("a", F.when(F.col(c), F.col("differ"))).alias(c) for c in ("one", "two")))
+    likely = likely.select("b", F.inline(F.array(*(F.struct(F.col(c).alias("a"), F.lit(c == "one").alias("one"), F.lit(c == "two").alias("two")) for c in ("one", "two"))))).filter("a IS NOT NULL")
+    first = _confirmed(likely, classes, threshold, shared).persist(StorageLevel.DISK_ONLY)
+    left = met.join(first.select("b", F.col("one").alias("_one"), F.col("two").alias("_two")), "b", "left")
+    left = left.withColumns({c: F.col(c) & ~F.coalesce(f"_{c}", F.lit(False)) for c in ("one", "two")}).filter("one OR two").select("a", "b", "one", "two").distinct()
+    found = first.unionByName(_confirmed(left, classes, threshold, shared)).groupBy(F.col("b").alias("k")).agg(F.max("one").alias("one"), F.max("two").alias("two"))
+    rows = classes.join(found, "k", "left").select(*names, *(((F.col(s) > 0) | F.coalesce(c, F.lit(False))).alias(f"in_{s}") for s, c in (("train", "one"), ("validation", "two"))))
     ways = [("train", "validation"), ("train", "test"), ("validation", "test")]
     sums = rows.agg(*(F.coalesce(F.sum(F.when(F.col(f"in_{a}"), F.col(b))), F.lit(0)).alias(f"{a}->{b}") for a, b in ways))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(f"{a}->{b}").alias("pair"), F.col(f"`{a}->{b}`").alias("n")) for a, b in ways))))

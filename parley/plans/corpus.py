@@ -88,7 +88,8 @@ def split_statistics(spark, sf_dir):
 
 def split_leakage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return C.leaked(C.stratified_split(docs, ["lang", "source"], "doc_id"), "text")
+    keyed = docs.select("doc_id", "lang", "source", C.token_set_key(F.col("text")).alias("k"))
+    return C.leaked(C.stratified_split(keyed, ["lang", "source"], "doc_id"), "k", docs, "text")
 
 
 def contamination(spark, sf_dir):

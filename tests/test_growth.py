@@ -1,6 +1,12 @@
 """Work that once grew faster than its tables."""
 
-from parley.operators import planning, retrieval
+import random
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from parley.operators import corpus, planning, retrieval
 
 RECORD = "qid long, question string, domain string, difficulty string, source string"
 PROFILE = "profile_id long, technologies array<string>, skills array<string>, experience array<string>, education array<string>, certifications array<string>, projects array<string>, role string, years double, track string, difficulty string, total int"
@@ -27,3 +33,23 @@ def test_blocks_meet_in_tasks_of_their_own(spark, monkeypatch):
     hits = retrieval.top_in_blocks(retrieval.sparse(rows), retrieval.sparse(rows), 2)
     assert "REPARTITION_BY_NUM" in hits._jdf.queryExecution().toString()
     assert sorted((r["query"], r["place"], r["id"]) for r in hits.collect()) == [(q, p + 1, q % 3 + 3 * p) for q in range(20) for p in (0, 1)]
+
+
+def test_only_the_rarest_tokens_of_a_set_meet(spark):
+    luck = random.Random(3)
+    families = [[f"w{luck.randrange(300)}" for _ in range(luck.choice([4, 9, 12, 40, 90]))] for _ in range(40)]
+    rows = []
+    for i in range(400):
+        words = list(families[i % 40])
+        for _ in range(luck.randrange(6)):
+            words[luck.randrange(len(words))] = f"w{luck.randrange(300)}"
+        rows.append((i, luck.choice(["train", "train", "validation", "test"]), " ".join(words)))
+    docs = spark.createDataFrame(rows, "id long, split string, text string")
+    got = {r["pair"]: r["n"] for r in corpus.leaked(docs.select("split", corpus.token_set_key(F.col("text")).alias("k")), "k", docs, "text").collect()}
+    sets = [(split, set(text.split())) for _, split, text in rows]
+    near = lambda x, y: len(x & y) >= 3 and len(x & y) / len(x | y) >= 0.9
+    want = {f"{a}->{b}": sum(t == b and any(s == a and near(x, y) for s, x in sets) for t, y in sets) for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))}
+    assert got == want and min(want.values()) > 5
+    # a set of a hundred tokens sends eleven
+    batch = pa.RecordBatch.from_pydict({"k": [b"x"], "one": [True], "two": [True], "hashes": [list(range(1, 101))]})
+    assert [b.num_rows for b in corpus._rarest(np.zeros(corpus.RANGES, dtype=np.int64), 0.9)([batch])] == [11]
