@@ -21,8 +21,14 @@ def heading(line: Column) -> Column:
 
 
 def lines(cvs: DataFrame, key: str, text: str) -> DataFrame:
-    """Lines of each text with the section they stand in ('header' before any heading); headings and blank lines go."""
-    rows = cvs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("line_no", "line"))
+    """Lines of each text with the section they stand in ('header' before any heading); headings and blank lines go.
+
+    Whole texts are dealt out by key first, to a number of tasks, as reading them takes far longer than their bytes tell: texts of a
+    small file are read by all cores, and what follows by key needs no further shuffle.
+    """
+    spark = cvs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = cvs.select(key, text).repartition(tasks, key).select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("line_no", "line"))
     w = Window.partitionBy(key).orderBy("line_no")
     rows = rows.withColumn("_h", heading(F.col("line"))).withColumn("section", F.coalesce(F.last("_h", ignorenulls=True).over(w), F.lit("header")))
     return rows.filter(F.col("_h").isNull() & (T.strip(F.col("line")) != "")).select(key, "line_no", T.strip(F.col("line")).alias("line"), "section")
@@ -122,7 +128,9 @@ def skills(texts: DataFrame, key: str) -> DataFrame:
     found = []
     for name, pattern in L.TECHNOLOGIES.items():
         at = F.array_compact(F.array(*(F.when(F.regexp_like(z, F.lit(pattern)), z_name) for z_name in places for z in [F.col(z_name)])))
-        found.append(F.struct(F.lit(name).alias("name"), F.when(F.size(at) > 0, at).when(F.regexp_like("whole", F.lit(pattern)), F.array(F.lit("other"))).alias("at")))
+        # the list is bound to a name, so each zone is searched once
+        at = F.transform(F.array(at), lambda a: F.when(F.size(a) > 0, a).when(F.regexp_like("whole", F.lit(pattern)), F.array(F.lit("other"))))[0]  # noqa: B023
+        found.append(F.struct(F.lit(name).alias("name"), at.alias("at")))
     concepts = F.array_compact(F.array(*(F.when(F.regexp_like("whole", F.lit(p)), n) for n, p in L.SKILLS.items())))
     rows = texts.select(key, F.filter(F.array(*found), lambda t: t["at"].isNotNull()).alias("_f"), concepts.alias("concepts"))
     shown = F.filter("_f", lambda t: F.array_contains(t["at"], "experience") | F.array_contains(t["at"], "projects"))

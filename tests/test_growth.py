@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parley.operators import corpus, planning, retrieval
+from parley.operators import corpus, cv, planning, retrieval
 
 RECORD = "qid long, question string, domain string, difficulty string, source string"
 PROFILE = "profile_id long, technologies array<string>, skills array<string>, experience array<string>, education array<string>, certifications array<string>, projects array<string>, role string, years double, track string, difficulty string, total int"
@@ -53,3 +53,13 @@ def test_only_the_rarest_tokens_of_a_set_meet(spark):
     # a set of a hundred tokens sends eleven
     batch = pa.RecordBatch.from_pydict({"k": [b"x"], "one": [True], "two": [True], "hashes": [list(range(1, 101))]})
     assert [b.num_rows for b in corpus._rarest(np.zeros(corpus.RANGES, dtype=np.int64), 0.9)([batch])] == [11]
+
+
+def test_texts_of_a_small_file_are_read_by_all_cores(spark):
+    cvs = spark.createDataFrame([(i, "Ann Lee\nSkills\nSQL\none two three four five\nWork Experience\nA role here") for i in range(50)], "id long, text string").coalesce(1)
+    lines = cv.lines(cvs, "id", "text")
+    assert "REPARTITION_BY_NUM" in lines._jdf.queryExecution().toString()
+    got = {(r["line"], r["section"]) for r in lines.filter("id = 7").collect()}
+    assert got == {("Ann Lee", "header"), ("SQL", "skills"), ("one two three four five", "skills"), ("A role here", "experience")}
+    # nothing is dealt out once more by key
+    assert lines.groupBy("id").count()._jdf.queryExecution().toString().split("Physical Plan")[-1].count("Exchange") == 1
