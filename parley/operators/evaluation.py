@@ -244,10 +244,12 @@ def evaluation_slices(samples: DataFrame, key: str, groups: list[str], orders: i
 
 def proxy_rouge(pairs: DataFrame, prediction: Column, reference: Column) -> DataFrame:
     """ROUGE-1 and -2 over distinct n-grams of white-space words: cheap stand-ins, not the scores of ``rouge_n``."""
-    p, r = T.words(F.lower(prediction)), T.words(F.lower(reference))
+    # words and pairs are found once, each in a step of its own
+    rows = pairs.withColumns({"_p": T.words(F.lower(prediction)), "_r": T.words(F.lower(reference))})
+    p, r, p2, r2 = (F.col(c) for c in ("_p", "_r", "_p2", "_r2"))
     f = lambda a, b: F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)), F.lit(0.0))
-    p2, r2 = ngrams(p, 2), ngrams(r, 2)
-    return pairs.withColumns({"rouge1": f(p, r), "rouge2": F.when((F.size(p2) > 0) & (F.size(r2) > 0), f(p2, r2)).otherwise(0.0)})
+    rows = rows.withColumns({"_p2": ngrams(p, 2), "_r2": ngrams(r, 2)})
+    return rows.withColumns({"rouge1": f(p, r), "rouge2": F.when((F.size(p2) > 0) & (F.size(r2) > 0), f(p2, r2)).otherwise(0.0)}).drop("_p", "_r", "_p2", "_r2")
 
 
 def setting_differences(base: DataFrame, other: DataFrame, settings: list[str]) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parley.operators import corpus, cv, planning, retrieval
+from parley.operators import corpus, cv, evaluation, history, planning, retrieval
+from parley.plans import corpus as plans
 
 RECORD = "qid long, question string, domain string, difficulty string, source string"
 PROFILE = "profile_id long, technologies array<string>, skills array<string>, experience array<string>, education array<string>, certifications array<string>, projects array<string>, role string, years double, track string, difficulty string, total int"
@@ -63,3 +64,26 @@ def test_texts_of_a_small_file_are_read_by_all_cores(spark):
     assert got == {("Ann Lee", "header"), ("SQL", "skills"), ("one two three four five", "skills"), ("A role here", "experience")}
     # nothing is dealt out once more by key
     assert lines.groupBy("id").count()._jdf.queryExecution().toString().split("Physical Plan")[-1].count("Exchange") == 1
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dear_steps_are_taken_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c", "a b d"), (2, "", "x")], "id long, text string, next string").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    rows = evaluation.proxy_rouge(pairs, F.col("text"), F.col("next"))
+    assert {r["id"]: (round(r["rouge1"], 6), round(r["rouge2"], 6)) for r in rows.collect()} == {1: (0.666667, 0.5), 2: (0.0, 0.0)}
+    assert _optimized(rows).count("lower(") == 2
+    spark.createDataFrame([(1, "<p>a  b</p>")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert _optimized(plans.page_clean_text(spark, str(tmp_path))).count("```") == 2  # both in one pattern
+
+
+def test_pairs_are_ranked_without_their_lists(spark):
+    people = spark.createDataFrame([(1, ["a", "B"], 70), (2, [], 90)], "id long, skills array<string>, overall int")
+    jobs = spark.createDataFrame([(1, ["b", "c"], "Junior"), (2, ["x"], "Senior")], "job_id long, wanted array<string>, seniority string")
+    best = history.match_jobs(people, jobs, 1)
+    assert {r["id"]: (r["job_id"], r["missing"], r["place"]) for r in best.collect()} == {1: (1, ["c"], 1), 2: (2, ["x"], 1)}
+    ranked = _optimized(best).split("Window [row_number()")[1].split("Join")[0]
+    assert "score" in ranked and "skills" not in ranked and "wanted" not in ranked
