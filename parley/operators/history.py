@@ -73,10 +73,11 @@ def match_jobs(candidates: DataFrame, jobs: DataFrame, k: int = 10) -> DataFrame
     kind = jobs.schema["job_id"].dataType
     rest = people.select("id", F.explode(F.lit(few).cast(ArrayType(kind))).alias("job_id"), F.lit(0).cast("long").alias("both"))
     pairs = shared.unionByName(rest).groupBy("id", "job_id").agg(F.sum("both").alias("both"))
-    rows = pairs.join(people, "id").join(shelf, "job_id")
-    alike = F.coalesce(F.try_divide("both", F.size("_have") + F.size("_want") - F.col("both")), F.lit(0.0))
-    rows = rows.select("id", "job_id", "skills", "wanted", match_score(alike, band_fit(F.col("overall"), F.col("seniority"))).alias("score"))
-    best = top_n(rows, "id", [F.desc("score"), F.asc("job_id")], k)
+    # pairs are scored and ranked by numbers; lists join the best only
+    rows = pairs.join(people.select("id", "overall", F.size("_have").alias("_h")), "id").join(shelf.select("job_id", "seniority", F.size("_want").alias("_w")), "job_id")
+    alike = F.coalesce(F.try_divide("both", F.col("_h") + F.col("_w") - F.col("both")), F.lit(0.0))
+    rows = rows.select("id", "job_id", match_score(alike, band_fit(F.col("overall"), F.col("seniority"))).alias("score"))
+    best = top_n(rows, "id", [F.desc("score"), F.asc("job_id")], k).join(people.select("id", "skills"), "id").join(shelf.select("job_id", "wanted"), "job_id")
     return best.select("id", "job_id", "score", gaps(F.col("skills"), F.col("wanted")).alias("missing"), "place")
 
 
