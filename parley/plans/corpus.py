@@ -32,7 +32,8 @@ def doc_clean(spark, sf_dir):
 
 def page_clean_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    t = T.clean_text(F.col("html"))
+    # a step of its own: the text is cleaned once
+    pages, t = pages.select("page_id", T.clean_text(F.col("html")).alias("t")), F.col("t")
     return pages.select("page_id", F.length(t).alias("chars"), F.md5(t).alias("digest"), T.is_prose(t).alias("prose"))
 
 
