@@ -60,16 +60,23 @@ def ordered_lines(rows: DataFrame, key: str, section: str) -> DataFrame:
     return rows.filter(F.col("section") == section).groupBy(key).agg(held.alias("lines"))
 
 
-def _read(line: Column, after: Column) -> Column:
+def _said(rows: DataFrame) -> DataFrame:
+    """What each line says by itself, found once: its institution, degree, field and last year."""
+    line = F.col("line")
+    years = F.transform(F.regexp_extract_all(line, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    rows = rows.withColumns({"here": institution(line), "degree": first_match(line, L.DEGREE), "field": trimmed(first_match(line, L.FIELD_OF_STUDY), r" .,\-"), "year": F.array_max(years)})
+    return rows.withColumn("name", degree_name(F.col("degree")))
+
+
+def _read(at: Column, after: Column) -> Column:
     """What a line says by itself and with the one after it."""
-    here, below, degree = institution(line), institution(after), first_match(line, L.DEGREE)
-    name, place, field = degree_name(degree), F.coalesce(institution(line), institution(after)), trimmed(first_match(line, L.FIELD_OF_STUDY), r" .,\-")
+    line, here, below, degree, name, field = at["line"], at["here"], after["here"], at["degree"], at["name"], at["field"]
+    place = F.coalesce(here, below)
     parts = F.array_compact(F.array(name, F.concat(F.lit("in "), field)))
     label = F.when(F.size(parts) == 0, F.coalesce(place, F.left(line, F.lit(70)))).when(place.isNotNull(), F.concat(F.array_join(parts, " "), F.lit(", "), place)).otherwise(F.array_join(parts, " "))
-    years = F.transform(F.regexp_extract_all(F.concat_ws(" ", line, after), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
     return F.struct(
         ((F.length(line) >= 5) & (degree.isNotNull() | place.isNotNull())).alias("ok"), (here.isNull() & below.isNotNull() & degree.isNotNull() & (F.length(line) >= 5)).alias("takes"), key_of(label).alias("key"), label.alias("label"),
-        name.alias("degree"), field.alias("field"), place.alias("institution"), F.array_max(years).alias("year"),
+        name.alias("degree"), field.alias("field"), place.alias("institution"), F.greatest(at["year"], after["year"]).alias("year"),
     )
 
 
@@ -102,7 +109,9 @@ def education(rows: DataFrame, key: str) -> DataFrame:
 
     start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{ENTRY}>").alias("out")).cast(STATE)
     # lines are read once each, before they are taken in order
-    found = ordered_lines(rows, key, "education").select(key, F.aggregate(read, start, step, lambda acc: F.slice(acc["out"], 1, EDUCATION)).alias("e"))
+    said = _said(rows.filter("section = 'education'").select(key, "line_no", "line"))
+    held = said.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "here", "degree", "name", "field", "year"))).alias("lines"))
+    found = held.select(key, F.aggregate(read, start, step, lambda acc: F.slice(acc["out"], 1, EDUCATION)).alias("e"))
     return found.select(key, F.posexplode("e").alias("at", "e")).select(key, (F.col("at") + 1).alias("place"), "e.*")
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from parley.operators import corpus, cv, evaluation, history, planning, retrieval
+from parley.operators import corpus, cv, evaluation, history, planning, qualifications, retrieval
 from parley.plans import corpus as plans
 
 RECORD = "qid long, question string, domain string, difficulty string, source string"
@@ -87,3 +87,13 @@ def test_pairs_are_ranked_without_their_lists(spark):
     assert {r["id"]: (r["job_id"], r["missing"], r["place"]) for r in best.collect()} == {1: (1, ["c"], 1), 2: (2, ["x"], 1)}
     ranked = _optimized(best).split("Window [row_number()")[1].split("Join")[0]
     assert "score" in ranked and "skills" not in ranked and "wanted" not in ranked
+
+
+def test_lines_about_education_are_read_before_they_are_gathered(spark, tmp_path):
+    rows = [(1, 0, "B.Sc. in Physics", "education"), (1, 1, "University of Colombo, 2012 - 2016", "education"), (1, 2, "Java", "skills")]
+    spark.createDataFrame(rows, "id long, line_no long, line string, section string").write.parquet(f"{tmp_path}/lines")
+    found = qualifications.education(spark.read.parquet(f"{tmp_path}/lines"), "id")
+    assert [(r["place"], r["institution"], r["year"]) for r in found.collect()] == [(1, "University of Colombo", 2016)]
+    # no pattern is left above the gathering but those that tidy a label
+    above = _optimized(found).split("Aggregate [")[0]
+    assert "regexp_extract" not in above
