@@ -54,12 +54,6 @@ def degree_name(degree: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.regexp_replace(F.lower(degree), r"[. ]", "")), title_case(T.strip(degree)))
 
 
-def ordered_lines(rows: DataFrame, key: str, section: str) -> DataFrame:
-    """(key, lines) of a section, in order."""
-    held = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"])
-    return rows.filter(F.col("section") == section).groupBy(key).agg(held.alias("lines"))
-
-
 def _said(rows: DataFrame) -> DataFrame:
     """What each line says by itself, found once: its institution, degree, field and last year."""
     line = F.col("line")
