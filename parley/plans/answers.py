@@ -116,8 +116,10 @@ def rag_topk(spark, sf_dir):
     """Uncapped index with plain term counts; the least score is asked for after the cut."""
     docs, bench = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), table(spark, sf_dir, "benchmark")
     counts, n = R.term_counts(docs, "page_id", "text", pairs=False), docs.count()
-    weights = R.weigh(counts, R.idf(counts, n), sublinear=False)
-    queries = R.weigh(R.term_counts(bench, "item_id", "text", pairs=False), R.idf(counts, n), sublinear=False)
+    idfs = R.idf(counts, n)
+    queries = R.weigh(R.term_counts(bench, "item_id", "text", pairs=False), idfs, sublinear=False)
+    # terms that no item has count for a page's length only
+    weights = R.weigh(counts, idfs, sublinear=False, only=queries.select("term").distinct())
     top = R.top_by_terms(queries, weights, 3, least=0.05)
     return top.select(F.col("query").alias("item_id"), F.col("id").alias("page_id"), F.round("score", 6).alias("score"), "place")
 
