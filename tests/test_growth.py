@@ -97,3 +97,27 @@ def test_lines_about_education_are_read_before_they_are_gathered(spark, tmp_path
     # no pattern is left above the gathering but those that tidy a label
     above = _optimized(found).split("Aggregate [")[0]
     assert "regexp_extract" not in above
+
+
+def test_documents_that_cannot_be_among_the_best_send_no_terms(spark, monkeypatch):
+    luck = random.Random(5)
+    some = [(i % 90, " ".join(f"w{min(int(luck.expovariate(0.03)), 400)}" for _ in range(luck.choice([0, 1, 5, 30, 80])))) for i in range(120)]
+    copies = [(500 + i, "w1 w2 w3 w700 w1 w2") for i in range(9)]
+    docs = spark.createDataFrame(some + copies + [(900, None)], "id long, text string")
+    items = spark.createDataFrame([(0, "w1 w2 w3"), (1, "w5 w90 w5"), (2, "nothing known"), (3, None), (4, some[3][1]), (5, "w700")], "item long, text string")
+    counts = retrieval.term_counts(docs, "id", "text")
+    idfs = retrieval.idf(counts, docs.count())
+    near = lambda df: {(r["query"], r["place"]): (r["id"], round(r["score"], 9)) for r in df.collect()}
+    want = near(retrieval.top_by_terms(retrieval.weigh(retrieval.term_counts(items, "item", "text"), idfs), retrieval.weigh(counts, idfs), 5))
+    of, count = [], retrieval.term_counts
+    monkeypatch.setattr(retrieval, "term_counts", lambda df, *rest, **named: of.append(df.count()) or count(df, *rest, **named))
+    for name, value in (("SUMS", retrieval.SUMS), ("SUMS", 1), ("SENT", 0), ("BLOCK", 40)):
+        monkeypatch.setattr(retrieval, name, value)
+        assert near(retrieval.top_texts(items, "item", "text", docs, "id", "text", 5)) == want
+    assert of == [6] * 4 and len(want) > 15
+    # the plan of the query counts terms of its items only
+    from parley.plans import analytics
+
+    of.clear()
+    analytics.tfidf_topk(spark, "/root/testdata/sf0.001")
+    assert of == [spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()]
