@@ -28,6 +28,18 @@ def test_profiles_that_are_alike_are_planned_once(spark, monkeypatch):
     assert asked[0] <= 2 * 3 * 2 and asked[1] == 2
 
 
+def test_plans_with_one_query_and_track_share_their_candidates(spark, monkeypatch):
+    pool = planning.question_pool(spark.createDataFrame([(i, f"What is an index in a table of kind{i} rows?", "SQL", planning.L.DIFFICULTIES[i % 3], "x") for i in range(30)], RECORD), "qid")
+    rows = [(i, ["sql"], ["index"], [], ["x"], [], [], None, i % 5 + 0.5, "", ["easy", "medium", "hard", "odd"][i % 4], 6 + i) for i in range(12)]
+    asked, top = [], retrieval.top_in_blocks
+    monkeypatch.setattr(retrieval, "top_in_blocks", lambda q, *rest: asked.append(q.select("id").distinct().count()) or top(q, *rest))
+    plan = lambda some: {r["profile_id"]: r["questions"] for r in planning.build_plans(spark.createDataFrame(some, PROFILE), pool).collect()}
+    plans = plan(rows)
+    # one query and track, whatever the ladders: three levels in two tiers
+    assert asked == [3 * 2] and plans.keys() == set(range(12))
+    assert {3: plans[3]} == plan(rows[3:4]) and {10: plans[10]} == plan(rows[10:11]) and plans[3] != plans[10]
+
+
 def test_blocks_meet_in_tasks_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK", 5)
     rows = spark.createDataFrame([(i, f"t{i % 3}", 1.0) for i in range(20)], "id long, term string, weight double")
