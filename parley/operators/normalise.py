@@ -32,7 +32,7 @@ def as_number(value: Column, path: str) -> Column:
 
 def elements(value: Column, path: str) -> Column:
     """The elements of a list, each of any type; null for any other type."""
-    return F.when(F.startswith(type_of(at(value, path)), F.lit("ARRAY")), F.try_variant_get(value, path, "array<variant>"))
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def strings(value: Column, path: str) -> Column:
@@ -48,8 +48,8 @@ def json_or(value: Column, path: str, kind: str, default: str) -> Column:
 
 
 def first_filled(*lists: Column) -> Column:
-    """The first list that has elements; none if no one has."""
-    return F.coalesce(*(F.when(F.size(x) > 0, x) for x in lists), F.array().cast(STRINGS))
+    """The first list that has elements; none if no one has. Each is made once."""
+    return F.coalesce(F.get(F.filter(F.array(*lists), lambda x: F.size(x) > 0), F.lit(0)), F.array().cast(STRINGS))
 
 
 def normalised(responses: DataFrame, body: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from parley.functions import lexicons as L
@@ -60,7 +62,9 @@ def _bodies(spark, sf_dir):
             text = F.replace(text, F.lit("{" + name + "}"), value)
         return F.translate(text, "\x01\x02", "{}")
 
-    return e.select("event_id", F.element_at(F.array(*map(filled, _SHAPES)), (F.col("event_id") % len(_SHAPES) + 1).cast("int")).alias("body"))
+    # only the shape of an event is filled
+    body = reduce(lambda c, i: c.when(F.col("event_id") % len(_SHAPES) == i, filled(_SHAPES[i])), range(1, len(_SHAPES)), F.when(F.col("event_id") % len(_SHAPES) == 0, filled(_SHAPES[0])))
+    return e.select("event_id", body.alias("body"))
 
 
 _LISTS = ("contact_links", "skills", "technologies", "education", "experience", "certifications", "projects", "demonstrated", "tracks", "sections", "warnings")

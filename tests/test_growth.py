@@ -133,3 +133,16 @@ def test_documents_that_cannot_be_among_the_best_send_no_terms(spark, monkeypatc
     of.clear()
     analytics.tfidf_topk(spark, "/root/testdata/sf0.001")
     assert of == [spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()]
+
+
+def test_lists_of_responses_are_read_once(spark):
+    from parley.operators import normalise
+
+    bodies = ['{"a": ["x", 1, null]}', '{"a": "[1]"}', '{"a": {"b": 1}}', '{"a": 3, "b": ["y"]}', '{"a": null}', '{"a": [], "b": ["z"]}', "{}"]
+    v = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id long, body string").select("id", F.try_parse_json("body").alias("v"))
+    a, b = (normalise.strings(F.col("v"), f"$.{c}") for c in "ab")
+    got = v.select("id", normalise.first_filled(a, b).alias("x"), F.size(normalise.elements(F.col("v"), "$.a")).alias("n"))
+    assert [(r["x"], r["n"]) for r in got.orderBy("id").collect()] == [(["x"], 3), ([], None), ([], None), (["y"], None), ([], None), (["z"], 0), ([], None)]
+    # one look at each of both lists
+    plan = v.select(normalise.first_filled(a, b).alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("$.a") == plan.count("$.b") == 1
