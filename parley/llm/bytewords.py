@@ -144,6 +144,14 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return c[offsets[1:]] - c[offsets[:-1]]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 _model: tuple[object, object] = (None, None)
 
 
@@ -151,7 +159,9 @@ def worker_model(key: object, make: Callable[[], object]) -> object:
     """The model of this key in a Python worker. A worker serves many stages and keeps one model: that of another operator goes first."""
     global _model
     if _model[0] != key:
-        _model = (None, None)
+        if _model[0] is not None:
+            _model = (None, None)
+            trim()
         _model = (key, make())
     return _model[1]
 
@@ -164,9 +174,6 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
 
     return out

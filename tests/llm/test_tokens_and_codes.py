@@ -151,6 +151,32 @@ def test_alignment_of_rows_that_repeat_and_none(spark):
     assert alignment.align_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kept", [alignment.KEPT, 40])
+def test_units_are_encoded_once_while_kept(kept, monkeypatch):
+    """Units met before aren't encoded again; results stay where some have been forgotten in between."""
+    monkeypatch.setattr(alignment, "KEPT", kept)
+    both = alignment.Tokenizers()
+    units, asked = alignment.Units(both), []
+    for words in ([" one", " two", " three"], [" two", " naïve", " 漢字"], [" one", " " + "x" * 90], [" one", " " + "x" * 90]):
+        hashes = np.array(sorted(hash(w) % 2**60 for w in words), dtype=np.uint64)
+        words = sorted(words, key=lambda w: hash(w) % 2**60)
+        found, same = units.find(hashes, lambda new: asked.extend(words[k] for k in new) or [words[k] for k in new])  # noqa: B023
+        want, whole = both.encode(words)
+        assert same.tolist() == whole.tolist() and all((x == y).all() for f, w in zip(found, want) for x, y in zip(f, w))
+    assert kept == 40 or sorted(asked) == sorted([" one", " two", " three", " naïve", " 漢字", " " + "x" * 90])
+
+
+def test_copies_share_their_units(spark):
+    """Groups and links are found once for the different units of a row, not for each document."""
+    df = spark.createDataFrame([(k, "the same words, naïve words 漢字") for k in range(50)], "doc_id long, text string").coalesce(1)
+    (row,) = alignment.tokenise_units(df).collect()
+    (one,) = alignment.tokenise_both(df.limit(1)).collect()
+    assert len(row["doc_id"]) == 50 and len(row["a_ids"]) <= len(one["a_ids"]) and len(row["units"]) == 50 * (len(row["bounds"]) - 1)
+    got = {tuple(r)[1:] for r in alignment.documents_of(alignment.tokenise_units(df)).select("doc_id", "n_a", "n_b", "groups_sha256").collect()}
+    (want,) = plain_alignment(["the same words, naïve words 漢字"])
+    assert got == {(want[0], want[1], want[6])}
+
+
 def plain_codes(rows, parts=8, entries=16, rounds=6):
     """Codes, errors and the digest by whole numbers of unlimited size."""
     kept = sorted((r for r in rows if r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
