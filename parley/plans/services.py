@@ -142,7 +142,7 @@ def conversation_scores(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     pairs = Z.pair_preceding(turns, "conv_id", "turn", "role", "text")
     rows = pairs.select("conv_id", F.round(scoring.communication(F.col("answer")), 6).alias("communication"), F.round(scoring.technical(F.col("answer")), 6).alias("technical"))
-    return D.conversation_scores(rows.filter("conv_id % 3 > 0"), "conv_id", ["communication", "technical"], turns)
+    return D.conversation_scores(rows, "conv_id", ["communication", "technical"], turns)
 
 
 def next_ordinals(spark, sf_dir):
@@ -265,7 +265,7 @@ v AS (SELECT *, low IN {_PROBE} OR regexp_replace(low, 's+$', '') IN {_PROBE} AS
 w AS (SELECT conv_id, turn, regexp_replace(raw, '^\\.+|\\.+$', '', 'g') AS term FROM v WHERE low NOT IN {Q.tup(L.PROBE_STOP)} AND length(low) >= 3 AND (known OR dotted OR capital)
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY known::INT * 20 + capital::INT * 8 + dotted::INT * 6 + regexp_matches(raw, '^[A-Z]')::INT * 2 DESC, length(low) DESC, term) = 1)
 SELECT conv_id, turn, term FROM conversations LEFT JOIN w USING (conv_id, turn)""",
-    "conversation_scores": f"""WITH s AS ({P.ORACLE['answer_scores']}), p AS ({P.ORACLE['turn_pairs_preceding']}), m AS (SELECT conv_id, avg(communication) AS c, avg(technical) AS t, count(*) AS n FROM p JOIN s USING (conv_id, turn) WHERE conv_id % 3 > 0 GROUP BY conv_id)
+    "conversation_scores": f"""WITH s AS ({P.ORACLE['answer_scores']}), p AS ({P.ORACLE['turn_pairs_preceding']}), m AS (SELECT conv_id, avg(communication) AS c, avg(technical) AS t, count(*) AS n FROM p JOIN s USING (conv_id, turn) GROUP BY conv_id)
 SELECT conv_id, round(coalesce(c, 50), 1) AS communication, round(coalesce(t, 50), 1) AS technical, coalesce(n, 0) AS answers FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN m USING (conv_id)""",
     "next_ordinals": "SELECT l_orderkey, max(l_linenumber) + 1 AS next FROM lineitem GROUP BY 1",
     "first_texts": f"""SELECT doc_id, md5(CASE WHEN doc_id % 4 = 0 AND {Q.strip("coalesce(text, '')")} <> '' THEN text WHEN doc_id % 4 = 1 AND trim(lang) <> '' THEN lang WHEN doc_id % 4 < 3 AND trim(source) <> '' THEN source ELSE '' END) AS digest FROM documents""",

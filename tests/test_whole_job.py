@@ -9,7 +9,7 @@ import numpy as np
 
 from parley.functions import lexicons as L
 from parley.operators import retrieval, spans
-from parley.plans import analytics, corpus
+from parley.plans import analytics, corpus, services
 
 SF = "/root/testdata/sf0.001"
 
@@ -148,3 +148,11 @@ def test_items_in_blocks_give_the_same_spans(spark, monkeypatch):
     whole = sorted(map(tuple, corpus.contamination(spark, "/root/testdata/sf0.001").collect()))
     monkeypatch.setattr(spans, "ITEM_TOKENS", 40)
     assert sorted(map(tuple, corpus.contamination(spark, "/root/testdata/sf0.001").collect())) == whole
+
+
+def test_answers_of_every_conversation_are_scored(spark, tmp_path):
+    turns = [(c, t, role, text) for c in range(6) for t, role, text in ((0, "assistant", "What is an index?"), (1, "user", "An index is a sorted copy of a column, so a search reads few pages."))]
+    spark.createDataFrame([*turns, (6, 0, "assistant", "Hello?")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = {r["conv_id"]: tuple(r)[1:] for r in services.conversation_scores(spark, str(tmp_path)).collect()}
+    assert {c: n for c, (*_, n) in rows.items()} == dict.fromkeys(range(6), 1) | {6: 0}
+    assert len({rows[c] for c in range(6)}) == 1 and rows[6][:2] == (50.0, 50.0) != rows[0][:2]
