@@ -146,3 +146,28 @@ def test_lists_of_responses_are_read_once(spark):
     # one look at each of both lists
     plan = v.select(normalise.first_filled(a, b).alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("$.a") == plan.count("$.b") == 1
+
+
+def _sent(monkeypatch):
+    """How many rows of queries each search sends to its blocks."""
+    sent, meet = [], retrieval._meetings
+    monkeypatch.setattr(retrieval, "_meetings", lambda q, *rest: sent.append(q.count()) or meet(q, *rest))
+    return sent
+
+
+def test_a_query_is_sent_and_scored_once_whatever_was_asked_before(spark, monkeypatch):
+    pool = planning.question_pool(spark.createDataFrame([(i, f"What is an index in a table of kind{i} rows?", "SQL", "Beginner", "x") for i in range(9)], RECORD), "qid")
+    profiles = spark.createDataFrame([(i, ["sql"], ["index"], [], ["x"], [], [], None, 1.0, "", "easy", 8) for i in range(6)], PROFILE)
+    now = spark.createDataFrame([(i, "What is a join?", "Intermediate") for i in range(6)], "profile_id long, text string, difficulty string")
+    had = spark.createDataFrame([(i, f"What is an index in a table of kind{j} rows?") for i in range(6) for j in range(i)], "profile_id long, text string")
+    sent = _sent(monkeypatch)
+    assert {r["profile_id"]: r["qid"] for r in planning.easier_questions(profiles, now, had, pool).collect()} == {i: i for i in range(6)}
+    assert sent == [1]
+
+
+def test_a_question_is_rated_once(spark):
+    rows = [(i, f"What is an index in a table of kind{i % 3} rows?", "SQL", "Beginner", "x" if i < 12 else "interviews") for i in range(15)]
+    pool = planning.question_pool(spark.createDataFrame(rows, RECORD), "qid")
+    assert sorted(r["qid"] for r in pool.collect()) == [0, 1, 2]
+    # no rating below the step that takes the first
+    assert "rlike" not in _optimized(pool.unpersist()).lower().split("window")[-1]
