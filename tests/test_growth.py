@@ -171,3 +171,13 @@ def test_a_question_is_rated_once(spark):
     assert sorted(r["qid"] for r in pool.collect()) == [0, 1, 2]
     # no rating below the step that takes the first
     assert "rlike" not in _optimized(pool.unpersist()).lower().split("window")[-1]
+
+
+def test_plans_send_a_query_once_and_are_made_once(spark, monkeypatch):
+    from parley.plans import interviews
+
+    pool = planning.question_pool(spark.createDataFrame([(i, f"What is an index in a table of kind{i} rows?", "SQL", planning.L.DIFFICULTIES[i % 3], "x") for i in range(30)], RECORD), "qid")
+    rows = [(i, ["sql"], ["index"], [], ["x"], [], [], None, i % 5 + 0.5, "", ["easy", "medium", "hard", "odd"][i % 4], 6 + i) for i in range(12)]
+    sent = _sent(monkeypatch)
+    assert planning.build_plans(spark.createDataFrame(rows, PROFILE), pool).count() == 12 and sent == [1]
+    assert _optimized(interviews.interview_plans(spark, "/root/testdata/sf0.001")).count("aggregate(") == 1
